@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import FOLDS, byte_texts, fold
+from .common import byte_texts, fold
 from .sampling import labelled_sample
 
 #: Features of one line.
@@ -157,9 +157,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict[str, n
     return train(features, np.array(rows["label"].to_pylist(), np.int64))
 
 
-def score(docs: DataFrame, model: dict[str, np.ndarray], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns ``keep``, then score; one row per row of ``docs``. Only the text is looked at."""
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("score", T.DoubleType())])
+def score(docs: DataFrame, model: dict[str, np.ndarray], keep: tuple[str, ...] = ("doc_id",), into: str = "score") -> DataFrame:
+    """Columns ``keep``, then the score; one row per row of ``docs``. Only the text is looked at."""
+    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(into, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,5 +175,3 @@ def classify(docs: DataFrame, labels: DataFrame, cutoff: float = 0.3) -> DataFra
     scored = score(docs, fit(docs, labels))
     return scored.select("doc_id", (fold("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= cutoff).cast("int").alias("predicted"))
 
-
-__all__ = ["FOLDS", "classify", "fit", "score", "score_texts", "train"]
