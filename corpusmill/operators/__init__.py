@@ -1,0 +1 @@
+"""DataFrame functions of document curation."""
