@@ -17,6 +17,7 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -350,8 +351,6 @@ def encode(df: DataFrame, model_path: str, text: str = "text", keep: tuple[str,
 
 def decode(df: DataFrame, model_path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
     """Adds the decoded text of an ids column; null or empty ids give an empty text."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def joined(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         decoder = Decoder(Model(model_path))
