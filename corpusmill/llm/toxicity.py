@@ -12,11 +12,11 @@ Null and empty texts have no sentence and get score 0. Labels that are null or o
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,8 +24,10 @@ from pyspark.sql import types as T
 from .common import byte_texts, fold
 from .sampling import labelled_sample
 
-#: At most so many labelled documents are fitted on; words of fewer of them get no weight.
-SAMPLE, LEAST_DOCS = 8000, 5
+#: At most so many labelled documents are fitted on; features of fewer of them get no weight.
+SAMPLE, LEAST_DOCS = 6000, 5
+#: Features are hashed into so many buckets; the bias has a key of its own.
+BUCKETS, BIAS = 1 << 22, -1
 #: Sentences end at these bytes.
 ENDS = re.compile(rb"[.!?\n]+")
 PREFIXES = (5, 6, 7, 8)
@@ -49,15 +51,15 @@ def words_of(sentence: bytes) -> set[bytes]:
     return {w.strip(STRIP) for w in found} if any(w[-1] in STRIP or w[0] in STRIP for w in found) else found
 
 
-def features(word: bytes) -> list[bytes]:
-    """The word, and its beginnings (marked by a star) of 5 to 8 bytes that are shorter than it."""
-    return [word, *(word[:k] + b"*" for k in PREFIXES if len(word) > k)]
+def features(word: bytes) -> list[int]:
+    """Hashes of the word, and of its beginnings (marked by a star) of 5 to 8 bytes that are shorter than it."""
+    return [xxhash.xxh32_intdigest(f) % BUCKETS for f in (word, *(word[:k] + b"*" for k in PREFIXES if len(word) > k))]
 
 
 class WordWeights(dict):
     """word -> sum of the weights of its features, remembered for up to ``most`` words."""
 
-    def __init__(self, weights: dict[bytes, float], most: int = 200_000):
+    def __init__(self, weights: dict[int, float], most: int = 200_000):
         super().__init__()
         self.weights, self.most = weights, most
 
@@ -71,42 +73,46 @@ class WordWeights(dict):
         return value
 
 
-def train(texts: list[bytes], labels: np.ndarray, rounds: int = 300) -> dict[bytes, float]:
-    """word -> weight; the empty word holds the bias, which is all that a sentence without known words gets."""
+def bag(text: bytes) -> tuple[list[int], list[int]]:
+    """Features of every sentence (of its distinct words), one after the other, and how many each sentence has."""
+    found, sizes = [], []
+    for a, b in sentences(text):
+        of = [f for w in words_of(text[a:b]) if w for f in features(w)]
+        found += of
+        sizes.append(len(of))
+    return found, sizes
+
+
+def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rounds: int = 300) -> dict[int, float]:
+    """feature -> weight; BIAS holds the bias, which is all that a sentence without known words gets."""
     if not len(labels) or len(set(labels.tolist())) < 2:
-        return {b"": -50.0 if not len(labels) or not labels.max() else 0.0}
-    bags = [[[f for w in words_of(t[a:b]) if w for f in features(w)] for a, b in sentences(t)] for t in texts]
-    found, toxic = Counter(), Counter()
-    for bag, y in zip(bags, labels, strict=True):
-        for w in set().union(*bag):
-            found[w] += 1
-            toxic[w] += int(y)
-    # A word that is no likelier in toxic documents can't raise a sentence's probability above the bias.
+        return {BIAS: -50.0 if not len(labels) or not labels.max() else 0.0}
+    found, toxic = np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS, np.int32)
+    for (f, _), y in zip(bags, labels, strict=True):
+        f = np.unique(f)
+        found[f] += 1
+        toxic[f] += y
+    # What is no likelier in toxic documents can't raise a sentence's probability above the bias.
     base = labels.mean()
-    vocabulary = sorted(w for w, n in found.items() if w and n >= LEAST_DOCS and (toxic[w] + base) / (n + 1) > 1.5 * base)
-    index = {w: i for i, w in enumerate(vocabulary)}
-    row, column, first = [], [], []
-    n = 0
-    for bag in bags:
+    vocabulary = np.flatnonzero((found >= LEAST_DOCS) & ((toxic + base) / (found + 1) > 1.5 * base))
+    index = np.full(BUCKETS, -1, np.int32)
+    index[vocabulary] = np.arange(len(vocabulary))
+    row, column, first, n = [], [], [], 0
+    for f, sizes in bags:
         first.append(n)
-        for s in bag:
-            for w in s:
-                if (i := index.get(w)) is not None:
-                    row.append(n)
-                    column.append(i)
-            n += 1
-        if not bag:  # keeps the bags apart
-            n += 1
-    row, column, first = np.array(row, np.int64), np.array(column, np.int64), np.array(first)
+        at = index[f]
+        row.append(np.repeat(np.arange(len(sizes)), sizes)[at >= 0] + n)
+        column.append(at[at >= 0])
+        n += max(len(sizes), 1)  # a bag without a sentence keeps a place
+    row, column, first = np.concatenate(row), np.concatenate(column), np.array(first)
     size = np.diff(np.append(first, n))
     y = labels.astype(np.float64)
     p = np.zeros(len(vocabulary) + 1)
     p[-1] = -6.0
     mean, square = np.zeros_like(p), np.zeros_like(p)
     for t in range(1, rounds + 1):
-        z = np.full(n, p[-1])
-        np.add.at(z, row, p[column])
-        q = 1 / (1 + np.exp(-z))
+        z = np.bincount(row, p[column], n) + p[-1]
+        q = 1 / (1 + np.exp(-np.minimum(z, 60.0)))
         clean = np.add.reduceat(np.log1p(-np.minimum(q, 1 - 1e-9)), first)  # log of prod(1 - p)
         lift = np.exp(clean) / np.maximum(1 - np.exp(clean), 1e-6)
         slope_s = q * np.repeat(np.where(y > 0, -np.minimum(lift, 50.0), 1.0), size)
@@ -115,19 +121,18 @@ def train(texts: list[bytes], labels: np.ndarray, rounds: int = 300) -> dict[byt
         mean, square = 0.9 * mean + 0.1 * slope, 0.99 * square + 0.01 * slope**2
         p -= 0.15 * (mean / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.99**t)) + 1e-8)
         p[:-1] = np.maximum(p[:-1], 0.0)
-    weights = {w: float(p[i]) for w, i in index.items() if p[i] > 0.3}
-    return weights | {b"": float(p[-1])}
+    return {int(f): float(x) for f, x in zip(vocabulary, p[:-1], strict=True) if x > 0.2} | {BIAS: float(p[-1])}
 
 
-def sentence_scores(text: bytes, weights: dict[bytes, float]) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    spans, bias, of = sentences(text), weights[b""], WordWeights(weights)
+def sentence_scores(text: bytes, weights: dict[int, float]) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    spans, bias, of = sentences(text), weights[BIAS], WordWeights(weights)
     z = np.array([bias + sum(map(of.__getitem__, words_of(text[a:b]))) for a, b in spans])
     return 1 / (1 + np.exp(-np.clip(z, -60, 60))), spans
 
 
 def score_text(text: bytes, of: WordWeights) -> float:
     """Noisy-or of the sentences."""
-    bias, total, n, loud = of.weights[b""], 0.0, 0, 0
+    bias, total, n, loud = of.weights[BIAS], 0.0, 0, 0
     for s in ENDS.split(text.lower()):
         words = s.split()
         if not words:
@@ -141,13 +146,21 @@ def score_text(text: bytes, of: WordWeights) -> float:
     return float(-np.expm1(total + (n - loud) * np.log1p(-1 / (1 + np.exp(-bias))))) if n else 0.0
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict[bytes, float]:
-    """Fits on at most ``sample`` labelled documents outside the held-out fold, whose whole texts come to the driver."""
-    rows = labelled_sample(docs, labels, "toxic", sample).limit(2 * sample).toArrow()
-    return train(list(byte_texts(rows["text"].combine_chunks())), np.array(rows["label"].to_pylist(), np.int64))
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict[int, float]:
+    """Fits on at most ``sample`` labelled documents outside the held-out fold; their hashed words come to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [bag(t) for t in byte_texts(batch.column(1))]
+            lists = [pa.array([x[k] for x in found], pa.list_(pa.int32())) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=["label", "words", "sizes"])
+
+    rows = labelled_sample(docs, labels, "toxic", sample).mapInArrow(run, "label int, words array<int>, sizes array<int>").limit(sample).toArrow()
+    column = lambda c: [x.values.to_numpy(zero_copy_only=False) for chunk in rows[c].chunks for x in chunk]
+    return train(list(zip(column("words"), column("sizes"), strict=True)), np.array(rows["label"].to_pylist(), np.int64))
 
 
-def score(docs: DataFrame, weights: dict[bytes, float], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def score(docs: DataFrame, weights: dict[int, float], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns ``keep``, then score; one row per row of ``docs``. Only the text is looked at."""
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("score", T.DoubleType())])
 
@@ -160,7 +173,7 @@ def score(docs: DataFrame, weights: dict[bytes, float], keep: tuple[str, ...] =
     return docs.select(*(F.col(f"`{c}`") for c in keep), F.col("text").cast("string").alias("__text")).mapInArrow(run, schema)
 
 
-def locate(docs: DataFrame, weights: dict[bytes, float], least: float = 0.5) -> DataFrame:
+def locate(docs: DataFrame, weights: dict[int, float], least: float = 0.5) -> DataFrame:
     """The offending sentences: doc_id, begin and end (bytes), sentence, score; those of at least ``least``."""
     schema = T.StructType([docs.schema["doc_id"], *(T.StructField(c, k) for c, k in (("begin", T.IntegerType()), ("end", T.IntegerType()), ("sentence", T.StringType()), ("score", T.DoubleType())))])
 
