@@ -27,17 +27,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHash, byte_texts, fold, materialize
 
-BLOCK, CLASSES = 3_000_000, 40
+BLOCK, CLASSES = 2_000_000, 40
 #: The hash of the end token, which no word has for practical purposes.
 END = 0x5DEECE66D
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-ROW = "kind string, block long, bucket int, keys array<long>, counts array<int>, docs binary"
+ROW = "kind string, block long, bucket int, keys binary, counts binary, docs binary"
 
 
 def pair_keys(u: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -53,15 +54,25 @@ def bucket_bounds(keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.concatenate(([0], np.searchsorted(keys, edges), [len(keys)]))
 
 
-def split_planes(x: np.ndarray) -> bytes:
-    """Unsigned 32-bit numbers as three byte planes, the lowest two together; small numbers then compress well."""
-    x = x.astype(np.uint32)
-    return (x & 0xFFFF).astype(np.uint16).tobytes() + (x >> 16).astype(np.uint16).tobytes()
+def pack(x: np.ndarray) -> bytes:
+    """64-bit numbers, byte plane by byte plane, compressed: small numbers and small differences take little."""
+    planes = np.ascontiguousarray(np.ascontiguousarray(x, np.int64).view(np.uint8).reshape(-1, 8).T)
+    return len(x).to_bytes(8, "little") + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
-def join_planes(data: bytes, n: int) -> np.ndarray:
-    low, high = np.frombuffer(data, np.uint16, n), np.frombuffer(data, np.uint16, n, 2 * n)
-    return low.astype(np.int64) | (high.astype(np.int64) << 16)
+def unpack(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    raw = zstandard.ZstdDecompressor().decompress(data[8:], max_output_size=max(8 * n, 1))
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, n).T).view(np.int64).ravel()
+
+
+def pack_sorted(x: np.ndarray) -> bytes:
+    """Rising numbers by their differences, which wrap around."""
+    return pack(np.diff(x, prepend=np.int64(0)))
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data))
 
 
 def gather(docs: DataFrame, buckets: int) -> DataFrame:
@@ -71,29 +82,31 @@ def gather(docs: DataFrame, buckets: int) -> DataFrame:
         words, block = WordHash(), TaskContext.get().partitionId() << 32
         ids, lengths, train, tokens, held = [], [], [], [], 0
         names = [x.split()[0] for x in ROW.split(", ")]
-        kinds = (pa.string(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary())
+        kinds = (pa.string(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal block, held
             flat, size, trained = np.concatenate(tokens), np.array(lengths), np.array(train)
             learnt = np.repeat(trained, size)
             word, local = np.unique(flat, return_inverse=True)
-            local = local.astype(np.uint32)
-            order = np.argsort(-np.bincount(local), kind="stable").astype(np.uint32)  # frequent words get small numbers
+            order = np.argsort(-np.bincount(local), kind="stable")  # frequent words get small numbers
             rank = np.empty_like(order)
-            rank[order] = np.arange(len(order), dtype=np.uint32)
-            payload = b"".join(
-                (np.array([len(ids), len(flat), len(word)], np.int64).tobytes(), np.array([i is not None for i in ids], np.int8).tobytes(), np.array([i or 0 for i in ids], np.int64).tobytes(), size.astype(np.int64).tobytes(), trained.astype(np.int8).tobytes(), order.tobytes(), split_planes(rank[local]))
-            )
-            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(("docs", block, block % buckets if block < buckets else int(block >> 32) % buckets, None, None, payload), kinds, strict=True)], names=names)
-            del payload, rank
+            rank[order] = np.arange(len(order))
+            given = np.array([i is not None for i in ids], np.int64)
+            parts = [pack(x) for x in (given, np.array([i or 0 for i in ids], np.int64), size, trained.astype(np.int64), order, rank[local])]
+            payload = b"".join(len(x).to_bytes(8, "little") + x for x in parts)
+            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(("docs", block, (block ^ block >> 32) % buckets, None, None, payload), kinds, strict=True)], names=names)
+            del payload, parts, rank
             inner = np.ones(len(flat), bool)
             inner[np.cumsum(size) - size] = False  # a text's first token has no context
+            train_words = np.bincount(local[learnt], minlength=len(word))
+            del local
             pairs, at = np.unique(pair_keys(flat[:-1], flat[1:])[inner[1:]], return_inverse=True)
-            for kind, keys, counts in (("word", word, np.bincount(local[learnt], minlength=len(word))), ("pair", pairs, np.bincount(at[learnt[1:][inner[1:]]], minlength=len(pairs)))):
-                edges = bucket_bounds(keys, buckets).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(pa.array(edges), pa.array(x)) for x in (keys, counts.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([pa.array([kind] * buckets), pa.array([block] * buckets, pa.int64()), pa.array(range(buckets), pa.int32()), *lists, pa.nulls(buckets, pa.binary())], names=names)
+            for kind, keys, counts in (("word", word, train_words), ("pair", pairs, np.bincount(at[learnt[1:][inner[1:]]], minlength=len(pairs)))):
+                edges = bucket_bounds(keys, buckets)
+                cuts = [(a, b) for a, b in zip(edges, edges[1:], strict=False)]
+                columns = ([kind] * buckets, [block] * buckets, list(range(buckets)), [pack_sorted(keys[a:b]) for a, b in cuts], [pack(counts[a:b]) for a, b in cuts], [None] * buckets)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
             block += 1
             held = 0
             for x in (ids, lengths, train, tokens):
@@ -118,29 +131,31 @@ def gather(docs: DataFrame, buckets: int) -> DataFrame:
 
 def answer(table: pa.Table) -> pa.Table:
     """Replaces the counts of a bucket's blocks by sums over all blocks; texts pass through."""
-    kinds, keys, counts = table["kind"].to_pylist(), table["keys"].combine_chunks(), table["counts"].combine_chunks()
-    out: list[np.ndarray | None] = [None] * len(kinds)
+    kinds, keys, counts = (table[c].to_pylist() for c in ("kind", "keys", "counts"))
+    out: list[bytes | None] = [None] * len(kinds)
+    totals = [[0, 0] for _ in kinds]
     for kind in ("word", "pair"):
         rows = [i for i, k in enumerate(kinds) if k == kind]
         if not rows:
             continue
-        ks = [keys[i].values.to_numpy(zero_copy_only=False) for i in rows]
-        _, at = np.unique(np.concatenate(ks), return_inverse=True)
-        sums = np.bincount(at, np.concatenate([counts[i].values.to_numpy(zero_copy_only=False) for i in rows])).astype(np.int64)[at] if len(at) else np.zeros(0, np.int64)
+        ks = [unpack_sorted(keys[i]) for i in rows]
+        _, start, at = np.unique(np.concatenate(ks), return_index=True, return_inverse=True)
+        sums = np.zeros(len(start), np.int64)
+        np.add.at(sums, at, np.concatenate([unpack(counts[i]) for i in rows]))
+        sums, first = sums[at], np.zeros(len(at), bool)
+        first[start] = True
         ends = np.cumsum([len(k) for k in ks])
-        first = np.zeros(len(at), bool)
-        first[np.unique(at, return_index=True)[1]] = True
         for i, n, end in zip(rows, map(len, ks), ends, strict=True):
-            # The first block that names a word carries it for the totals.
-            own = sums[end - n : end][first[end - n : end]] if kind == "word" else np.zeros(0, np.int64)
-            out[i] = sums[end - n : end], np.array([own.sum(), (own > 0).sum()])
-    totals = pa.array([x[1].tolist() if x is not None else [0] * 2 for x in out], pa.list_(pa.int64()))
-    sums = pa.array([x[0].tolist() if x is not None else None for x in out], pa.list_(pa.int64()))
-    keep = pa.array([keys[i].values if k == "word" else None for i, k in enumerate(kinds)], pa.list_(pa.int64()))
-    return pa.table([table["kind"], table["block"], table["bucket"], keep, sums, table["docs"], totals], names=["kind", "block", "bucket", "keys", "counts", "docs", "totals"])
+            out[i] = pack(sums[end - n : end])
+            if kind == "word":  # the first block that names a word carries it for the totals
+                own = sums[end - n : end][first[end - n : end]]
+                totals[i] = [int(own.sum()), int((own > 0).sum())]
+    keep = pa.array([k if kind == "word" else None for k, kind in zip(keys, kinds, strict=True)], pa.binary())
+    columns = [table["kind"], table["block"], table["bucket"], keep, pa.array(out, pa.binary()), table["docs"], pa.array(totals, pa.list_(pa.int64()))]
+    return pa.table(columns, names=[x.split()[0] for x in ANSWER.split(", ")])
 
 
-ANSWER = "kind string, block long, bucket int, keys array<long>, counts array<long>, docs binary, totals array<long>"
+ANSWER = "kind string, block long, bucket int, keys binary, counts binary, docs binary, totals array<long>"
 SCORE = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
@@ -148,18 +163,18 @@ class Block:
     """A block's texts as numbers, with the counts of its words and pairs over the whole corpus."""
 
     def __init__(self, table: pa.Table):
-        rows = sorted(zip(table["kind"].to_pylist(), table["bucket"].to_pylist(), range(table.num_rows), strict=True))
-        keys, counts = table["keys"].combine_chunks(), table["counts"].combine_chunks()
-        column = lambda c, kind: np.concatenate([np.zeros(0, np.int64), *(c[i].values.to_numpy(zero_copy_only=False) for k, _, i in rows if k == kind)])
-        word, word_count, pair_count = column(keys, "word"), column(counts, "word"), column(counts, "pair")
-        data = table["docs"][next(i for k, _, i in rows if k == "docs")].as_py()
-        n_docs, n_tokens, n_words = np.frombuffer(data, np.int64, 3)
-        at, parts = 24, []
-        for kind, many in ((np.int8, n_docs), (np.int64, n_docs), (np.int64, n_docs), (np.int8, n_docs), (np.uint32, n_words)):
-            parts.append(np.frombuffer(data, kind, many, at))
-            at += parts[-1].nbytes
-        self.given, self.ids, self.size, self.trained, order = parts
-        local = order[join_planes(data[at:], int(n_tokens))]
+        kinds, buckets, keys, counts, docs = (table[c].to_pylist() for c in ("kind", "bucket", "keys", "counts", "docs"))
+        rows = sorted(zip(kinds, buckets, range(len(kinds)), strict=True))
+        column = lambda c, kind, read: np.concatenate([np.zeros(0, np.int64), *(read(c[i]) for k, _, i in rows if k == kind)])
+        word, word_count, pair_count = column(keys, "word", unpack_sorted), column(counts, "word", unpack), column(counts, "pair", unpack)
+        data, at, parts = next(d for d in docs if d is not None), 0, []
+        while at < len(data):
+            n = int.from_bytes(data[at : at + 8], "little")
+            parts.append(unpack(data[at + 8 : at + 8 + n]))
+            at += 8 + n
+        self.given, self.ids, self.size, self.trained, order, rank = parts
+        local = order[rank]
+        del parts, rank, keys, counts, docs, data
         self.starts = np.cumsum(self.size) - self.size
         #: Of each token: its count, the count of the state it is read in (0: the root), the count of the pair.
         self.count = word_count[local]
