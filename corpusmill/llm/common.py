@@ -1,39 +1,19 @@
-"""Shared folders, materialised tables and tokens of this subpackage."""
+"""What the operators of this subpackage have in common."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A document is training data of classifier N unless crc32(doc_id as text) mod 5 has this value.
-FOLDS = 5
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; where it is unset (tests), one that is made here."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="corpusmill-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
+from ..sources.shared import materialize, new_folder, shared_dir, table
 
-def new_folder(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/corpusmill/{tag}-{uuid.uuid4().hex}"
+__all__ = ["FOLDS", "WordHash", "byte_texts", "fold", "materialize", "new_folder", "shared_dir", "table"]
 
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it again: lineage ends there, and a lost executor costs nothing."""
-    path = new_folder(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: A document is training data of classifier N unless crc32(doc_id as text) mod 5 has this value.
+FOLDS = 5
 
 
 def fold(doc_id) -> F.Column:
@@ -62,7 +42,3 @@ class WordHash(dict):
         if len(word) <= 64:
             self[word] = value
         return value
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))

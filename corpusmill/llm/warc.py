@@ -102,17 +102,17 @@ def write(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, path = fs.FileSystem.from_uri(folder)
         system.create_dir(path, recursive=True)
-        name, offset, out = f"{path}/{uuid.uuid4().hex}.warc.gz", 0, None
+        name, offset, out = f"{uuid.uuid4().hex}.warc.gz", 0, None
         for batch in batches:
             rows = []
-            out = out or system.open_output_stream(name, compression=None)
+            out = out or system.open_output_stream(f"{path}/{name}", compression=None)
             for page_id, url, body, revisit, owner in zip(*(batch.column(i) for i in range(5)), strict=True):
                 page_id, url, body, revisit, owner = page_id.as_py(), url.as_py(), body.as_py(), revisit.as_py(), owner.as_py()
                 digest = base32_sha1(body)
                 packer = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
                 member = packer.compress(record(page_id, url, None if revisit else body, len(body), digest, owner)) + packer.flush()
                 out.write(member)
-                rows.append((page_id, url, digest, "revisit" if revisit else "response", name, offset, len(member)))
+                rows.append((page_id, url, digest, "revisit" if revisit else "response", f"{folder}/{name}", offset, len(member)))
                 offset += len(member)
             kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
             columns = list(zip(*rows, strict=True)) or [[]] * len(kinds)
@@ -128,7 +128,7 @@ def read(index: DataFrame, payloads: bool = True) -> DataFrame:
     """Records of the selected index rows, with the columns of ``RECORD``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, open_name, file = None, None, None
+        open_name, file = None, None
         kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
         names = [x.split()[0] for x in RECORD.split(", ")]
 
@@ -147,8 +147,8 @@ def read(index: DataFrame, payloads: bool = True) -> DataFrame:
         for batch in batches:
             for name, found in ranges(batch):
                 if name != open_name:
-                    system = system or fs.FileSystem.from_uri(batch.column(3)[0].as_py())[0]
-                    open_name, file = name, system.open_input_file(name)
+                    system, path = fs.FileSystem.from_uri(name)
+                    open_name, file = name, system.open_input_file(path)
                 start, end = found[0][0], sum(found[-1])
                 data = file.read_at(end - start, start)
                 rows = [parse(zlib.decompress(data[a - start : a - start + n], 31)) for a, n in found]
@@ -157,9 +157,8 @@ def read(index: DataFrame, payloads: bool = True) -> DataFrame:
                         r["payload"] = None
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], k) for c, k in zip(names, kinds, strict=True)], names=names)
 
-    folder = F.lit(index.sparkSession.conf.get("spark.checkpoint.dir"))
     tasks = index.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    ordered = index.select("file", "offset", "length", folder.alias("folder")).repartitionByRange(int(tasks), "file", "offset").sortWithinPartitions("file", "offset")
+    ordered = index.select("file", "offset", "length").repartitionByRange(int(tasks), "file", "offset").sortWithinPartitions("file", "offset")
     return ordered.mapInArrow(run, RECORD)
 
 
