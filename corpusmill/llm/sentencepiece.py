@@ -27,7 +27,9 @@ SPACE = "▁"
 #: Piece kinds of the model format (fixed values).
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Chunks up to so many characters are remembered, up to so many of them.
-CHUNK_CHARS, CHUNKS = 40, 150_000
+CHUNK_CHARS, CHUNKS = 40, 220_000
+#: Rank of a pair that isn't a piece.
+NEVER = float("inf")
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -117,13 +119,27 @@ class Model:
         self.charmap = CharMap(charmap)
         self.rank = {p: -s for p, s, k in zip(self.pieces, scores, self.kinds, strict=True) if k == NORMAL}
         self.id = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == NORMAL}
+        self.known = {p: (i, len(p.encode())) for p, i in self.id.items()}
         self.unknown = self.kinds.index(UNKNOWN)
         bytes_ = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == BYTE}
         self.byte_ids = [bytes_[b] for b in range(256)] if len(bytes_) == 256 else None
         #: No piece holds a space mark after another character, so no merge crosses such a place: chunks are independent.
         self.chunked = all(SPACE not in p.lstrip(SPACE) for p in self.id)
+        self.cut = self._cut_pattern()
         self.plain = not charmap and not self.squeeze and self.dummy_prefix and self.escape
 
+    def _cut_pattern(self) -> re.Pattern:
+        """Finds a place inside a chunk that no merge crosses: a character that no piece joins to a letter before it, or one
+        that no piece joins to anything."""
+        joined = {p[i : i + 2] for p in self.id for i in range(len(p) - 1)}
+        after_letter = {b for a, b in joined if a.isalpha()}
+        inside = {c for pair in joined for c in pair}
+        marks = [chr(c) for c in range(128) if not chr(c).isalnum()]
+        apart = "".join(re.escape(c) for c in marks if c not in after_letter)
+        alone = "".join(re.escape(c) for c in marks if c not in inside)
+        patterns = [rf"(?<=[^\W\d_])[{apart}]"] * bool(apart) + [rf"(?<=.)[{alone}]", rf"(?<=[{alone}])."] * bool(alone)
+        return re.compile("|".join(patterns) or r"(?!)", re.DOTALL)
+
     def normalize(self, data: bytes) -> tuple[bytes, array]:
         """Normalised bytes, and for each of them and the end the original byte it begins at."""
         out, source, i = bytearray(), array("i"), 0
@@ -168,23 +184,19 @@ class Model:
 
     def segment(self, chunk: str) -> list[str]:
         """BPE: join the adjoining pair with the best-ranked joint piece, the leftmost of equals, until none is left."""
-        rank, parts = self.rank, list(chunk)
+        rank, parts = self.rank.get, list(chunk)
         if len(parts) > 48:
             return self._segment_long(parts)
-        ranks = [rank.get(a + b) for a, b in zip(parts, parts[1:], strict=False)]
-        while True:
-            best, at = None, -1
-            for i, r in enumerate(ranks):
-                if r is not None and (best is None or r < best):
-                    best, at = r, i
-            if best is None:
-                return parts
+        ranks = [rank(a + b, NEVER) for a, b in zip(parts, parts[1:], strict=False)]
+        while ranks and (best := min(ranks)) < NEVER:
+            at = ranks.index(best)
             parts[at] += parts.pop(at + 1)
-            ranks.pop(at)
+            del ranks[at]
             if at < len(ranks):
-                ranks[at] = rank.get(parts[at] + parts[at + 1])
+                ranks[at] = rank(parts[at] + parts[at + 1], NEVER)
             if at:
-                ranks[at - 1] = rank.get(parts[at - 1] + parts[at])
+                ranks[at - 1] = rank(parts[at - 1] + parts[at], NEVER)
+        return parts
 
     def _segment_long(self, parts: list[str]) -> list[str]:
         rank, n = self.rank, len(parts)
@@ -209,35 +221,63 @@ class Model:
             offer(i, after[i])
         return [p for p in parts if p]
 
-    def pieces_of(self, normal: str) -> tuple[list[int], list[int]]:
-        """Ids of a normalised text, and how many of its bytes each covers (bytes of a fallback share the character)."""
-        ids, sizes = [], []
+    def pieces_of(self, normal: str) -> list[int]:
+        """Of each piece of a normalised text its id and how many bytes it covers, in turn (byte pieces of one character: the
+        last covers it)."""
+        out: list[int] = []
         for part in self.segment(normal):
-            i = self.id.get(part)
-            if i is not None:
-                ids.append(i)
-                sizes.append(len(part.encode()))
-            elif self.byte_ids:
-                raw = part.encode()
-                ids.extend(self.byte_ids[b] for b in raw)
-                sizes.extend([0] * (len(raw) - 1) + [len(raw)])
-            elif ids and ids[-1] == self.unknown:
-                sizes[-1] += len(part.encode())
+            known = self.known.get(part)
+            if known is not None:
+                out += known
+                continue
+            raw = part.encode()
+            if self.byte_ids:
+                for b in raw[:-1]:
+                    out += (self.byte_ids[b], 0)
+                out += (self.byte_ids[raw[-1]], len(raw))
+            elif out and out[-2] == self.unknown:
+                out[-1] += len(raw)
             else:
-                ids.append(self.unknown)
-                sizes.append(len(part.encode()))
-        return ids, sizes
+                out += (self.unknown, len(raw))
+        return out
+
+
+class Chunks(dict):
+    """Chunk of a plain text -> ids and original bytes of its pieces, in turn, as 32-bit numbers; frequent ones are kept."""
+
+    def __init__(self, model: Model):
+        super().__init__()
+        self.model = model
+
+    def __missing__(self, chunk: str) -> bytes:
+        place = self.model.cut.search(chunk)
+        if place and place.start() and len(chunk) <= CHUNK_CHARS:
+            value = self[chunk[: place.start()]] + self[chunk[place.start() :]]
+            self[chunk] = value
+            return value
+        pieces = self.model.pieces_of(chunk)
+        marks = len(chunk) - len(chunk.lstrip(SPACE))
+        for i in range(1, len(pieces), 2):  # space marks lead the chunk; each of their three bytes was one of the original
+            if not marks:
+                break
+            here = min(marks, pieces[i] // 3)
+            pieces[i] -= 2 * here
+            marks -= here
+        value = array("i", pieces).tobytes()
+        if len(chunk) <= CHUNK_CHARS:
+            if len(self) >= CHUNKS:
+                self.clear()
+            self[chunk] = value
+        return value
 
 
 class Encoder:
-    """Encodes texts, chunk by chunk where the model allows, remembering frequent chunks."""
+    """Encodes texts, chunk by chunk where the model allows."""
 
     CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
     def __init__(self, model: Model):
-        self.model = model
-        self.ids: dict[str, bytes] = _Chunks(self)
-        self.sizes: dict[str, bytes] = {}
+        self.model, self.chunks = model, Chunks(model)
 
     def encode(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Ids and bounds of one text in UTF-8."""
@@ -247,53 +287,16 @@ class Encoder:
         if model.plain and model.chunked and SPACE.encode() not in data:
             # Nothing is replaced but spaces: the alignment is one normalised character to one original character.
             chunks = self.CHUNK.findall(SPACE + data.decode().replace(" ", SPACE))
-            ids = np.frombuffer(b"".join(map(self.ids.__getitem__, chunks)), np.int32)
-            sizes = np.frombuffer(b"".join(map(self._size, chunks)), np.int32).copy()
-            bounds = np.concatenate(([0], np.cumsum(sizes)))
+            pieces = np.frombuffer(b"".join(map(self.chunks.__getitem__, chunks)), np.int32)
+            bounds = np.concatenate(([0], np.cumsum(pieces[1::2])))
             bounds[1:] -= 1  # the space mark in front stands for no original byte
-            return ids, np.maximum(bounds, 0).astype(np.int32)
+            return pieces[::2], np.maximum(bounds, 0).astype(np.int32)
         normal, source = model.normalize(data)
-        ids, sizes = [], []
+        pieces = []
         for chunk in self.CHUNK.findall(normal.decode()) if model.chunked else [normal.decode()]:
-            a, b = model.pieces_of(chunk)
-            ids += a
-            sizes += b
-        ends = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
-        return np.array(ids, np.int32), np.frombuffer(source, np.int32)[ends]
-
-    def _size(self, chunk: str) -> bytes:
-        found = self.sizes.get(chunk)
-        return found if found is not None else self.ids.new(chunk)[1]
-
-
-class _Chunks(dict):
-    """chunk -> ids as bytes; beside it, in Encoder.sizes, the original bytes of each piece, a space mark being one byte."""
-
-    def __init__(self, encoder: Encoder):
-        super().__init__()
-        self.encoder = encoder
-
-    def new(self, chunk: str) -> tuple[bytes, bytes]:
-        ids, sizes = self.encoder.model.pieces_of(chunk)
-        marks = len(chunk) - len(chunk.lstrip(SPACE))
-        if marks:  # marks lead the chunk, so they lie in its first pieces
-            for i, size in enumerate(sizes):
-                here = min(marks, size // 3)
-                sizes[i] -= 2 * here
-                marks -= here
-                if not marks:
-                    break
-        a, b = array("i", ids).tobytes(), array("i", sizes).tobytes()
-        if len(chunk) <= CHUNK_CHARS:
-            if len(self) >= CHUNKS:
-                self.clear()
-                self.encoder.sizes.clear()
-            self[chunk] = a
-            self.encoder.sizes[chunk] = b
-        return a, b
-
-    def __missing__(self, chunk: str) -> bytes:
-        return self.new(chunk)[0]
+            pieces += model.pieces_of(chunk)
+        ends = np.concatenate(([0], np.cumsum(pieces[1::2], dtype=np.int64)))
+        return np.array(pieces[::2], np.int32), np.frombuffer(source, np.int32)[ends]
 
 
 class Decoder:
