@@ -5,9 +5,11 @@ chunks: chunk_id, doc_id, rev, curated map<string,string>, suggestions map<strin
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .numbering import numbered
+
 
 def merge(before: Column, patch: Column) -> Column:
     """``before`` with the entries of ``patch`` over it."""
@@ -112,8 +114,7 @@ def guidelines(fields: DataFrame) -> DataFrame:
 def annotation_tasks(chunks: DataFrame, docs: DataFrame, limit: int | None = None, batch: int = 100) -> DataFrame:
     """Task rows of the chunks of the given documents, in order, in batches."""
     picked = chunks.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
-    ranked = picked.withColumn("n", F.row_number().over(Window.orderBy("doc_id", "order")))
-    ranked = ranked if limit is None else picked.orderBy("doc_id", "order").limit(limit).withColumn("n", F.row_number().over(Window.orderBy("doc_id", "order")))
+    ranked = numbered(picked if limit is None else picked.orderBy("doc_id", "order").limit(limit), ["doc_id", "order"])
     return ranked.select(F.col("n").alias("id"), F.struct("text", "chunk_id", "doc_id").alias("data"), F.floor((F.col("n") - 1) / batch).alias("batch"))
 
 
