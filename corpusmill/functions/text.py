@@ -40,6 +40,11 @@ def token_count(text: Column) -> Column:
     return F.size(tokens(text))
 
 
+def token_length(text: Column, tokenizer=None) -> Column:
+    """Words, or what ``tokenizer`` (a pandas UDF from text to int) counts."""
+    return token_count(text) if tokenizer is None else tokenizer(text)
+
+
 @F.pandas_udf(T.StringType())
 def _nfc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in batches:

@@ -112,6 +112,20 @@ def accuracy(answers: DataFrame, *keys: str) -> DataFrame:
     return answers.groupBy(*keys).agg(F.count("*").alias("total"), F.coalesce(F.sum(right), F.lit(0)).alias("correct"), F.coalesce(F.avg(right), F.lit(0.0)).alias("accuracy"))
 
 
+def answered(examples: DataFrame, model) -> DataFrame:
+    """Examples (prompt, expected) with the answers of ``model``, a pandas UDF from text to text or any Column function."""
+    return examples.withColumn("answer", model(F.col("prompt")))
+
+
+def keep_results(results: DataFrame, path: str) -> None:
+    """Adds results by release to the history; a release that comes again replaces its own."""
+    results.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("release").parquet(path)
+
+
+def evaluated_releases(history: DataFrame) -> DataFrame:
+    return history.select("release").distinct().orderBy("release")
+
+
 def part_hashes(blocks: DataFrame) -> DataFrame:
     """Per document and part (file, else page) the hash of its block texts in order; blocks with neither are left out."""
     part = F.coalesce("file_path", F.col("page").cast("string"))

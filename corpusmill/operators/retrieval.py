@@ -33,6 +33,13 @@ def embed(texts: DataFrame, key: str, text: str = "text", dimensions: int = DIME
     return counts.select(key, "bucket", (F.col("n") / norm).alias("weight"))
 
 
+def embed_with(texts: DataFrame, key: str, model, text: str = "text") -> DataFrame:
+    """Sparse unit vectors of another embedding: ``model`` is a pandas UDF from text to array<float>."""
+    parts = texts.select(key, F.posexplode(model(F.col(text))).alias("bucket", "w")).where("w <> 0")
+    norm = F.sqrt(F.sum(F.col("w").cast("double") * F.col("w")).over(Window.partitionBy(key)))
+    return parts.select(key, "bucket", (F.col("w") / norm).alias("weight"))
+
+
 def dense(sparse: DataFrame, key: str, dimensions: int = DIMENSIONS) -> DataFrame:
     """key, embedding array<float>."""
     maps = sparse.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("m"))

@@ -114,6 +114,12 @@ def write_bundle(chunks: DataFrame, fields: dict[str, str], path: str) -> None:
     project(chunks, fields, ("split",) if "split" in chunks.columns else ()).withColumn("split", F.coalesce(split, F.lit("train"))).write.partitionBy("split").parquet(path)
 
 
+def write_snapshot_csv(chunks: DataFrame, path: str) -> None:
+    """A snapshot as CSV, content and metadata as JSON."""
+    columns = {"doc_id": "doc_id", "chunk_id": "chunk_id", "order": "`order`", "content": "to_json(content)", "metadata": "to_json(metadata)"}
+    project(chunks, columns).write.csv(path, header=True)
+
+
 def export_id(settings: dict) -> str:
     return hashlib.sha256(json.dumps(settings, sort_keys=True).encode()).hexdigest()
 
