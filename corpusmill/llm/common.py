@@ -6,11 +6,12 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import materialize, new_folder, shared_dir, table
 
-__all__ = ["FOLDS", "WordHash", "byte_texts", "fold", "materialize", "new_folder", "shared_dir", "table"]
+__all__ = ["FOLDS", "WordHash", "byte_texts", "fold", "materialize", "new_folder", "shared_dir", "small_batches", "table"]
 
 #: A document is training data of classifier N unless crc32(doc_id as text) mod 5 has this value.
 FOLDS = 5
@@ -21,6 +22,16 @@ def fold(doc_id) -> F.Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % FOLDS
 
 
+#: Rows of an Arrow batch of texts; a batch is held in the JVM and in Python at once.
+BATCH_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose session from now on sends texts to Python in batches of ``BATCH_ROWS``."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
+
+
 def byte_texts(column: pa.Array) -> Iterator[bytes]:
     """UTF-8 bytes of a string column, one at a time; null: empty."""
     for value in column.cast(pa.large_binary()) if not pa.types.is_large_binary(column.type) else column:
