@@ -1,10 +1,16 @@
 """Quality rules whose cutoffs are risk-controlled.
 
 Each rule is a number that grows with junk. Labelled good documents are the holdout: within a stratum (a class of length)
-a rule's cutoff is tightened step by step, from rejecting nothing, for as long as an exact binomial test says that the rule
-rejects less than its share of the allowed ``risk`` of good documents. The tests are corrected for their number: Bonferroni
-over strata and rules, a fixed sequence over the steps of one rule. With probability ``1 - delta`` no stratum then loses
-more than ``risk`` of its good documents. A stratum with too few labels gets no cutoff and rejects nothing.
+the rules' cutoffs are tightened step by step along one path, from rejecting nothing, for as long as an exact binomial test
+says that the rules together reject less than the allowed ``risk`` of good documents. A path goes down rule after rule, the
+rule with the highest mean among labelled bad documents first; bad documents are no part of the tests, so the path is fixed
+before they begin. The tests are corrected for their number: Bonferroni over strata, a fixed sequence over the steps of a
+path. With probability ``1 - delta`` no stratum then loses more than ``risk`` of its good documents.
+
+A stratum with fewer good labels than a first step needs (``least_labels``) is joined with a neighbour, by the numbers of
+labels alone (``joined``); what is said of a stratum then holds for the joined one, whose path also ends where one of its
+strata would lose more than ``risk`` of the good documents labelled there. Only where all labels together are too few
+nothing is rejected.
 
 Null texts count as empty. Rows that repeat are measured each for itself. Labels that are null, or of no document, take no
 part; of a document with several labels the largest counts.
@@ -120,28 +126,59 @@ def binomial_cdf(k: int, n: int, p: float) -> float:
     return min(1.0, math.exp(top) * sum(math.exp(t - top) for t in terms))
 
 
+def least_labels(risk: float, level: float) -> int:
+    """The fewest good documents with which rejecting none of them passes a test."""
+    return math.ceil(math.log(level) / math.log1p(-risk))
+
+
+def joined(counts: list[int], least: int) -> list[list[int]]:
+    """Strata in groups of neighbours: the smallest group below ``least`` joins its smaller neighbour until there is none."""
+    groups = [[s] for s in range(len(counts))]
+    total = lambda g: sum(counts[s] for s in g)
+    while len(groups) > 1 and total(min(groups, key=total)) < least:
+        at = groups.index(min(groups, key=total))
+        other = min((k for k in (at - 1, at + 1) if 0 <= k < len(groups)), key=lambda k: total(groups[k]))
+        low = min(at, other)
+        groups[low : low + 2] = [groups[low] + groups[low + 1]]
+    return groups
+
+
 def cutoffs(measured: DataFrame, labels: DataFrame, risk: float = 0.01, delta: float = 0.05) -> dict[tuple[int, str], int]:
-    """(stratum, rule) -> the step above which the rule rejects. Good documents of all labels count.
+    """(stratum, rule) -> the step above which the rule rejects. Labels of all documents count.
 
-    What comes to the driver is a histogram: at most strata x rules x (STEPS + 1) rows, whatever the input.
+    What comes to the driver is sums and a histogram: at most strata x (rules x STEPS + 1) rows, whatever the input.
     """
     named = rules()
-    good = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("__good")).where("__good = 1").select("doc_id")
-    step = {r: F.ceil(x * STEPS).cast("int") for r, x in named.items()}
-    bins = F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), x.alias("bin")) for r, x in step.items())))
-    seen = measured.where(~base_failed()).select("doc_id", *COUNTS).join(good, "doc_id").select(stratum().alias("stratum"), bins.alias("x")).groupBy("stratum", "x.rule", "x.bin").count().collect()
+    n_strata, n_path = len(STRATA) + 1, len(named) * STEPS
+    marks = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("__quality"))
+    bins = [F.ceil(x * STEPS).cast("int").alias(f"__bin_{r}") for r, x in named.items()]
+    marked = measured.where(~base_failed()).select("doc_id", *COUNTS).join(marks.where("__quality in (0, 1)"), "doc_id").select("__quality", stratum().alias("__stratum"), *bins)
+    sums = {(r["__stratum"], r["__quality"]): r for r in marked.groupBy("__stratum", "__quality").agg(F.count("*").alias("__n"), *(F.sum(f"__bin_{r}").alias(r) for r in named)).collect()}
+    level = delta / n_strata
+    groups = joined([sums[s, 1]["__n"] if (s, 1) in sums else 0 for s in range(n_strata)], least_labels(risk, level))
+    of_bad = [{rule: sum(sums[s, 0][rule] for s in group if (s, 0) in sums) for rule in named} for group in groups]
+    orders = [sorted(named, key=lambda rule: -x[rule]) for x in of_bad]  # stable: equal rules stay in the order of their names
+    # Place on its group's path at which a document is rejected for the first time.
+    never = n_path + 1
+    place = F.lit(never)
+    for group, order in zip(groups, orders, strict=True):
+        firsts = [F.when(F.col(f"__bin_{rule}") > 0, (k + 1) * STEPS + 1 - F.col(f"__bin_{rule}")) for k, rule in enumerate(order)]
+        place = F.when(F.col("__stratum").isin(group), F.coalesce(F.least(*firsts), F.lit(never))).otherwise(place)
+    seen = marked.where("__quality = 1").groupBy("__stratum", place.alias("__place")).count().collect()
     chosen = {}
-    level, share = delta / ((len(STRATA) + 1) * len(named)), risk / len(named)
-    for s in range(len(STRATA) + 1):
-        for rule in named:
-            histogram = np.zeros(STEPS + 1, np.int64)
-            for row in seen:
-                if row["stratum"] == s and row["rule"] == rule:
-                    histogram[row["bin"]] += row["count"]
-            n, cut = int(histogram.sum()), STEPS
-            while cut > 0 and n and binomial_cdf(int(histogram[cut:].sum()), n, share) <= level:
-                cut -= 1
-            chosen[s, rule] = cut
+    for group, order in zip(groups, orders, strict=True):
+        histogram = np.zeros((n_strata, never + 1), np.int64)
+        for row in seen:
+            if row["__stratum"] in group:
+                histogram[row["__stratum"], row["__place"]] += row["count"]
+        n, rejected, tested, last = histogram.sum(axis=1), np.zeros(n_strata, np.int64), -1, 0
+        for at in range(1, n_path + 1 if n.sum() else 1):
+            rejected += histogram[:, at]
+            if (k := int(rejected.sum())) != tested and (binomial_cdf(k, int(n.sum()), risk) > level or (rejected > risk * n).any()):
+                break
+            tested, last = k, at
+        for k, rule in enumerate(order):
+            chosen |= {(s, rule): STEPS - min(max(last - k * STEPS, 0), STEPS) for s in group}
     return chosen
 
 

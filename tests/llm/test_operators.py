@@ -233,6 +233,20 @@ def test_cutoffs_limit_false_rejection(spark):
     assert sum(good) >= 0.95 * len(good) and not any(kept[i] for i, _ in rows if i % 5 == 0)
 
 
+def test_cutoffs_with_few_labels(spark):
+    assert quality_rules.least_labels(0.01, 0.0125) == 437
+    assert quality_rules.joined([399, 2084, 803, 44], 436) == [[0, 1], [2, 3]] and quality_rules.joined([1, 2, 3, 4], 436) == [[0, 1, 2, 3]]
+    rng = random.Random(8)
+    # 600 good documents of 150 words, 60 of 600 words, each fifth document junk by its symbols, and one good with a symbol.
+    rows = [(i, prose(rng, 150 if i < 750 else 600) + (" #" * 120 if i % 5 == 0 else " #" if i == 1 else "")) for i in range(825)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i % 5 != 0)) for i, _ in rows], "doc_id long, quality int")
+    kept = {r["doc_id"]: r["kept"] for r in quality_rules.quality_rules(df, marks).collect()}
+    assert not any(kept[i] for i, _ in rows if i % 5 == 0)
+    good = [kept[i] for i, _ in rows if i % 5]
+    assert sum(not k for k in good) <= 0.01 * len(good)
+
+
 # 7
 
 
