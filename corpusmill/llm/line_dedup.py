@@ -1,13 +1,14 @@
 """Line dedup by pairwise alignment.
 
-Two documents overlap when they share a line hash. For every line hash its first owner is the earliest document (smallest
-doc_id, then position) that holds it; each later document is paired with the owners of its lines, so a line shared by any
-number of documents gives each of them one partner and never all pairs. A pair is aligned by patience diff: lines that are
-unique in both anchor a longest increasing run, and equal lines next to an anchor extend it. An aligned common block is
-deleted from the later document when it holds ``least_words`` words. The first owner keeps a line, so one copy of every
-line stays in the corpus.
-
-Rarity decides how pairs are found and needs no threshold: a line of two documents makes that pair, a line of thousands
+Two documents overlap when they share a block: a run of lines of at least ``least_words`` words. The keys of a document are
+its least windows: from each line the shortest run of lines forward, and backward, with so many words. Each line of a common
+block lies in a least window that is wholly in the block, so that blocks are found by windows whoever owns their lines singly.
+For every window its first owner is the earliest document (smallest doc_id) that holds it; each later document is paired
+with the owners of its windows, so a window shared by any number of documents gives each of them one partner and never all
+pairs. A pair is aligned over the windows that lead to it, and the lines of aligned windows are deleted from the later
+document. The first owner keeps a window, so one copy of every line stays in the corpus.
+
+Rarity decides how pairs are found and needs no threshold: a window of two documents makes that pair, a window of thousands
 makes each of them a pair with its first owner only, so frequent lines are neither dropped nor expanded.
 
 Lines end at newlines. Lines without a word take part in no block, but a block may reach across them. Null texts have no
@@ -17,17 +18,20 @@ its fate. A null doc_id counts as the latest. Texts that lose nothing come back
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import accumulate, groupby
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import byte_texts, materialize, small_batches
 
 LEAST_WORDS = 8
+#: Windows of an Arrow batch that goes back to the JVM.
+BATCH_WINDOWS = 50_000
 
 
 def patience(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -50,66 +54,97 @@ def patience(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return run[::-1]
 
 
-def aligned_blocks(lines: list[tuple[int, int, int, int]], least_words: int) -> list[int]:
-    """Ranks to delete from the later document of a pair.
-
-    lines: (rank, owner's rank, words, line hash) of the lines that the pair shares, sorted by rank. Lines that occur once
-    in the later document are anchors; the others count when they stand next to a taken line in both documents.
-    """
-    if len(lines) == 1:
-        return [lines[0][0]] if lines[0][2] >= least_words else []
-    times: dict[int, int] = {}
-    for x in lines:
-        times[x[3]] = times.get(x[3], 0) + 1
-    taken = dict(patience([(x[0], x[1]) for x in lines if times[x[3]] == 1]))
-    for step in (1, -1):
-        last = None
-        for x in lines[::step]:
-            if x[0] in taken:
-                last = (x[0], taken[x[0]])
-            elif last == (x[0] - step, x[1] - step):
-                taken[x[0]] = x[1]
-                last = (x[0], x[1])
-    if not taken:  # only repeated lines: the first of each stands for its owner's
-        firsts: dict[int, tuple[int, int]] = {}
-        for x in lines:
-            firsts.setdefault(x[3], (x[0], x[1]))
-        taken = dict(patience(sorted(firsts.values())))
-    out: list[int] = []
-    block: list[tuple[int, int, int]] = []
-    for x in [*lines, None]:
-        if x is not None and x[0] not in taken:
-            continue
-        if block and (x is None or x[0] != block[-1][0] + 1 or taken[x[0]] != block[-1][2] + 1):
-            if sum(b[1] for b in block) >= least_words:
-                out.extend(b[0] for b in block)
-            block = []
-        if x is not None:
-            block.append((x[0], x[2], taken[x[0]]))
+def least_windows(words: list[int], least_words: int) -> list[tuple[int, int]]:
+    """(first line, line after the last) of the shortest runs with ``least_words`` words from each line forward and backward."""
+    ends = [0, *accumulate(words)]
+    found = set()
+    for i in range(len(words)):
+        j = bisect_left(ends, ends[i] + least_words)
+        if j < len(ends):
+            found.add((i, j))
+        k = bisect_right(ends, ends[i + 1] - least_words) - 1
+        if k >= 0:
+            found.add((k, i + 1))
+    return sorted(found)
+
+
+def keys_of(text: bytes, least_words: int) -> dict[tuple[int, int, int], list[int]]:
+    """(128-bit hash as two longs, lines) of each least window -> the ranks at which it begins. Ranks leave out lines without a word."""
+    lines, words = [], []
+    for line in text.split(b"\n"):
+        if n := len(line.split()):
+            lines.append(line)
+            words.append(n)
+    out: dict[tuple[int, int, int], list[int]] = {}
+    for i, j in least_windows(words, max(1, least_words)):
+        key = xxhash.xxh3_128_digest(lines[i] if j == i + 1 else b"\n".join(lines[i:j]))
+        out.setdefault((int.from_bytes(key[:8], "little", signed=True), int.from_bytes(key[8:], "little", signed=True), j - i), []).append(i)
     return out
 
 
+def windows(docs: DataFrame, least_words: int) -> DataFrame:
+    """d, e (of ``docs``), h, g (key), n (lines) and at array<int> (ranks): a row for each document and least window."""
+    names = ("d", "e", "h", "g", "n", "at")
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()))
+        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=list(names))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for batch in batches:
+            for d, e, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), byte_texts(batch.column(2)), strict=True):
+                out.extend((d, e, *key, at) for key, at in keys_of(text, least_words).items())
+                if len(out) >= BATCH_WINDOWS:
+                    yield batch_of(out)
+                    out = []
+        if out:
+            yield batch_of(out)
+
+    return small_batches(docs).mapInArrow(run, "d long, e long, h long, g long, n int, at array<int>")
+
+
+def aligned(later: list[tuple[int, int]], earlier: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """(place in later, place in earlier) of a common subsequence: equal keys are met in order, then a longest rising run."""
+    places: dict[tuple[int, int], list[int]] = {}
+    for k, key in enumerate(earlier):
+        places.setdefault(key, []).append(k)
+    rest = {key: iter(at) for key, at in places.items()}
+    met = [(k, next(rest[key], None)) for k, key in enumerate(later) if key in rest]
+    return patience([x for x in met if x[1] is not None])
+
+
+def shared_lines(rows: list[tuple[int, int, int, list[int], list[int]]]) -> list[int]:
+    """Ranks to delete from the later document of a pair; rows: (h, g, lines, ranks in the later, ranks in the earlier)."""
+    if len(rows) == 1 and len(rows[0][3]) == 1:
+        return list(range(rows[0][3][0], rows[0][3][0] + rows[0][2]))
+    later = sorted((at, n, (h, g)) for h, g, n, ranks, _ in rows for at in ranks)
+    earlier = sorted((at, n, (h, g)) for h, g, n, _, ranks in rows for at in ranks)
+    gone: set[int] = set()
+    for k, _ in aligned([x[2] for x in later], [x[2] for x in earlier]):
+        gone.update(range(later[k][0], later[k][0] + later[k][1]))
+    return sorted(gone)
+
+
 def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """All columns of ``docs``, text without the deleted lines, and n_lines, removed_lines array<int> (positions from 0).
 
-    Only line hashes, places and counts are shuffled by line and by pair; texts move once, to meet their deletions.
+    Only hashes, places and counts are shuffled by window and by pair; texts move once, to meet their deletions.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     lines = F.split(text, "\n", -1)
-    n_words = lambda x: F.size(F.filter(F.split(x, "[ \\t\\x0B\\f\\r]+"), lambda w: w != ""))
-    full = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("pos"), F.xxhash64(x).alias("h"), F.xxhash64(F.lit(7), x).alias("g"), n_words(x).alias("words"))), lambda x: x["words"] > 0)
     ids = (F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("d"), F.xxhash64(text).alias("e"))
-    exploded = docs.select(*ids, F.posexplode(full).alias("rank", "x")).select("d", "e", "rank", "x.*")
-    # Written, so that the join below reads both sides from shuffles of its own and a frequent line's rows can be split.
+    found = windows(docs.select(*ids, text.alias("text")), least_words)
+    # Written, so that the join below reads both sides from shuffles of its own and a frequent window's rows can be split.
     owners = materialize(
-        exploded.groupBy("h", "g")
-        .agg(F.min(F.struct("d", "e", "rank")).alias("o"), F.max(F.struct("d", "e")).alias("last"))
+        found.groupBy("h", "g")
+        .agg(F.min(F.struct("d", "e", "at")).alias("o"), F.max(F.struct("d", "e")).alias("last"))
         .where(F.struct("o.d", "o.e") != F.col("last"))
         .select("h", "g", "o"),
         "line-owners",
     )
-    shared = exploded.join(owners, ["h", "g"]).where(F.struct("d", "e") != F.struct("o.d", "o.e"))
-    pairs = shared.select("d", "e", F.col("o.d").alias("od"), F.col("o.e").alias("oe"), "rank", F.col("o.rank").alias("orank"), "words", "h", "pos").distinct()
+    shared = found.join(owners, ["h", "g"]).where(F.struct("d", "e") != F.struct("o.d", "o.e"))
+    pairs = shared.select("d", "e", F.col("o.d").alias("od"), F.col("o.e").alias("oe"), "h", "g", "n", "at", F.col("o.at").alias("oat")).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def of_pairs() -> Iterator[tuple]:
@@ -118,11 +153,9 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
 
         out: list[tuple[int, int, list[int]]] = []
         for (d, e, _, _), rows in groupby(of_pairs(), key=lambda r: r[:4]):
-            rows = list(rows)
-            gone = aligned_blocks([r[4:8] for r in rows], least_words)
+            gone = shared_lines([r[4:] for r in rows])
             if gone:
-                place = {r[4]: r[8] for r in rows}
-                out.append((d, e, [place[g] for g in gone]))
+                out.append((d, e, gone))
             if len(out) >= 4096:
                 yield batch_of(out)
                 out = []
@@ -135,18 +168,21 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
 
     gone = (
         pairs.repartition("d", "e", "od", "oe")
-        .sortWithinPartitions("d", "e", "od", "oe", "rank")
+        .sortWithinPartitions("d", "e", "od", "oe")
         .mapInArrow(run, "d long, e long, gone array<int>")
         .groupBy("d", "e")
-        .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("__gone"))
-        .select(F.col("d").alias("__d"), F.col("e").alias("__e"), "__gone")
+        .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("__ranks"))
+        .select(F.col("d").alias("__d"), F.col("e").alias("__e"), "__ranks")
     )
+    places = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike("[^ \\t\\x0B\\f\\r]"), i)), lambda i: i.isNotNull())
     kept = F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains("__gone", i), x)), lambda x: x.isNotNull())
     return (
         docs.withColumns({"__d": ids[0], "__e": ids[1]})
         .join(gone, ["__d", "__e"], "left")
+        .withColumn("__places", F.when(F.col("__ranks").isNotNull(), places))
+        .withColumn("__gone", F.transform("__ranks", lambda r: F.get("__places", r)))
         .withColumn("n_lines", F.when(text == "", 0).otherwise(F.size(lines)))
         .withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
         .withColumn("removed_lines", F.coalesce("__gone", F.array().cast("array<int>")))
-        .drop("__d", "__e", "__gone")
+        .drop("__d", "__e", "__ranks", "__places", "__gone")
     )

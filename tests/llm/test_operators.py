@@ -132,6 +132,29 @@ def test_line_dedup_keeps_one_copy_of_every_line(spark, docs):
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_line_dedup_finds_blocks_whose_lines_have_other_owners(spark):
+    rng = random.Random(12)
+    pool = [f"{prose(rng, rng.randrange(1, 5))} p{k}" for k in range(40)]
+    rows = [(k, f"first {k}\n{x}\n\nlast {k}") for k, x in enumerate(pool)]  # every line is owned singly
+    blocks = [[rng.sample(pool, 1)[0] for _ in range(1)] for _ in range(3)] + [rng.sample(pool, n) for n in (2, 3, 4, 5, 6, 7)]
+    rows += [(100 + k, f"a{k}\n" + "\n\n".join(blocks[k % len(blocks)]) + f"\nz{k}") for k in range(40)]
+    found = {r["doc_id"]: set(r["removed_lines"]) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    for at, (i, t) in enumerate(rows):  # brute force: all common runs with all earlier documents
+        full = [(p, x) for p, x in enumerate(t.split("\n")) if x.split()]
+        want = set()
+        for _, other in rows[:at]:
+            theirs = [x for x in other.split("\n") if x.split()]
+            for a in range(len(full)):
+                for b in range(len(theirs)):
+                    n = 0
+                    while a + n < len(full) and b + n < len(theirs) and full[a + n][1] == theirs[b + n]:
+                        n += 1
+                    if sum(len(x.split()) for _, x in full[a : a + n]) >= 8:
+                        want |= {p for p, _ in full[a : a + n]}
+        assert found[i] == want, i
+    assert sum(map(len, found.values())) > 40
+
+
 # 4
 
 
