@@ -5,8 +5,8 @@ its least windows: from each line the shortest run of lines forward, and backwar
 block lies in a least window that is wholly in the block, so that blocks are found by windows whoever owns their lines singly.
 For every window its first owner is the earliest document (smallest doc_id) that holds it; each later document is paired
 with the owners of its windows, so a window shared by any number of documents gives each of them one partner and never all
-pairs. A pair is aligned over the windows that lead to it, and the lines of aligned windows are deleted from the later
-document. The first owner keeps a window, so one copy of every line stays in the corpus.
+pairs. A pair is aligned by patience diff over all places, in both documents, of the windows that lead to it, and the lines
+of aligned windows are deleted from the later document. The first owner keeps a window, so one copy of every line stays in the corpus.
 
 Rarity decides how pairs are found and needs no threshold: a window of two documents makes that pair, a window of thousands
 makes each of them a pair with its first owner only, so frequent lines are neither dropped nor expanded.
@@ -105,13 +105,36 @@ def windows(docs: DataFrame, least_words: int) -> DataFrame:
 
 
 def aligned(later: list[tuple[int, int]], earlier: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """(place in later, place in earlier) of a common subsequence: equal keys are met in order, then a longest rising run."""
-    places: dict[tuple[int, int], list[int]] = {}
-    for k, key in enumerate(earlier):
-        places.setdefault(key, []).append(k)
-    rest = {key: iter(at) for key, at in places.items()}
-    met = [(k, next(rest[key], None)) for k, key in enumerate(later) if key in rest]
-    return patience([x for x in met if x[1] is not None])
+    """(place in later, place in earlier) of a common subsequence, by patience diff; between its places no key is common.
+
+    Equal heads and tails of a gap are taken, then keys that are unique in both sides of it are anchors, and the gaps between
+    anchors are treated alike. Where no key is unique, the first of the one side meets the first of the other, and so on.
+    """
+    out, gaps = [], [(0, len(later), 0, len(earlier))]
+    while gaps:
+        a, a_end, b, b_end = gaps.pop()
+        while a < a_end and b < b_end and later[a] == earlier[b]:
+            out.append((a, b))
+            a, b = a + 1, b + 1
+        while a < a_end and b < b_end and later[a_end - 1] == earlier[b_end - 1]:
+            a_end, b_end = a_end - 1, b_end - 1
+            out.append((a_end, b_end))
+        if a == a_end or b == b_end:
+            continue
+        mine: dict[tuple[int, int], list[int]] = {}
+        theirs: dict[tuple[int, int], list[int]] = {}
+        for k in range(a, a_end):
+            mine.setdefault(later[k], []).append(k)
+        for k in range(b, b_end):
+            if earlier[k] in mine:
+                theirs.setdefault(earlier[k], []).append(k)
+        met = [(mine[key][0], at[0]) for key, at in theirs.items() if len(at) == len(mine[key]) == 1] or [x for key, at in theirs.items() for x in zip(mine[key], at, strict=False)]
+        run = patience(sorted(met))
+        out.extend(run)
+        if run:
+            for (x, y), (x_end, y_end) in zip([(a - 1, b - 1), *run], [*run, (a_end, b_end)], strict=True):
+                gaps.append((x + 1, x_end, y + 1, y_end))
+    return sorted(out)
 
 
 def shared_lines(rows: list[tuple[int, int, int, list[int], list[int]]]) -> list[int]:

@@ -155,6 +155,23 @@ def test_line_dedup_finds_blocks_whose_lines_have_other_owners(spark):
     assert sum(map(len, found.values())) > 40
 
 
+def test_alignment_takes_repeated_lines(spark):
+    rng = random.Random(13)
+    assert line_dedup.aligned(list("xLyLz"), list("xLyLz")) == [(k, k) for k in range(5)]
+    assert line_dedup.aligned(list("LLxLL"), list("LqxrL")) == [(0, 0), (2, 2), (4, 4)]
+    assert line_dedup.aligned(list("aLbbc"), list("xLaLb")) == [(0, 2), (1, 3), (2, 4)]
+    for _ in range(300):
+        later, earlier = ([rng.choice("abcde") for _ in range(rng.randrange(12))] for _ in range(2))
+        run = line_dedup.aligned(later, earlier)
+        assert all(later[i] == earlier[j] for i, j in run) and all(x < y and v < w for (x, v), (y, w) in zip(run, run[1:]))
+        ends = [(-1, -1), *run, (len(later), len(earlier))]
+        assert not any(set(later[x + 1 : y]) & set(earlier[v + 1 : w]) for (x, v), (y, w) in zip(ends, ends[1:]))
+    x, y, z, line = (prose(rng, n) for n in (9, 10, 11, 33))
+    rows = [(1, "\n".join([x, line, y, line, z])), (2, "\n".join([x, line, y, line, z])), (3, "\n".join(["own", line, "more", line, "own", line]))]
+    found = {r["doc_id"]: list(r["removed_lines"]) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {1: [], 2: [0, 1, 2, 3, 4], 3: [1, 3]}
+
+
 # 4
 
 
