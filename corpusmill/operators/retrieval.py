@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,6 +63,42 @@ def vector_top_k(query: list[float], vectors: DataFrame, k: int) -> DataFrame:
     return vectors.select("vec_id", score.alias("score")).orderBy(F.desc("score"), "vec_id").limit(k)
 
 
+#: Queries and vectors of a block, and queries whose scores are held at once.
+QUERY_BLOCK, VECTOR_BLOCK, QUERY_SLICE = 16384, 8192, 256
+
+
+def vector_top_k_batch(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """For each query (query_id, embedding) the k rows of highest inner product: query_id, vec_id, score, rank; scores are
+    rounded to nine places, ties go to the smaller id, rows without an embedding take no part.
+
+    A task holds one block of queries and one of vectors and keeps k rows a query, which are merged after.
+    """
+    queries, vectors = queries.select("query_id", "embedding").where("embedding is not null"), vectors.select("vec_id", "embedding").where("embedding is not null")
+    n_q, n_v = max(1, -(-queries.count() // QUERY_BLOCK)), max(1, -(-vectors.count() // VECTOR_BLOCK))
+    block = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n))
+    copies = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    asked = queries.select("*", block("query_id", n_q).alias("qb"), copies(n_v).alias("vb"))
+    held = vectors.select("*", block("vec_id", n_v).alias("vb"), copies(n_q).alias("qb"))
+
+    def run(q: pa.Table, v: pa.Table) -> pa.Table:
+        found: list[tuple[int, int, float]] = []
+        if q.num_rows and v.num_rows:
+            matrix = lambda t: np.array(t["embedding"].to_pylist(), np.float64)
+            v = v.sort_by("vec_id")
+            ids, asked_ids, mine, theirs = v["vec_id"].to_pylist(), q["query_id"].to_pylist(), matrix(q), matrix(v)
+            for at in range(0, len(asked_ids), QUERY_SLICE):
+                for i, row in enumerate(np.round(mine[at : at + QUERY_SLICE] @ theirs.T, 9)):
+                    least = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -np.inf
+                    best = np.flatnonzero(row >= least)
+                    found.extend((asked_ids[at + i], ids[b], float(row[b])) for b in best[np.argsort(-row[best], kind="stable")][:k])
+        columns = list(zip(*found, strict=True)) or [[]] * 3
+        return pa.table([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "score"])
+
+    hits = asked.groupBy("qb", "vb").cogroup(held.groupBy("qb", "vb")).applyInArrow(run, "query_id long, vec_id long, score double")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
 def rank_score(similarity: Column, same_document: Column, section_path: Column, prompt: Column, text: Column) -> Column:
     depth = F.least(F.size(section_path) * PER_LEVEL, F.lit(MOST_LEVELS))
     overlap = F.least(tx.keyword_overlap(prompt, text) * OVERLAP, F.lit(OVERLAP))

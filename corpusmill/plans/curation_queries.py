@@ -451,6 +451,23 @@ def i4_vector_top_k(s, d):
     return retrieval.vector_top_k(v.where("vec_id = 0").first()["embedding"], v, 10).select("vec_id")
 
 
+@query(CHUNKS + f""", {BUCKETS}, cw AS (SELECT chunk_id, unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS t FROM chunks),
+cb AS (SELECT chunk_id, ((('0x' || left(md5(t), 16))::UBIGINT % 384) * 256 + ('0x' || right(md5(t), 16))::UBIGINT % 384) % 384 AS bucket, count(*) AS n FROM cw GROUP BY 1, 2),
+ce AS (SELECT chunk_id, bucket, n / sqrt(sum(n * n) OVER (PARTITION BY chunk_id)) AS weight FROM cb),
+p AS (SELECT q.item_id AS query_id, ce.chunk_id, sum(q.weight * ce.weight) AS score FROM ce JOIN e q USING (bucket) WHERE q.item_id % 20 = 0 GROUP BY 1, 2)
+SELECT query_id, chunk_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM p) WHERE rank <= 5""")
+def i8_chunk_searches(s, d):
+    q = retrieval.embed(table(s, d, "benchmark").where("item_id % 20 = 0"), "item_id").select(F.col("item_id").alias("query_id"), "bucket", F.col("weight").alias("q_weight"))
+    return retrieval.top_by_words(q, retrieval.embed(chunks_of(s, d), "chunk_id"), 5).select("query_id", "chunk_id", "rank")
+
+
+@query("""WITH p AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_sum(list_transform(range(1, 65), lambda i: v.embedding[i]::DOUBLE * q.embedding[i]::DOUBLE)), 9) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0)
+SELECT query_id, vec_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 10""")
+def i4_vector_searches(s, d):
+    v = table(s, d, "embeddings")
+    return retrieval.vector_top_k_batch(v.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), v, 10).select("query_id", "vec_id", "rank")
+
+
 OVERLAP = r"list_distinct(list_filter(list_transform(regexp_split_to_array(lower({0}), '\s+'), lambda x: regexp_replace(x, '[^\p{{L}}\p{{N}}]', '', 'g')), lambda x: length(x) >= 3))"
 
 

@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.operators import agreement, curation, datasets, dedup, quality, releases
+from corpusmill.operators import agreement, curation, datasets, dedup, quality, releases, retrieval
 from corpusmill.sources import chunks as files
 from corpusmill.streaming import live
 
@@ -134,3 +134,30 @@ def test_events_fold_in_order(spark):
     new, audits = live.apply_events(c, e)
     assert (new.first()["curated"], new.first()["rev"]) == ({"a": "2"}, 3)
     assert [(r["event_no"], r["before"], r["after"]) for r in audits.orderBy("event_no").collect()] == [(1, {"a": "0"}, {"a": "1"}), (3, {"a": "1"}, {"a": "2"})]
+
+
+def test_vector_top_k_of_many_queries(spark, monkeypatch):
+    for name, n in (("QUERY_BLOCK", 7), ("VECTOR_BLOCK", 40), ("QUERY_SLICE", 3)):
+        monkeypatch.setattr(retrieval, name, n)
+    rng = random.Random(9)
+    rows = [(i, [float(rng.randrange(-3, 4)) for _ in range(4)]) for i in range(400)] + [(400, None)]  # many ties
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    asked = df.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    found = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in retrieval.vector_top_k_batch(asked, df, 10).collect())
+    want = []
+    for q, x in rows[:400:20]:
+        best = sorted((-sum(a * b for a, b in zip(x, y, strict=True)), v) for v, y in rows[:400])[:10]
+        want += [(q, n + 1, v) for n, (_, v) in enumerate(best)]
+    assert found == want
+    assert retrieval.vector_top_k_batch(asked.limit(0), df, 3).count() == 0
+
+
+def test_searches_ask_every_twentieth_row(spark, tmp_path):
+    from corpusmill.plans import QUERIES
+
+    spark.createDataFrame([(i, f"word{i} common text") for i in range(60)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(i, f"word{i % 60} other", "en", "s") for i in range(90)], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, [float(i), 1.0]) for i in range(60)], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    found = QUERIES["i8_chunk_searches"](spark, str(tmp_path)).collect()
+    assert {r["query_id"] for r in found} == {0, 20, 40} and {r["chunk_id"] for r in found if r["query_id"] == 20 and r["rank"] <= 1} == {"20-0"}
+    assert {r["query_id"] for r in QUERIES["i4_vector_searches"](spark, str(tmp_path)).collect()} == {0, 20, 40}
