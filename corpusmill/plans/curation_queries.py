@@ -533,6 +533,11 @@ def j2_i11_sft(s, d):
     return datasets.sft(_instructions(s, d), 0.1, 100)
 
 
+@query(FORMATTED.replace("left(text, 20)", "text") + "SELECT line_no, left(text, 4096) AS text, CASE WHEN line_no < greatest(1, floor(n * 0.1)) THEN 'validation' ELSE 'train' END AS split FROM f")
+def j2_i11_whole_sft(s, d):
+    return datasets.sft(_instructions(s, d).withColumn("instruction", F.concat(F.lit("Do  it\n"), "output")), 0.1)
+
+
 @query(FORMATTED + "SELECT line_no, text, CASE WHEN line_no % 2 = 0 THEN 'taught' ELSE answer END AS corrective FROM f")
 def j3_g10_mft(s, d):
     r = _instructions(s, d)
@@ -598,6 +603,14 @@ def j14_refs(s, d):
     return routing.resolve_refs(r, _bindings(s, d))
 
 
+@query("""WITH b AS (SELECT o_orderkey AS binding_id, o_custkey % 50 AS p, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey % 20 END AS dd, o_orderpriority AS model_ref, o_orderkey % 4 AS priority, o_orderdate AS created_at FROM orders WHERE o_orderkey % 5 <> 0),
+r AS (SELECT c_custkey AS request_id, c_custkey % 50 AS project_id, c_custkey % 37 AS document_id, CASE WHEN c_custkey % 2 = 0 THEN '1-URGENT' ELSE 'none' END AS model_ref FROM customer)
+SELECT request_id, model_ref, binding_id FROM (SELECT request_id, r.model_ref, binding_id, row_number() OVER (PARTITION BY request_id, r.model_ref ORDER BY CASE WHEN dd = document_id THEN 0 WHEN p = project_id THEN 1 ELSE 2 END, priority, created_at DESC, binding_id) AS n FROM r LEFT JOIN b USING (model_ref)) WHERE n = 1""")
+def j14_all_refs(s, d):
+    r = _requests(s, d).withColumn("model_ref", F.when(F.col("request_id") % 2 == 0, "1-URGENT").otherwise("none"))
+    return routing.resolve_refs(r, _bindings(s, d))
+
+
 @query(BINDINGS.format("o_orderkey % 7 = 0") + "SELECT request_id, binding_id AS route_id, row_number() OVER (PARTITION BY request_id ORDER BY created_at DESC, binding_id) AS rank FROM h WHERE wide = best")
 def j15_routes(s, d):
     routes = _bindings(s, d).where("binding_id % 7 = 0").withColumnRenamed("binding_id", "route_id")

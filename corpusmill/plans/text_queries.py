@@ -229,6 +229,11 @@ def f2_minhash(s, d):
     return first.select("doc_id", F.col("order").cast("long").alias("ord"), F.array_join(sg.minhash(F.col("text"), 8), ",").alias("mins"))
 
 
+@query(CHUNKS + r"""SELECT doc_id, ord, array_to_string(list_transform(range(64), lambda i: list_min(list_transform(list_distinct(regexp_split_to_array(text, ' ')), lambda t: sha1(t || '-' || i)))), ',') AS mins FROM chunks""")
+def f2_chunk_minhash(s, d):
+    return chunks_of(s, d).select("doc_id", F.col("order").cast("long").alias("ord"), F.array_join(sg.minhash(F.col("text")), ",").alias("mins"))
+
+
 @query()
 def d1_html_blocks(s, d):
     return html.extract(table(s, d, "pages")).select("page_id", "block_no", "kind", "type", "text", F.array_join("section_path", " / ").alias("section"))

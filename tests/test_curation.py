@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.operators import agreement, curation, datasets, dedup, quality, releases, retrieval
+from corpusmill.operators import agreement, curation, datasets, dedup, quality, releases, retrieval, routing
 from corpusmill.sources import chunks as files
 from corpusmill.streaming import live
 
@@ -161,3 +161,31 @@ def test_searches_ask_every_twentieth_row(spark, tmp_path):
     found = QUERIES["i8_chunk_searches"](spark, str(tmp_path)).collect()
     assert {r["query_id"] for r in found} == {0, 20, 40} and {r["chunk_id"] for r in found if r["query_id"] == 20 and r["rank"] <= 1} == {"20-0"}
     assert {r["query_id"] for r in QUERIES["i4_vector_searches"](spark, str(tmp_path)).collect()} == {0, 20, 40}
+
+
+def test_refs_meet_one_binding_a_scope(spark):
+    rng = random.Random(3)
+    some = lambda n: rng.choice([None, *range(n)])
+    bindings = [(k, some(4), some(5), rng.choice(["a", "b", None]), rng.randrange(3), rng.randrange(4), rng.random() < 0.8) for k in range(80)]
+    requests = [(k % 55, some(5), some(7), rng.choice(["a", "b", "none", None])) for k in range(60)]
+    b = spark.createDataFrame(bindings, "binding_id long, project_id long, document_id long, model_ref string, priority int, created_at int, enabled boolean")
+    r = spark.createDataFrame(requests, "request_id long, project_id long, document_id long, model_ref string")
+    want = {}
+    for i, p, d, ref in requests:
+        met = [((0 if d is not None and x[2] == d else 1 if p is not None and x[1] == p else 2), x[4], -x[5], x[0]) for x in bindings if x[6] and ref is not None and x[3] == ref]
+        want[i, ref] = min([want.get((i, ref), (9, 0, 0, None)), *met], key=lambda x: x[:3] + ((x[3] or 0),))
+    done = routing.resolve_refs(r, b)
+    assert {(x["request_id"], x["model_ref"]): x["binding_id"] for x in done.collect()} == {k: v[3] for k, v in want.items()} and done.count() == len(want)
+    # Each scope's bindings are ranked before they are joined, so no join makes a row for each pair.
+    assert done._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") == 3
+
+
+def test_whole_queries_leave_nothing_out(spark, tmp_path):
+    from corpusmill.plans import QUERIES
+
+    text = " ".join(f"w{k}" for k in range(300))
+    spark.createDataFrame([(1, text, "en", "s")], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, text)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert sorted((r["ord"], r["mins"].count(",")) for r in QUERIES["f2_chunk_minhash"](spark, str(tmp_path)).collect()) == [(0, 63), (1, 63), (2, 63)]
+    found = QUERIES["j2_i11_whole_sft"](spark, str(tmp_path)).collect()
+    assert found and all(r["text"].count(text) == 2 for r in found)
