@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import backoff_lm, jaccard_join, line_crf, line_dedup, packing, quality_rules, sentencepiece, topk, toxicity, warc
-from .common import table
+from .common import materialize, table
 
 #: The tokenizer's file; any BPE model file will do.
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -52,8 +52,18 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def with_components(docs: DataFrame) -> DataFrame:
+    """Adds __component: the least row key among the rows linked to the row (five words, 0.75). Rows are named by a hash of
+    doc_id and text, so that null and repeated ids are told apart; full repeats are linked."""
+    keyed = docs.withColumn("__row", F.xxhash64("doc_id", F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    linked = jaccard_join.join(keyed.select(F.col("__row").alias("doc_id"), "text"))
+    found = materialize(linked.groupBy("doc_id").agg(F.min("component_id").alias("__component")), "clusters")
+    return keyed.join(found, keyed["__row"] == found["doc_id"], "left").select(*(keyed[c] for c in docs.columns), "__component")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack(with_components(docs), cluster=F.col("__component"))
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -373,6 +373,30 @@ def test_packing(spark, docs):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
+def test_packing_keeps_linked_documents_apart(spark, tmp_path):
+    from corpusmill.llm import queries
+
+    rng = random.Random(14)
+    rows = []
+    for k in range(12):  # groups of three, linked but not equal, of sources of their own
+        text = prose(rng, 60).split()
+        for n in range(3):
+            rows.append((3 * k + n, " ".join([*text[:50], f"edit{n}", *text[50:]]), "en", f"s{3 * k + n}"))
+    rows += [(None, rows[0][1] + " none", "en", "sa"), (4, rows[0][1] + " again", "en", "sb")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    bins = collections.defaultdict(list)
+    placed = queries.op8_packing(spark, str(tmp_path)).collect()
+    for p in placed:
+        bins[p["bin_id"]].append(p["doc_id"])
+    assert len(placed) == len(rows)
+    groups = collections.Counter()
+    for b, ids in bins.items():
+        near = [0 if i is None else i // 3 for i in ids if i != 4]
+        assert len(near) == len(set(near)), ids
+        groups[0] += 0 in near
+    assert groups[0] == 4  # three documents of the group and the one without an id
+
+
 def test_best_fit_takes_the_tightest_compatible_bin():
     rows = [(1, 60, "a", 1), (2, 50, "b", 2), (3, 40, "a", 3), (4, 40, "c", 2)]
     placed = {r[0]: r[4] for r in packing.pack_shard(rows, 100, per_source=1)}
