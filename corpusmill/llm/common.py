@@ -6,12 +6,12 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import materialize, new_folder, shared_dir, table
 
-__all__ = ["FOLDS", "WordHash", "byte_texts", "fold", "materialize", "new_folder", "shared_dir", "small_batches", "table"]
+__all__ = ["FOLDS", "WordHash", "byte_texts", "fold", "materialize", "new_folder", "shared_dir", "small_batches", "table", "with_text"]
 
 #: A document is training data of classifier N unless crc32(doc_id as text) mod 5 has this value.
 FOLDS = 5
@@ -22,14 +22,19 @@ def fold(doc_id) -> F.Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % FOLDS
 
 
-#: Rows of an Arrow batch of texts; a batch is held in the JVM and in Python at once.
+#: Rows of an Arrow batch of texts that suit executors of a few gigabytes: a batch is held in the JVM and in Python at once.
 BATCH_ROWS = 1000
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """``df``, whose session from now on sends texts to Python in batches of ``BATCH_ROWS``."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return df
+def small_batches(spark: SparkSession) -> None:
+    """For applications: from now on this session sends rows to Python in batches of at most ``BATCH_ROWS``. Operators leave
+    the session's settings alone."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
+def with_text(df: DataFrame, keep: tuple[str, ...], text: str = "text") -> DataFrame:
+    """Columns ``keep``, then the text, named by position so that no two have one name."""
+    return df.select(*(F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(keep)), F.col(f"`{text}`").cast("string").alias("_text"))
 
 
 def byte_texts(column: pa.Array) -> Iterator[bytes]:

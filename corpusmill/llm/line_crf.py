@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_texts, fold, small_batches
+from .common import byte_texts, fold, with_text
 from .sampling import labelled_sample
 
 #: Features of one line.
@@ -167,7 +167,7 @@ def score(docs: DataFrame, model: dict[str, np.ndarray], keep: tuple[str, ...] =
                 part = batch.slice(start, 500)
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(score_texts(list(byte_texts(part.column(len(keep)))), model))], names=schema.names)
 
-    return small_batches(docs).select(*(F.col(f"`{c}`") for c in keep), F.col("text").cast("string").alias("__text")).mapInArrow(run, schema)
+    return with_text(docs, keep).mapInArrow(run, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, cutoff: float = 0.3) -> DataFrame:

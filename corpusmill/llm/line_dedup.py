@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, materialize, small_batches
+from .common import byte_texts, materialize
 
 LEAST_WORDS = 8
 #: Windows of an Arrow batch that goes back to the JVM.
@@ -101,7 +101,7 @@ def windows(docs: DataFrame, least_words: int) -> DataFrame:
         if out:
             yield batch_of(out)
 
-    return small_batches(docs).mapInArrow(run, "d long, e long, h long, g long, n int, at array<int>")
+    return docs.mapInArrow(run, "d long, e long, h long, g long, n int, at array<int>")
 
 
 def aligned(later: list[tuple[int, int]], earlier: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_texts, materialize, small_batches
+from .common import byte_texts, materialize, with_text
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_shout")
 SPACES, SYMBOLS, UPPER = b" \t\n\x0b\x0c\r", b"#*$%&|<>", bytes(range(65, 91))
@@ -94,7 +94,7 @@ def measure(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id"
             found = np.array([counts_of(x) for x in byte_texts(batch.column(len(keep)))], np.int64).reshape(-1, len(COUNTS))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *(pa.array(found[:, k]) for k in range(len(COUNTS)))], names=schema.names)
 
-    return small_batches(df).select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").cast("string").alias("__text")).mapInArrow(run, schema)
+    return with_text(df, keep, text).mapInArrow(run, schema)
 
 
 def base_failed() -> F.Column:

@@ -7,21 +7,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import backoff_lm, jaccard_join, line_crf, line_dedup, packing, quality_rules, sentencepiece, topk, toxicity, warc
-from .common import materialize, table
+from .common import materialize, small_batches, table
 
 #: The tokenizer's file; any BPE model file will do.
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return table(spark, sf_dir, "documents")
+
+
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = sentencepiece.encode(table(spark, sf_dir, "documents"), MODEL)
+    encoded = sentencepiece.encode(_documents(spark, sf_dir), MODEL, decoded="decoded")
     hexed = lambda x: F.sha2(x.cast("binary"), 256)
-    return sentencepiece.decode(encoded, MODEL).select(
+    decimals = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
+    return encoded.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.size("ids").cast("long").alias("n_tokens"),
-        hexed(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"),
+        hexed(decimals("ids")).alias("ids_sha256"),
         hexed(F.col("decoded")).alias("decoded_sha256"),
-        F.coalesce(F.try_element_at("bounds", F.lit(-1)).cast("long"), F.lit(0)).alias("bytes_covered"),
+        hexed(decimals("bounds")).alias("bounds_sha256"),
     )
 
 
@@ -31,7 +37,7 @@ def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    done = line_dedup.dedup_lines(_documents(spark, sf_dir))
     return done.select("doc_id", "n_lines", F.size("removed_lines").alias("n_removed"), F.array_join(F.col("removed_lines").cast("array<string>"), ",").alias("removed"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
 
 
@@ -40,15 +46,15 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return backoff_lm.score(table(spark, sf_dir, "documents"))
+    return backoff_lm.score(_documents(spark, sf_dir))
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.join(table(spark, sf_dir, "documents"))
+    return jaccard_join.join(_documents(spark, sf_dir))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    found = quality_rules.quality_rules(_documents(spark, sf_dir), table(spark, sf_dir, "labels"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
@@ -62,16 +68,16 @@ def with_components(docs: DataFrame) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir)
     return packing.pack(with_components(docs), cluster=F.col("__component"))
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_crf.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return line_crf.classify(_documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity.classify(_documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
 QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_topk, op3_line_dedup, op4_warc, op5_lm_score, op6_quality_rules, op7_jaccard_join, op8_packing, op9_quality_classifier, op10_toxicity)}

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_texts, fold, small_batches
+from .common import byte_texts, fold, with_text
 from .sampling import labelled_sample
 
 #: At most so many labelled documents are fitted on; features of fewer of them get no weight.
@@ -170,7 +170,7 @@ def score(docs: DataFrame, weights: dict[int, float], keep: tuple[str, ...] = ("
             found = [score_text(t, of) for t in byte_texts(batch.column(len(keep)))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(found, pa.float64())], names=schema.names)
 
-    return small_batches(docs).select(*(F.col(f"`{c}`") for c in keep), F.col("text").cast("string").alias("__text")).mapInArrow(run, schema)
+    return with_text(docs, keep).mapInArrow(run, schema)
 
 
 def locate(docs: DataFrame, weights: dict[int, float], least: float = 0.5) -> DataFrame:

@@ -70,22 +70,86 @@ def test_encoding_equals_the_library_and_keeps_offsets(spark, texts):
         assert [raw[b[k] : b[k + 1]].decode("utf-8", "replace") for k in range(len(pieces))] == [p.surface for p in pieces]
 
 
-def test_charmap_takes_the_longest_prefix():
-    # A double array over the keys "a" -> "x" and "ab" -> "yy", laid out by hand.
-    units = [0] * 1024
+def charmap(pairs):
+    """A double array over keys of one or two letters, laid out by hand."""
+    units, texts, at_letter = [0] * 4096, b"", {}
     put = lambda at, label, offset, leaf=False: units.__setitem__(at, label | (256 if leaf else 0) | ((at ^ offset) << 10))
     put(0, 0, 256)
-    at_a = 256 ^ ord("a")
-    put(at_a, ord("a"), 512, leaf=True)
-    units[512] = 0 | 0x80000000
-    at_b = 512 ^ ord("b")
-    put(at_b, ord("b"), 768, leaf=True)
-    units[768] = 2 | 0x80000000
+    free = 512
+    for key, new in sorted(pairs.items()):
+        at = 256 ^ key[0]
+        if key[0] not in at_letter:
+            at_letter[key[0]] = free
+            put(at, key[0], free)
+            free += 256
+        if len(key) == 2:
+            put(at_letter[key[0]] ^ key[1], key[1], free)
+            at, base, free = at_letter[key[0]] ^ key[1], free, free + 256
+        else:
+            base = at_letter[key[0]]
+        units[at] |= 256
+        units[base] = len(texts) | 0x80000000
+        texts += new + b"\0"
     table = b"".join(u.to_bytes(4, "little") for u in units)
-    charmap = sentencepiece.CharMap(len(table).to_bytes(4, "little") + table + b"x\0yy\0")
-    assert charmap.longest(b"abc", 0) == (2, b"yy")
-    assert charmap.longest(b"acb", 0) == (1, b"x")
-    assert charmap.longest(b"ba", 0) is None
+    return sentencepiece.CharMap(len(table).to_bytes(4, "little") + table + texts)
+
+
+def longest_first(pairs, text):
+    """(normalised byte, place it comes from) of a text, key by key."""
+    out, i = [], 0
+    while i < len(text):
+        key = next((text[i : i + n] for n in (2, 1) if text[i : i + n] in pairs), None)
+        out += [(b, i) for b in (pairs[key] if key else text[i : i + 1])]
+        i += len(key or b"x")
+    return out
+
+
+def test_charmap_takes_the_longest_prefix():
+    pairs = {b"a": b"x", b"ab": b"yy", b"ca": b"", b"d": b"long"}
+    rng = random.Random(3)
+    texts = [bytes(rng.choice(b"abcde") for _ in range(rng.randrange(9))) for _ in range(200)]
+    model = sentencepiece.Model(MODEL)
+    model.charmap, model.dummy_prefix = charmap(pairs), False
+    edges = np.cumsum([0, *map(len, texts)])
+    normal, source, inner, last = model.normalize(np.frombuffer(b"".join(texts), np.uint8), edges)
+    for k, text in enumerate(texts):
+        want = longest_first(pairs, text)
+        a, b = inner[k], inner[k + 1]
+        assert list(zip(normal[a:b].tolist(), (source[a:b] - edges[k]).tolist())) == want, text
+        assert not want or last[k] - edges[k] <= len(text)
+
+
+def test_normalising_squeezes_spaces():
+    model = sentencepiece.Model(MODEL)
+    model.squeeze = True
+    texts = [b"  a  b ", b"", b"   ", b"c", "▁d ▁".encode()]
+    normal, source, inner, last = model.normalize(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+    found = [normal[a:b].tobytes().decode() for a, b in zip(inner, inner[1:])]
+    assert found == ["▁a▁b", "", "", "▁c", "▁▁d"]
+    assert (source[:8] == [2, 2, 2, 2, 3, 3, 3, 5]).all() and last[0] == 6
+
+
+def test_long_words_are_segmented_like_short_ones(monkeypatch):
+    model, rng = sentencepiece.Model(MODEL), random.Random(5)
+    words_ = ["▁" + "".join(rng.choice("theaning") for _ in range(rng.randrange(1, 60))) for _ in range(200)]
+    side_by_side = [x.tolist() for x in model.segment(words_)]
+    monkeypatch.setattr(sentencepiece, "MATRIX", 0)
+    assert [x.tolist() for x in model.segment(words_)] == side_by_side
+
+
+def test_encoding_of_awkward_tables(spark, docs, monkeypatch):
+    import sentencepiece as library
+
+    monkeypatch.setattr(sentencepiece, "WORDS", 20)
+    processor = library.SentencePieceProcessor(model_file=MODEL)
+    odd = docs.withColumn("ids", F.lit("x")).withColumn("decoded", F.lit("y")).withColumn("bounds", F.lit(1)).withColumn("__text", F.lit(2))
+    found = sentencepiece.encode(odd, MODEL, keep=("doc_id", "ids", "text", "decoded", "__text"), decoded="decoded")
+    assert found.columns == ["doc_id", "text", "__text", "ids", "bounds", "decoded"]
+    rows = found.collect()
+    assert collections.Counter((r["doc_id"], r["text"]) for r in rows) == collections.Counter((r["doc_id"], r["text"]) for r in docs.collect())
+    assert all(list(r["ids"]) == processor.encode(r["text"] or "") and r["decoded"] == processor.decode(list(r["ids"])) for r in rows)
+    assert sentencepiece.encode(docs.limit(0), MODEL).count() == 0
+    assert [r["decoded"] for r in sentencepiece.decode(spark.createDataFrame([(None, "z"), ([], "z")], "ids array<int>, decoded string"), MODEL).collect()] == ["", ""]
 
 
 # 2
