@@ -4,8 +4,9 @@ Every line of a document is good or bad. Its evidence is a vector of features of
 ties adjoining lines. Training takes the document's label for each of its lines (a bounded sample of labelled documents).
 The score is the mean, weighted by line length, of the forward-backward marginals of "good".
 
-Null and empty texts are one empty line. A row that repeats is scored each time alike. Labels that are null or of no
-document take no part; without labels every score is 0.5.
+Null and empty texts are one empty line. A row that repeats is scored each time alike, and rows with one text tie. A text of
+any length is scored whole, in time in proportion to its lines. Labels that are null or of no document take no part; without
+labels every score is 0.5. An empty table gives no rows. Other columns, whatever their names, are neither read nor kept.
 """
 
 from __future__ import annotations
@@ -19,12 +20,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import byte_texts, fold, with_text
-from .sampling import labelled_sample
+from .sampling import first_whole, labelled_sample
 
 #: Features of one line.
 WIDTH = 14
-#: At most so many labelled documents are fitted on, and so many of their lines each.
-SAMPLE, SAMPLE_LINES = 6000, 200
+#: At most so many labelled documents are fitted on, whole ones in hash order for as long as they have at most so many lines.
+SAMPLE, MOST_LINES = 6000, 300_000
+#: In training, a longer chain counts as several of so many lines, which only leaves out the ties between those.
+CHAIN = 512
 LETTERS_UP, LETTERS_LOW, DIGITS = bytes(range(65, 91)), bytes(range(97, 123)), bytes(range(48, 58))
 
 
@@ -116,16 +119,17 @@ def train(features: list[np.ndarray], labels: np.ndarray, rounds: int = 120, l2:
         rate = float(labels.mean()) if len(labels) else 0.5
         return {"w": np.zeros(3 * WIDTH + 1), "pair": np.zeros(3), "rate": np.array(rate)}
     sizes = np.array([len(x) for x in features])
-    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    starts, documents = np.concatenate(([0], np.cumsum(sizes)[:-1])), len(sizes)
     x = with_neighbours(np.vstack(features), starts).astype(np.float64)
     y = np.repeat(labels, sizes).astype(np.float64)
     weight = np.repeat(1 / sizes**0.5, sizes)  # a long document counts for more than a short one, but not in full
+    sizes = np.array([min(CHAIN, n - at) for n in sizes.tolist() for at in range(0, n, CHAIN)])
     p = np.zeros(x.shape[1] + 1)
     mean, square = np.zeros_like(p), np.zeros_like(p)
     for t in range(1, rounds + 1):
         tie = p[-1]
         good, differ = marginals(x @ p[:-1], sizes, np.array([0.0, 0.0, -tie]))
-        slope = np.append(x.T @ ((good - y) * weight), -(differ * weight).sum()) / len(sizes) + l2 * p
+        slope = np.append(x.T @ ((good - y) * weight), -(differ * weight).sum()) / documents + l2 * p
         mean, square = 0.9 * mean + 0.1 * slope, 0.99 * square + 0.01 * slope**2
         p -= 0.15 * (mean / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.99**t)) + 1e-8)
         p[-1] = min(max(p[-1], 0.0), 4.0)
@@ -144,16 +148,19 @@ def score_texts(texts: list[bytes], model: dict[str, np.ndarray]) -> np.ndarray:
     return np.clip(np.add.reduceat(good * lengths, starts) / np.add.reduceat(lengths, starts), 0.0, 1.0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict[str, np.ndarray]:
-    """Fits on at most ``sample`` labelled documents outside the held-out fold; their features come to the driver."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_lines: int = MOST_LINES) -> dict[str, np.ndarray]:
+    """Fits on at most ``sample`` labelled documents outside the held-out fold, all lines of each; their features come to the
+    driver. The sample is cut in hash order where it would have more than ``most_lines`` lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [line_features(t)[0][:SAMPLE_LINES].ravel().tolist() for t in byte_texts(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float32()))], names=["label", "x"])
+            x = [line_features(t)[0] for t in byte_texts(batch.column(2))]
+            flat = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(v.size for v in x)]).astype(np.int32)), pa.array(np.concatenate([v.ravel() for v in x]) if x else np.zeros(0, np.float32)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(v) for v in x], pa.int32()), flat], names=["place", "label", "lines", "x"])
 
-    rows = labelled_sample(docs, labels, "quality", sample).mapInArrow(run, "label int, x array<float>").limit(2 * sample).toArrow()
-    features = [np.asarray(x, np.float32).reshape(-1, WIDTH) for x in rows["x"].to_pylist()]
+    found = labelled_sample(docs, labels, "quality", sample).mapInArrow(run, "place struct<hash: long, id: string>, label int, lines int, x array<float>")
+    rows = first_whole(found, "lines", most_lines)
+    features = [np.asarray(x.values.to_numpy(zero_copy_only=False), np.float32).reshape(-1, WIDTH) for chunk in rows["x"].chunks for x in chunk]
     return train(features, np.array(rows["label"].to_pylist(), np.int64))
 
 

@@ -77,7 +77,9 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.classify(_documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+    found = toxicity.classify(_documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+    where = lambda x: F.concat_ws("-", x["begin"].cast("string"), x["end"].cast("string"))
+    return found.select("doc_id", "held_out", "score", "predicted", F.size("offending").alias("n_offending"), F.array_join(F.transform("offending", where), ",").alias("offending"))
 
 
 QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_topk, op3_line_dedup, op4_warc, op5_lm_score, op6_quality_rules, op7_jaccard_join, op8_packing, op9_quality_classifier, op10_toxicity)}

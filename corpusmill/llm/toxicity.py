@@ -6,7 +6,10 @@ so that a new form of an insult is known by its stem; the document's is the nois
 documents carry labels: the gradient of the bag's likelihood decides which sentences, and so which words, are to blame.
 ``locate`` then gives the sentences that offend.
 
-Null and empty texts have no sentence and get score 0. Labels that are null or of no document take no part.
+Null and empty texts have no sentence and get score 0. Labels that are null or of no document take no part. A row that
+repeats is scored each time alike, and rows with one text tie. A text of any length is scored whole, sentence by sentence; one
+without an end mark is one sentence. An empty table gives no rows. Other columns, whatever their names, are neither read nor
+kept.
 """
 
 from __future__ import annotations
@@ -22,10 +25,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import byte_texts, fold, with_text
-from .sampling import labelled_sample
+from .sampling import first_whole, labelled_sample
 
-#: At most so many labelled documents are fitted on; features of fewer of them get no weight.
-SAMPLE, LEAST_DOCS = 6000, 5
+#: At most so many labelled documents are fitted on, whole ones in hash order for as long as they have at most so many words'
+#: features; features of fewer than LEAST_DOCS of them get no weight.
+SAMPLE, MOST_FEATURES, LEAST_DOCS = 6000, 20_000_000, 5
 #: Features are hashed into so many buckets; the bias has a key of its own.
 BUCKETS, BIAS = 1 << 22, -1
 #: Sentences end at these bytes.
@@ -130,67 +134,69 @@ def sentence_scores(text: bytes, weights: dict[int, float]) -> tuple[np.ndarray,
     return 1 / (1 + np.exp(-np.clip(z, -60, 60))), spans
 
 
-def score_text(text: bytes, of: WordWeights) -> float:
-    """Noisy-or of the sentences."""
-    bias, total, n, loud = of.weights[BIAS], 0.0, 0, 0
+def score_text(text: bytes, of: WordWeights, least: float = 0.5) -> tuple[float, list[tuple[int, int, float]]]:
+    """Noisy-or of the sentences, and those of at least ``least``: first byte, byte after the last, probability."""
+    bias, total, n, loud, offending = of.weights[BIAS], 0.0, 0, 0, {}
     for s in ENDS.split(text.lower()):
         words = s.split()
         if not words:
             continue
-        n += 1
         # A word with different punctuation around it counts once, as one word.
         if any(z := list(map(of.__getitem__, words))):
             loud += 1
             z = sum({w.strip(STRIP): x for w, x in zip(words, z, strict=True) if x}.values())
-            total += np.log1p(-min(1 / (1 + np.exp(-min(bias + z, 60.0))), 1 - 1e-12))
-    return float(-np.expm1(total + (n - loud) * np.log1p(-1 / (1 + np.exp(-bias))))) if n else 0.0
+            p = 1 / (1 + np.exp(-min(bias + z, 60.0)))
+            total += np.log1p(-min(p, 1 - 1e-12))
+            if p >= least:
+                offending[n] = float(p)
+        n += 1
+    spans = sentences(text) if offending else []
+    return float(-np.expm1(total + (n - loud) * np.log1p(-1 / (1 + np.exp(-bias))))) if n else 0.0, [(*spans[k], p) for k, p in offending.items()]
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict[int, float]:
-    """Fits on at most ``sample`` labelled documents outside the held-out fold; their hashed words come to the driver."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_features: int = MOST_FEATURES) -> dict[int, float]:
+    """Fits on at most ``sample`` labelled documents outside the held-out fold; their hashed words come to the driver. The sample
+    is cut in hash order where it would have more than ``most_features`` of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [bag(t) for t in byte_texts(batch.column(1))]
+            found = [bag(t) for t in byte_texts(batch.column(2))]
             lists = [pa.array([x[k] for x in found], pa.list_(pa.int32())) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=["label", "words", "sizes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x[0]) for x in found], pa.int32()), *lists], names=["place", "label", "n", "words", "sizes"])
 
-    rows = labelled_sample(docs, labels, "toxic", sample).mapInArrow(run, "label int, words array<int>, sizes array<int>").limit(sample).toArrow()
+    found = labelled_sample(docs, labels, "toxic", sample).mapInArrow(run, "place struct<hash: long, id: string>, label int, n int, words array<int>, sizes array<int>")
+    rows = first_whole(found, "n", most_features)
     column = lambda c: [x.values.to_numpy(zero_copy_only=False) for chunk in rows[c].chunks for x in chunk]
     return train(list(zip(column("words"), column("sizes"), strict=True)), np.array(rows["label"].to_pylist(), np.int64))
 
 
-def score(docs: DataFrame, weights: dict[int, float], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns ``keep``, then score; one row per row of ``docs``. Only the text is looked at."""
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("score", T.DoubleType())])
+SPANS = T.ArrayType(T.StructType([T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("score", T.DoubleType())]))
+
+
+def score(docs: DataFrame, weights: dict[int, float], keep: tuple[str, ...] = ("doc_id",), least: float = 0.5) -> DataFrame:
+    """Columns ``keep``, then score, and offending: spans of bytes of the sentences of at least ``least``, with their
+    probabilities; one row per row of ``docs``. Only the text is looked at."""
+    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("score", T.DoubleType()), T.StructField("offending", SPANS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = WordWeights(weights)
         for batch in batches:
-            found = [score_text(t, of) for t in byte_texts(batch.column(len(keep)))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(found, pa.float64())], names=schema.names)
+            found = [score_text(t, of, least) for t in byte_texts(batch.column(len(keep)))]
+            spans = pa.array([[dict(zip(("begin", "end", "score"), x, strict=True)) for x in spans] for _, spans in found], pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array([x for x, _ in found], pa.float64()), spans], names=schema.names)
 
     return with_text(docs, keep).mapInArrow(run, schema)
 
 
 def locate(docs: DataFrame, weights: dict[int, float], least: float = 0.5) -> DataFrame:
     """The offending sentences: doc_id, begin and end (bytes), sentence, score; those of at least ``least``."""
-    schema = T.StructType([docs.schema["doc_id"], *(T.StructField(c, k) for c, k in (("begin", T.IntegerType()), ("end", T.IntegerType()), ("sentence", T.StringType()), ("score", T.DoubleType())))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for i, text in zip(batch.column(0).to_pylist(), byte_texts(batch.column(1)), strict=True):
-                p, spans = sentence_scores(text, weights)
-                rows += [(i, a, b, text[a:b].decode("utf-8", "replace"), float(q)) for q, (a, b) in zip(p, spans, strict=True) if q >= least]
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            kinds = (batch.column(0).type, pa.int32(), pa.int32(), pa.string(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=schema.names)
-
-    return docs.select("doc_id", F.col("text").cast("string").alias("__text")).mapInArrow(run, schema)
+    scored = score(docs.select("doc_id", "text"), weights, keep=("doc_id", "text"), least=least)
+    spans = scored.select("doc_id", F.col("text").cast("string").cast("binary").alias("text"), F.explode("offending").alias("x"))
+    sentence = F.expr("substring(text, x.begin + 1, x.end - x.begin)").cast("string")
+    return spans.select("doc_id", "x.begin", "x.end", sentence.alias("sentence"), "x.score")
 
 
 def classify(docs: DataFrame, labels: DataFrame, cutoff: float = 0.5) -> DataFrame:
-    """Per document: doc_id, held_out, score, predicted."""
+    """Per document: doc_id, held_out, score, predicted, offending (spans of the sentences to blame)."""
     scored = score(docs, fit(docs, labels))
-    return scored.select("doc_id", (fold("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= cutoff).cast("int").alias("predicted"))
+    return scored.select("doc_id", (fold("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= cutoff).cast("int").alias("predicted"), "offending")
