@@ -1,19 +1,21 @@
 """Line dedup by pairwise alignment.
 
-Two documents overlap when they share a block: a run of lines of at least ``least_words`` words. The keys of a document are
-its least windows: from each line the shortest run of lines forward, and backward, with so many words. Each line of a common
-block lies in a least window that is wholly in the block, so that blocks are found by windows whoever owns their lines singly.
-For every window its first owner is the earliest document (smallest doc_id) that holds it; each later document is paired
-with the owners of its windows, so a window shared by any number of documents gives each of them one partner and never all
-pairs. A pair is aligned by patience diff over all places, in both documents, of the windows that lead to it, and the lines
-of aligned windows are deleted from the later document. The first owner keeps a window, so one copy of every line stays in the corpus.
-
-Rarity decides how pairs are found and needs no threshold: a window of two documents makes that pair, a window of thousands
-makes each of them a pair with its first owner only, so frequent lines are neither dropped nor expanded.
-
-Lines end at newlines. Lines without a word take part in no block, but a block may reach across them. Null texts have no
-lines. Rows that repeat a doc_id are told apart by a hash of the text; full repeats of a row count as one document and share
-its fate. A null doc_id counts as the latest. Texts that lose nothing come back unchanged.
+Two documents overlap when they share a block: a run of lines of at least ``least_words`` words. A document is a sequence of
+line hashes; a line of fewer words is hashed together with as many lines after it, or before it, as the block needs (its
+least window), so that each line of a common block has a hash of its own that lies wholly in the block.
+
+Documents meet through rare hashes: one that at most ``RARE`` documents hold makes a pair of every two of them. A hash of
+more documents pairs each of them with its first holder (smallest doc_id), so a line of thousands of documents, or of
+thousands of copies, gives each of them one partner and never all pairs, and still is never passed over. A pair brings all
+hashes that lead to it, with all their places in both documents; patience diff aligns them on those unique in both, and the
+blocks of aligned lines are deleted from the later document. A hash's first holder never loses it, unless as part of a block
+of a still earlier document, so one copy of every line stays in the corpus.
+
+Lines end at newlines. Lines without a word take part in no block, but a block may reach across them. Null and empty texts
+have no lines. Rows that repeat a doc_id are told apart by a hash of the text; full repeats of a row count as one document and
+share its fate. A null doc_id counts as the latest. Texts that lose nothing come back unchanged. A text of any length is taken
+whole, in time in proportion to its lines. Columns of ``docs`` that are named like a result (text, n_lines, removed_lines)
+give way to it; all others are kept, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,14 +24,18 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from itertools import accumulate, groupby
 
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import byte_texts, materialize
 
 LEAST_WORDS = 8
+#: A hash of at most so many rows is rare.
+RARE = 4
 #: Windows of an Arrow batch that goes back to the JVM.
 BATCH_WINDOWS = 50_000
 
@@ -149,25 +155,49 @@ def shared_lines(rows: list[tuple[int, int, int, list[int], list[int]]]) -> list
     return sorted(gone)
 
 
+def without(text: str, ranks: list[int]) -> tuple[str, list[int]]:
+    """A text without its lines of these ranks (lines without a word have none), and the positions of those lines."""
+    gone, kept, removed, rank = set(ranks), [], [], -1
+    for at, line in enumerate(text.split("\n")):
+        solid = bool(line.encode().split())
+        rank += solid
+        if solid and rank in gone:
+            removed.append(at)
+        else:
+            kept.append(line)
+    return "\n".join(kept), removed
+
+
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("removed_lines", T.ArrayType(T.IntegerType()))]))
+def deleted(text: pd.Series, ranks: pd.Series) -> pd.DataFrame:
+    found = [without(t, r) if r is not None else (None, []) for t, r in zip(text, ranks, strict=True)]
+    return pd.DataFrame({"text": [t for t, _ in found], "removed_lines": [r for _, r in found]})
+
+
+def overlaps(found: DataFrame) -> DataFrame:
+    """Pairs of documents with the hashes that lead to them: d, e (the later one), od, oe (the earlier), h, g, n, at, oat."""
+    holders = found.groupBy("h", "g").agg(F.count("*").alias("holders")).where("holders > 1")
+    # Written, so that the joins below read both sides from shuffles of their own and a frequent hash's rows can be split.
+    shared = materialize(found.join(holders, ["h", "g"]), "shared-lines")
+    rare, frequent = shared.where(F.col("holders") <= RARE), shared.where(F.col("holders") > RARE)
+    earlier = rare.select("h", "g", F.col("d").alias("od"), F.col("e").alias("oe"), F.col("at").alias("oat"))
+    first = frequent.groupBy("h", "g").agg(F.min(F.struct("d", "e", "at")).alias("o")).select("h", "g", F.col("o.d").alias("od"), F.col("o.e").alias("oe"), F.col("o.at").alias("oat"))
+    columns = ("d", "e", "od", "oe", "h", "g", "n", "at", "oat")
+    before = F.struct(F.col("od").alias("d"), F.col("oe").alias("e")) < F.struct("d", "e")
+    of_rare = rare.join(earlier, ["h", "g"]).where(before).select(*columns)
+    of_frequent = frequent.join(materialize(first, "line-owners"), ["h", "g"]).where(before).select(*columns)
+    return of_rare.unionByName(of_frequent).distinct()
+
+
 def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """All columns of ``docs``, text without the deleted lines, and n_lines, removed_lines array<int> (positions from 0).
 
-    Only hashes, places and counts are shuffled by window and by pair; texts move once, to meet their deletions.
+    Only hashes, places and counts are shuffled by hash and by pair; texts move once, to meet their deletions.
     """
+    others = [c for c in docs.columns if c not in ("text", "n_lines", "removed_lines")]
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    lines = F.split(text, "\n", -1)
     ids = (F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("d"), F.xxhash64(text).alias("e"))
-    found = windows(docs.select(*ids, text.alias("text")), least_words)
-    # Written, so that the join below reads both sides from shuffles of its own and a frequent window's rows can be split.
-    owners = materialize(
-        found.groupBy("h", "g")
-        .agg(F.min(F.struct("d", "e", "at")).alias("o"), F.max(F.struct("d", "e")).alias("last"))
-        .where(F.struct("o.d", "o.e") != F.col("last"))
-        .select("h", "g", "o"),
-        "line-owners",
-    )
-    shared = found.join(owners, ["h", "g"]).where(F.struct("d", "e") != F.struct("o.d", "o.e"))
-    pairs = shared.select("d", "e", F.col("o.d").alias("od"), F.col("o.e").alias("oe"), "h", "g", "n", "at", F.col("o.at").alias("oat")).distinct()
+    pairs = overlaps(materialize(windows(docs.select(*ids, text.alias("text")), least_words), "line-hashes"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def of_pairs() -> Iterator[tuple]:
@@ -194,18 +224,14 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
         .sortWithinPartitions("d", "e", "od", "oe")
         .mapInArrow(run, "d long, e long, gone array<int>")
         .groupBy("d", "e")
-        .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("__ranks"))
-        .select(F.col("d").alias("__d"), F.col("e").alias("__e"), "__ranks")
-    )
-    places = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike("[^ \\t\\x0B\\f\\r]"), i)), lambda i: i.isNotNull())
-    kept = F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains("__gone", i), x)), lambda x: x.isNotNull())
-    return (
-        docs.withColumns({"__d": ids[0], "__e": ids[1]})
-        .join(gone, ["__d", "__e"], "left")
-        .withColumn("__places", F.when(F.col("__ranks").isNotNull(), places))
-        .withColumn("__gone", F.transform("__ranks", lambda r: F.get("__places", r)))
-        .withColumn("n_lines", F.when(text == "", 0).otherwise(F.size(lines)))
-        .withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
-        .withColumn("removed_lines", F.coalesce("__gone", F.array().cast("array<int>")))
-        .drop("__d", "__e", "__ranks", "__places", "__gone")
+        .agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("ranks"))
     )
+    packed = docs.select(*ids, text.alias("whole"), F.col("text").cast("string").alias("text"), F.struct(F.lit(0), *(F.col(f"`{c}`") for c in others)).alias("row"))
+    edited = packed.join(gone, ["d", "e"], "left").withColumn("new", deleted(F.when(F.col("ranks").isNotNull(), F.col("whole")), "ranks"))
+    fresh = {
+        "text": F.when(F.col("ranks").isNull(), F.col("text")).otherwise(F.col("new.text")),
+        "n_lines": F.when(F.col("whole") == "", 0).otherwise(F.length("whole") - F.length(F.replace("whole", F.lit("\n"), F.lit(""))) + 1),
+        "removed_lines": F.coalesce("new.removed_lines", F.array().cast("array<int>")),
+    }
+    names = [*docs.columns, *(c for c in ("n_lines", "removed_lines") if c not in docs.columns)]
+    return edited.select(*((fresh[c] if c in fresh else F.col("row").getField(c)).alias(c) for c in names))

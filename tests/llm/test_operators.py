@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.llm import backoff_lm, components, jaccard_join, line_crf, line_dedup, packing, quality_rules, sentencepiece, topk, toxicity, warc
+from corpusmill.llm.sampling import first_whole, labelled_sample
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string, n int, d string, h int, keys int"
@@ -219,6 +220,59 @@ def test_line_dedup_finds_blocks_whose_lines_have_other_owners(spark):
     assert sum(map(len, found.values())) > 40
 
 
+def removed_by_brute_force(rows, least=line_dedup.LEAST_WORDS):
+    """Every later document against every earlier one, on all least windows that both hold."""
+    keyed = {(d, t): line_dedup.keys_of(t.encode(), least) for d, t in rows}
+    gone = {}
+    for (d, t), mine in keyed.items():
+        ranks = set()
+        for theirs in (k for x, k in keyed.items() if x < (d, t)):
+            both = [(*key, mine[key], theirs[key]) for key in mine if key in theirs]
+            later = sorted((at, n, (h, g)) for h, g, n, places, _ in both for at in places)
+            earlier = sorted((at, n, (h, g)) for h, g, n, _, places in both for at in places)
+            for k, _ in line_dedup.aligned([x[2] for x in later], [x[2] for x in earlier]):
+                ranks |= set(range(later[k][0], later[k][0] + later[k][1]))
+        full = [at for at, line in enumerate(t.split("\n")) if line.split()]
+        gone[d, t] = [full[r] for r in sorted(ranks)]
+    return gone
+
+
+@pytest.mark.parametrize("rare", [1, 4, 1000])
+def test_line_dedup_equals_all_pairs(spark, monkeypatch, rare):
+    monkeypatch.setattr(line_dedup, "RARE", rare)
+    rng = random.Random(17)
+    pool = [prose(rng, rng.randrange(1, 12)) for _ in range(60)]
+    rows = []
+    for d in range(60):
+        lines = [rng.choice(pool) if rng.random() < 0.5 else prose(rng, rng.randrange(1, 12)) for _ in range(rng.randrange(1, 9))]
+        if d % 6 == 5:
+            lines = [*lines[:1], *rows[-3][1].split("\n"), "", *lines[1:]]
+        rows.append((d, "\n".join(lines)))
+    want = removed_by_brute_force(rows)
+    got = {(r["doc_id"], r["old"]): list(r["removed_lines"]) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").withColumn("old", F.col("text")).repartition(4)).collect()}
+    if rare == 1000:
+        assert got == want
+    assert all(set(got[x]) <= set(want[x]) for x in want) and sum(map(len, got.values())) >= 0.9 * sum(map(len, want.values())) > 60
+
+
+def test_line_dedup_where_older_documents_own_single_lines(spark):
+    a, h = "a b c d e f g", "h i j k l m n"
+    rows = [(1, f"{a}\nx1"), (2, f"{h}\nx2"), (3, f"{a}\n{h}"), (4, f"{a}\n{h}"), (5, f"q\n{a}\n{h}\nr")]
+    rows += [(k, f"{a} {h}\n{a}\n{k}") for k in range(10, 30)]  # a line of many documents
+    df = spark.createDataFrame([(*r, 1, "k") for r in rows], "doc_id long, text string, removed_lines int, `d` string").withColumns({c: F.lit(c) for c in ("e", "ranks", "new", "row", "whole", "a.b", "__d")})
+    found = line_dedup.dedup_lines(df)
+    assert found.columns[:4] == ["doc_id", "text", "removed_lines", "d"]
+    rows = {r["doc_id"]: (r["text"], list(r["removed_lines"]), r["d"], r["a.b"]) for r in found.collect()}
+    assert rows[3][1] == [] and rows[4][:2] == ("", [0, 1]) and rows[5][:2] == ("q\nr", [1, 2]) and rows[5][2:] == ("k", "a.b")
+    assert all(rows[k][1] == [0, 1] and rows[k][0] == str(k) for k in range(11, 30)) and rows[10][1] == []
+
+
+def test_line_dedup_of_a_long_text(spark):
+    text = "\n".join(f"line {k} of a text that has very many lines" for k in range(30_000))
+    rows = spark.createDataFrame([(1, text), (2, text + "\nmore"), (None, text), (3, None)], "doc_id long, text string")
+    assert {r["doc_id"]: (len(r["text"] or ""), r["n_lines"]) for r in line_dedup.dedup_lines(rows).collect()} == {1: (len(text), 30_000), 2: (4, 30_001), None: (0, 30_000), 3: (0, 0)}
+
+
 def test_alignment_takes_repeated_lines(spark):
     rng = random.Random(13)
     assert line_dedup.aligned(list("xLyLz"), list("xLyLz")) == [(k, k) for k in range(5)]
@@ -522,8 +576,48 @@ def test_toxicity_on_held_out_documents(spark):
     assert hits and all("you" in h["sentence"] for h in hits)
 
 
+def test_toxicity_is_the_noisy_or_of_sentences():
+    rng = random.Random(21)
+    vocabulary = [prose(rng, 1) + rng.choice(("", ",", "!", ". ", "\n", ";")) for _ in range(60)]
+    weights = {f: rng.choice((0.5, 1.0, 4.0)) for w in vocabulary[:12] for f in toxicity.features(w.lower().strip().strip(".,;!").encode())} | {toxicity.BIAS: -3.0}
+    of, seen = toxicity.WordWeights(weights), 0
+    for _ in range(500):
+        text = " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(40))).encode()
+        p, spans = toxicity.sentence_scores(text, weights)
+        score, offending = toxicity.score_text(text, of)
+        assert score == pytest.approx(1 - math.prod(1 - p), abs=1e-9) if len(p) else score == 0
+        assert [(a, b) for a, b, _ in offending] == [s for s, q in zip(spans, p, strict=True) if q >= 0.5]
+        seen += len(offending)
+    assert seen > 50
+
+
+def test_samples_are_whole_and_the_same_each_time(spark):
+    rows = [(i % 40, f"text {i} " * (i % 7 + 1)) for i in range(120)] + [(None, "none")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(3, 0), (None, 1)], "doc_id long, quality int")
+    take = lambda d, most: first_whole(labelled_sample(d, marks, "quality", 20).withColumn("n", F.length("text")), "n", most).to_pydict()
+    whole = take(df, 10**9)
+    assert len(whole["text"]) == len(set(whole["text"])) and 0 < len(whole["text"]) <= 20 and take(df.repartition(7), 10**9) == whole
+    part = take(df, sum(whole["n"][:5]))
+    assert part["text"] == whole["text"][:5] and take(df, 0)["text"] == []
+
+
+def test_long_chains_train_on_all_lines(monkeypatch):
+    rng = np.random.default_rng(4)
+    x = [rng.random((n, line_crf.WIDTH)).astype(np.float32) for n in (3, 30, 8, 9)]
+    y = np.array([0, 1, 1, 0])
+    whole = line_crf.train(x, y, rounds=30)
+    monkeypatch.setattr(line_crf, "CHAIN", 7)
+    split = line_crf.train(x, y, rounds=30)
+    assert np.abs(whole["w"] - split["w"]).max() < 0.2 and not np.array_equal(whole["w"], split["w"])
+    x[1][20:] = 0
+    assert not np.array_equal(line_crf.train(x, y, rounds=30)["w"], split["w"])
+
+
 def test_classifiers_on_awkward_tables(spark, docs, labels):
+    clashing = docs.withColumns({c: F.lit(1) for c in ("held_out", "predicted", "offending", "place", "label", "_0", "_text")})
     for run in (line_crf.classify, toxicity.classify):
+        assert sorted((r[0] or -1, r[2]) for r in run(clashing, labels).collect()) == sorted((r[0] or -1, r[2]) for r in run(docs, labels).collect())
         for marks in (labels, labels.limit(0)):
             out = run(docs, marks).collect()
             assert len(out) == docs.count() and all(0 <= r["score"] <= 1 for r in out)
