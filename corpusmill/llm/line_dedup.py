@@ -177,8 +177,8 @@ def deleted(text: pd.Series, ranks: pd.Series) -> pd.DataFrame:
 def overlaps(found: DataFrame) -> DataFrame:
     """Pairs of documents with the hashes that lead to them: d, e (the later one), od, oe (the earlier), h, g, n, at, oat."""
     holders = found.groupBy("h", "g").agg(F.count("*").alias("holders")).where("holders > 1")
-    # Written, so that the joins below read both sides from shuffles of their own and a frequent hash's rows can be split.
-    shared = materialize(found.join(holders, ["h", "g"]), "shared-lines")
+    # Written, so that the joins read both sides from shuffles of their own and a frequent hash's rows can be split.
+    shared = materialize(found.join(materialize(holders, "line-holders"), ["h", "g"]), "shared-lines")
     rare, frequent = shared.where(F.col("holders") <= RARE), shared.where(F.col("holders") > RARE)
     earlier = rare.select("h", "g", F.col("d").alias("od"), F.col("e").alias("oe"), F.col("at").alias("oat"))
     first = frequent.groupBy("h", "g").agg(F.min(F.struct("d", "e", "at")).alias("o")).select("h", "g", F.col("o.d").alias("od"), F.col("o.e").alias("oe"), F.col("o.at").alias("oat"))
