@@ -1,24 +1,25 @@
 """Language-model scoring with a weighted backoff automaton over words.
 
-Model: a bigram model interpolated with a unigram model, ``p(v|u) = (1 - L) c(u,v) / c(u) + L p(v)``. The share L of the
-lower order depends on how often training saw u: contexts are classed by the power of two of c(u), and L of a class is the
-Good-Turing estimate of what is new after its contexts, the share of its training tokens whose pair occurs once. The
-unigram model adds a half to every count and has one further word for all that training lacks. As an automaton: a state
-for every word that training saw as a context and a root; from state u an arc for every seen pair with weight
-log p(v|u), and a failure arc to the root with weight log L, where every word has an arc. A text is read once from left to
-right: each token takes its arc, after the failure arc if the state lacks one, and leads to its own state, or the root for a
-word unknown as a context. The state after a token depends on that token only, so the traversal of many texts is done on
-arrays, a step being the same few lookups for every token.
+Model: word pairs smoothed by words, ``p(v|u) = (c(u,v) + M p(v)) / (c(u) + M)``: M tokens of the lower order are added to every
+context. The lower order adds a half to every count and has one further word for all that training lacks.
+
+As an automaton: a root and a state for every word that training saw as a context. The root has an arc for every word; the
+state of u has an arc for every v that training saw after u, weight log p(v|u), and a failure arc to the root, weight
+log M / (c(u) + M). A text is read once from left to right, from the root: a token takes its arc; if the state has none, the
+failure arc is taken first. The arc leads to the token's own state, or to the root where training lacks the word. The texts of
+a block are traversed side by side, each carrying its state and its sum. A text of more than ``LANE`` tokens is traversed in
+several lanes, each of which starts in the state that the token before it leads to.
 
 Work: scanned texts are cut into blocks of about ``BLOCK`` tokens. A block sends its distinct words and pairs, with their
-training counts, as sorted arrays to buckets by hash; a bucket sums the counts of each key over all blocks and answers each
-block in the block's own order. So an n-gram costs a row element per block and not per occurrence, a frequent one is no more
-than one element per block, the model is never in one place, and a block receives just the part of the automaton that its
-texts can reach. N and V are sums over the buckets, the shares L over the blocks.
+training counts, as sorted arrays to the buckets by hash that hold some of them; a bucket sums the counts of each key over all
+blocks and answers each block in the block's own order. So an n-gram costs a row element per block and not per occurrence, a
+frequent one is no more than one element per block, rows are no more than distinct n-grams, the model is never in one place, and
+a block receives just the part of the automaton that its texts can reach. N and V are sums over the buckets.
 
 Words and pairs are told apart by 64-bit hashes. Null and empty texts have one token, the end. Rows that repeat count and are
-scored each for itself. A null doc_id counts as the empty text for the fold. Without training tokens both models have
-one word only, the unknown one.
+scored each for itself, so rows with one text tie. A null doc_id counts as the empty text for the fold. Without training tokens
+both models have one word only, the unknown one. A text of any length is scored whole; one longer than a block is a block of
+its own. Other columns, whatever their names, are neither read nor kept. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,7 +35,9 @@ from pyspark.sql import functions as F
 
 from .common import WordHash, byte_texts, fold, materialize
 
-BLOCK, CLASSES = 2_000_000, 40
+BLOCK, LANE = 2_000_000, 2048
+#: M, the tokens of the lower order that are added to a context.
+PRIOR = 4.0
 #: The hash of the end token, which no word has for practical purposes.
 END = 0x5DEECE66D
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -104,8 +107,9 @@ def gather(docs: DataFrame, buckets: int) -> DataFrame:
             pairs, at = np.unique(pair_keys(flat[:-1], flat[1:])[inner[1:]], return_inverse=True)
             for kind, keys, counts in (("word", word, train_words), ("pair", pairs, np.bincount(at[learnt[1:][inner[1:]]], minlength=len(pairs)))):
                 edges = bucket_bounds(keys, buckets)
-                cuts = [(a, b) for a, b in zip(edges, edges[1:], strict=False)]
-                columns = ([kind] * buckets, [block] * buckets, list(range(buckets)), [pack_sorted(keys[a:b]) for a, b in cuts], [pack(counts[a:b]) for a, b in cuts], [None] * buckets)
+                cuts = [(k, a, b) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if a < b]
+                n = len(cuts)
+                columns = ([kind] * n, [block] * n, [k for k, _, _ in cuts], [pack_sorted(keys[a:b]) for _, a, b in cuts], [pack(counts[a:b]) for _, a, b in cuts], [None] * n)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
             block += 1
             held = 0
@@ -159,59 +163,71 @@ ANSWER = "kind string, block long, bucket int, keys binary, counts binary, docs
 SCORE = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-class Block:
-    """A block's texts as numbers, with the counts of its words and pairs over the whole corpus."""
-
-    def __init__(self, table: pa.Table):
-        kinds, buckets, keys, counts, docs = (table[c].to_pylist() for c in ("kind", "bucket", "keys", "counts", "docs"))
-        rows = sorted(zip(kinds, buckets, range(len(kinds)), strict=True))
-        column = lambda c, kind, read: np.concatenate([np.zeros(0, np.int64), *(read(c[i]) for k, _, i in rows if k == kind)])
-        word, word_count, pair_count = column(keys, "word", unpack_sorted), column(counts, "word", unpack), column(counts, "pair", unpack)
-        data, at, parts = next(d for d in docs if d is not None), 0, []
-        while at < len(data):
-            n = int.from_bytes(data[at : at + 8], "little")
-            parts.append(unpack(data[at + 8 : at + 8 + n]))
-            at += 8 + n
-        self.given, self.ids, self.size, self.trained, order, rank = parts
-        local = order[rank]
-        del parts, rank, keys, counts, docs, data
-        self.starts = np.cumsum(self.size) - self.size
-        #: Of each token: its count, the count of the state it is read in (0: the root), the count of the pair.
-        self.count = word_count[local]
-        self.inner = np.ones(len(local), bool)
-        self.inner[self.starts] = False
-        self.context = np.append(0, self.count[:-1]) * self.inner
-        self.pair = np.zeros(len(local), np.int64)
-        where, hashes = np.flatnonzero(self.inner), word[local]
-        if len(where):
-            _, number = np.unique(pair_keys(hashes[where - 1], hashes[where]), return_inverse=True)
-            self.pair[where] = pair_count[number]
-
-
-def class_of(count: np.ndarray) -> np.ndarray:
-    return np.minimum(np.frexp(count.astype(np.float64))[1], CLASSES - 1)
-
-
-def shares(table: pa.Table) -> pa.Table:
-    """Training tokens of a block by class of their context, and how many of them are of a pair that occurs once."""
-    block = Block(table)
-    use = np.repeat(block.trained == 1, block.size) & (block.context > 0)
-    kind = class_of(block.context[use])
-    found = np.bincount(kind, minlength=CLASSES), np.bincount(kind[block.pair[use] == 1], minlength=CLASSES)
-    return pa.table([pa.array([x.tolist()], pa.list_(pa.int64())) for x in found], names=["tokens", "once"])
+class Automaton:
+    """The part of the automaton that a block's texts can reach. State 0 is the root, state 1 + w that of local word w."""
+
+    def __init__(self, word_count: np.ndarray, pairs: np.ndarray, pair_count: np.ndarray, n: int, v: int):
+        """``pairs``: rising numbers u * (number of words) + v of the local pairs."""
+        self.words = len(word_count)
+        p = (word_count + 0.5) / (n + 0.5 * (v + 1))
+        self.root = np.log10(p)
+        seen = pair_count > 0
+        self.arcs = pairs[seen] + self.words  # state * words + word
+        u, w = pairs[seen] // self.words, pairs[seen] % self.words
+        self.weights = np.log10((pair_count[seen] + PRIOR * p[w]) / (word_count[u] + PRIOR))
+        self.failure = np.append(0.0, np.log10(PRIOR / (word_count + PRIOR)))  # the root fails to itself, at no cost
+        self.state = np.where(word_count > 0, 1 + np.arange(self.words), 0)
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Weight and next state of one token of each lane."""
+        weight = self.failure[state] + self.root[word]
+        if len(self.arcs):
+            key = state * self.words + word
+            at = np.minimum(np.searchsorted(self.arcs, key), len(self.arcs) - 1)
+            weight = np.where(self.arcs[at] == key, self.weights[at], weight)
+        return weight, self.state[word]
+
+    def traverse(self, tokens: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Sum of the weights of every text from left to right."""
+        lanes = -(-sizes // LANE)
+        text = np.repeat(np.arange(len(sizes)), lanes)
+        part = np.arange(len(text)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
+        begin, length = starts[text] + part * LANE, np.minimum(sizes[text] - part * LANE, LANE)
+        order = np.argsort(-length, kind="stable")
+        begin, length, total = begin[order], length[order], np.zeros(len(order))
+        state = np.where(part[order] > 0, self.state[tokens[np.maximum(begin - 1, 0)]], 0)
+        for t in range(int(length[0]) if len(length) else 0):
+            active = int(np.searchsorted(-length, -t, side="left"))
+            weight, state = self.step(state[:active], tokens[begin[:active] + t])
+            total[:active] += weight
+        return np.bincount(text[order], total, len(sizes))
 
 
 def walk(table: pa.Table, n: int, v: int) -> pa.Table:
-    """Runs the automaton over the texts of a block; the shares come in a column."""
-    block = Block(table)
-    tokens, once = (np.array(table[c][0].as_py(), np.float64) for c in ("tokens", "once"))
-    lower = np.clip((once + 0.5) / (tokens + 1), 1e-3, 1.0)
-    root = (block.count + 0.5) / (n + 0.5 * (v + 1))
-    failure = np.where(block.context > 0, lower[class_of(block.context)], 1.0)  # the root fails to itself, at no cost
-    arc = (1 - failure) * block.pair / np.maximum(block.context, 1) + failure * root
-    weight = np.where(block.pair > 0, np.log10(arc), np.log10(failure) + np.log10(root))
-    total = lambda x: np.add.reduceat(x, block.starts)
-    columns = [pa.array(block.ids, mask=block.given == 0), pa.array(block.trained == 0), pa.array(block.size), *(pa.array(total(x)) for x in ((block.count > 0).astype(np.int64), np.log10(root), weight))]
+    """Scores the texts of a block."""
+    kinds, buckets, keys, counts, docs = (table[c].to_pylist() for c in ("kind", "bucket", "keys", "counts", "docs"))
+    rows = sorted(zip(kinds, buckets, range(len(kinds)), strict=True))
+    column = lambda c, kind, read: np.concatenate([np.zeros(0, np.int64), *(read(c[i]) for k, _, i in rows if k == kind)])
+    word, word_count, answers = column(keys, "word", unpack_sorted), column(counts, "word", unpack), column(counts, "pair", unpack)
+    data, at, parts = next(d for d in docs if d is not None), 0, []
+    while at < len(data):
+        size = int.from_bytes(data[at : at + 8], "little")
+        parts.append(unpack(data[at + 8 : at + 8 + size]))
+        at += 8 + size
+    given, ids, sizes, trained, order, rank = parts
+    del parts, keys, counts, docs, data
+    tokens = order[rank]
+    starts = np.cumsum(sizes) - sizes
+    inner = np.ones(len(tokens), bool)
+    inner[starts] = False  # a text's first token has no context
+    where = np.flatnonzero(inner)
+    pairs = np.unique(tokens[where - 1] * len(word) + tokens[where])
+    # Answers come in the order of the pairs' hashes.
+    pair_count = np.zeros(len(pairs), np.int64)
+    pair_count[np.argsort(pair_keys(word[pairs // len(word)], word[pairs % len(word)]))] = answers
+    automaton = Automaton(word_count, pairs, pair_count, n, v)
+    total = lambda x: np.add.reduceat(x, starts)
+    columns = [pa.array(ids, mask=given == 0), pa.array(trained == 0), pa.array(sizes), pa.array(total((word_count[tokens] > 0).astype(np.int64))), pa.array(total(automaton.root[tokens])), pa.array(automaton.traverse(tokens, starts, sizes))]
     return pa.table(columns, names=[x.split()[0] for x in SCORE.split(", ")])
 
 
@@ -227,9 +243,5 @@ def score(docs: DataFrame) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         return walk(table, n, v)
 
-    # Both passes over the blocks read one and the same exchange; the shares are a row of 2 x CLASSES numbers.
-    blocks = answered.drop("totals").repartition("block")
-    add = lambda c: F.array(*(F.coalesce(F.sum(F.get(c, F.lit(k))), F.lit(0)) for k in range(CLASSES))).alias(c)
-    fitted = blocks.groupBy("block").applyInArrow(shares, "tokens array<long>, once array<long>").agg(add("tokens"), add("once"))
-    scored = blocks.crossJoin(F.broadcast(fitted)).groupBy("block").applyInArrow(run, SCORE)
+    scored = answered.drop("totals").groupBy("block").applyInArrow(run, SCORE)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
