@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import materialize, new_folder, shared_dir, table
 
-__all__ = ["FOLDS", "WordHash", "byte_texts", "fold", "materialize", "new_folder", "shared_dir", "small_batches", "table", "with_text"]
+__all__ = ["FOLDS", "WordHash", "byte_texts", "fold", "materialize", "new_folder", "ragged", "shared_dir", "small_batches", "table", "with_text"]
 
 #: A document is training data of classifier N unless crc32(doc_id as text) mod 5 has this value.
 FOLDS = 5
@@ -58,3 +59,9 @@ class WordHash(dict):
         if len(word) <= 64:
             self[word] = value
         return value
+
+
+def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... (sizes[0] of them), starts[1], ..."""
+    before = np.cumsum(sizes) - sizes
+    return np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))

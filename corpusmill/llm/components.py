@@ -25,3 +25,14 @@ def components(links: DataFrame) -> DataFrame:
         if step.where("old <> label").limit(1).count() == 0:
             return step.select("id", F.col("label").alias("component"))
         labels = step.select("id", "label")
+
+
+def merged(grouped: DataFrame, links: DataFrame) -> DataFrame:
+    """``grouped`` (id, component) after further ``links`` (a, b): only its components' labels are looked at again."""
+    ends = links.select(F.col("a").alias("id")).union(links.select("b")).distinct()
+    known = grouped.unionByName(ends.join(grouped, "id", "left_anti").select("id", F.col("id").alias("component")))
+    known = materialize(known, "known")
+    of = lambda end: known.select(F.col("id").alias(end), F.col("component").alias(f"c_{end}"))
+    joined = components(links.join(of("a"), "a").join(of("b"), "b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b")))
+    new = joined.select(F.col("id").alias("component"), F.col("component").alias("lower"))
+    return materialize(known.join(new, "component", "left").select("id", F.coalesce("lower", "component").alias("component")), "components")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import with_text
+from .common import ragged, with_text
 
 SPACE = "▁"
 #: Piece kinds of the model format (fixed values).
@@ -45,12 +45,6 @@ PIECE = 0x110000
 NEVER = np.int32(2**31 - 1)
 
 
-def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """starts[0], starts[0] + 1, ... (sizes[0] of them), starts[1], ..."""
-    before = np.cumsum(sizes) - sizes
-    return np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))
-
-
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
     """(field number, value) of a protocol-buffer message; floats stay four raw bytes."""
     i = 0

@@ -314,8 +314,10 @@ def test_warc_round_trip(spark):
 # 5
 
 
-def test_lm_counts_and_scores(spark, docs, monkeypatch):
+@pytest.mark.parametrize("lane", [7, 2048])
+def test_lm_counts_and_scores(spark, docs, monkeypatch, lane):
     monkeypatch.setattr(backoff_lm, "BLOCK", 500)
+    monkeypatch.setattr(backoff_lm, "LANE", lane)
     rows = docs.collect()
     tokens = [[*words(r["text"]), b"\n"] for r in rows]
     held = [zlib.crc32(("" if r["doc_id"] is None else str(r["doc_id"])).encode()) % 5 == 1 for r in rows]
@@ -325,20 +327,11 @@ def test_lm_counts_and_scores(spark, docs, monkeypatch):
             count.update(t)
             pair.update(zip(t, t[1:], strict=False))
     n, v = sum(count.values()), len(count)
-    kind = lambda c: min(c.bit_length(), backoff_lm.CLASSES - 1)
-    total, once = collections.Counter(), collections.Counter()
-    for t, h in zip(tokens, held, strict=True):
-        for a, b in zip(t, t[1:], strict=False):
-            if not h:
-                total[kind(count[a])] += 1
-                once[kind(count[a])] += pair[a, b] == 1
     root = lambda w: (count[w] + 0.5) / (n + 0.5 * (v + 1))
+    m = backoff_lm.PRIOR
 
     def weight(a, b):
-        if a is None or not count[a]:
-            return math.log10(root(b))
-        low = min(1.0, max(1e-3, (once[kind(count[a])] + 0.5) / (total[kind(count[a])] + 1)))
-        return math.log10((1 - low) * pair[a, b] / count[a] + low * root(b))
+        return math.log10((pair[a, b] + m * root(b)) / (count[a] + m) if a is not None and count[a] else root(b))
 
     want = collections.Counter()
     for r, t, h in zip(rows, tokens, held, strict=True):
@@ -349,6 +342,17 @@ def test_lm_counts_and_scores(spark, docs, monkeypatch):
     assert backoff_lm.score(docs.limit(0)).count() == 0
 
 
+def test_lm_automaton_is_a_distribution():
+    rng = np.random.default_rng(3)
+    words_, tokens = 6, rng.integers(0, 6, 200)
+    count = np.append(np.bincount(tokens[:-1], minlength=words_), 0)  # a further word that training lacks
+    codes, times = np.unique(tokens[:-1] * (words_ + 1) + tokens[1:], return_counts=True)
+    automaton = backoff_lm.Automaton(count, codes, times, int(count.sum()), int((count > 0).sum()))
+    for state in (0, *(1 + w for w in range(words_))):
+        weight, after = automaton.step(np.full(words_ + 1, state), np.arange(words_ + 1))
+        assert (10**weight).sum() == pytest.approx(1, abs=0.01) and after.tolist() == [*range(1, words_ + 1), 0]
+
+
 def test_lm_packing_of_numbers():
     x = np.array([-(1 << 63), -5, 0, 7, (1 << 63) - 1], np.int64)
     assert (backoff_lm.unpack_sorted(backoff_lm.pack_sorted(x)) == x).all() and (backoff_lm.unpack(backoff_lm.pack(x[::-1])) == x[::-1]).all()
@@ -442,20 +446,56 @@ def test_jaccard_join_loses_no_link(spark, docs, monkeypatch):
     assert collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.join(df).collect()) == brute_components(rows)
 
 
+def keys_of(x, frequent):
+    return jaccard_join.prefix_keys(x, np.array([0, len(x)]), frequent, np.ones(1, bool))[0]
+
+
 def test_jaccard_prefixes_meet():
     """Any two sets at the threshold share an index key, whatever is frequent."""
     rng = np.random.default_rng(5)
-    for n in (1, 3, 8, 30, 47, 49, 63, 65, 84, 86, 200):
+    for n in (1, 3, 8, 15, 23, 24, 30, 31, 47, 49, 63, 65, 84, 86, 97, 200, 770):
         for _ in range(20):
             a = np.unique(rng.integers(-(1 << 62), 1 << 62, n))
             drop = (len(a) - math.ceil(0.75 * len(a))) // 2
-            b = np.unique(np.concatenate([rng.permutation(a)[drop:], rng.integers(-(1 << 62), 1 << 62, drop)]))
+            b = np.unique(np.concatenate([rng.permutation(a)[drop:], rng.integers(-(1 << 62), 1 << 62, rng.integers(drop + 1))]))
             both = len(np.intersect1d(a, b))
             if 100 * both < 75 * (len(a) + len(b) - both) or np.array_equal(a, b):  # equal sets are one set
                 continue
-            frequent = np.sort(a[rng.random(len(a)) < rng.random()])
-            keys = [jaccard_join.prefix_keys(x, frequent)[0] for x in (a, b)]
-            assert len(np.intersect1d(*keys))
+            frequent = np.sort(a[rng.random(len(a)) < rng.choice((0, 0.5, 0.9, 0.99, 1))])
+            x, y = keys_of(a, frequent), keys_of(b, frequent)
+            assert len(np.intersect1d(x, y)) and len(x) <= 3 * n + 6, n
+
+
+def test_sets_and_keys_of_many_texts_are_those_of_each(texts):
+    rng = np.random.default_rng(6)
+    raw = [(t or "").encode() for t in texts]
+    tokens, edges = jaccard_join.shingles(raw, jaccard_join.WordHash())
+    frequent = np.unique(rng.choice(tokens, len(tokens) // 2))
+    keys, places, at = jaccard_join.prefix_keys(tokens, edges, frequent, np.ones(len(raw), bool))
+    bits, cuts = jaccard_join.sketches(tokens, edges)
+    for k, t in enumerate(raw):
+        one, _ = jaccard_join.shingles([t], jaccard_join.WordHash())
+        w = t.lower().split()
+        assert (one == tokens[edges[k] : edges[k + 1]]).all() and len(one) == len({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else ())
+        assert sorted(keys_of(one, frequent)) == sorted(keys[at[k] : at[k + 1]])
+        assert (jaccard_join.sketches(one, np.array([0, len(one)]))[0] == bits[cuts[k] : cuts[k + 1]]).all()
+
+
+@pytest.mark.parametrize("changed", [{"REMEMBERED": 0}, {"MANY": 0, "HUBS": 1}, {"MANY": 10**9, "AT_ONCE": 1}, {"BROADCAST_IDS": 0}, {"MOST_FREQUENT": 0}, {"PART": 3, "TEXTS": 2}])
+def test_jaccard_join_whatever_the_plan(spark, monkeypatch, changed):
+    monkeypatch.setattr(jaccard_join, "FREQUENT", 2)
+    for name, value in changed.items():
+        monkeypatch.setattr(jaccard_join, name, value)
+    rng = random.Random(9)
+    rows, base = [], [prose(rng, 40).split() for _ in range(3)]
+    for k in range(45):  # copies of copies, over a passage that most share
+        w = list(base[k % 3]) if k % 5 else prose(rng, 12).split() + base[0][:20]
+        for _ in range(rng.randrange(3)):
+            w[rng.randrange(len(w))] = f"edit{k}"
+        base[k % 3] = w if k % 7 == 0 and k % 5 else base[k % 3]
+        rows.append((k, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.join(df).collect()) == brute_components(rows)
 
 
 def test_jaccard_join_of_nothing(spark, docs):
@@ -466,6 +506,8 @@ def test_components(spark):
     links = [(i, i + 1) for i in range(0, 40)] + [(100, 102), (102, 101), (7, 7)]
     got = {r["id"]: r["component"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100}
+    half = components.components(spark.createDataFrame(links[::2], "a long, b long"))
+    assert {r["id"]: r["component"] for r in components.merged(half, spark.createDataFrame([*links[1::2], (9, 9)], "a long, b long")).collect()} == got
 
 
 # 8
