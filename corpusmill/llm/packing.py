@@ -8,11 +8,14 @@ lands in the tightest compatible bin.
 A document longer than a bin is cut into windows of ``capacity`` words; full windows are bins of their own, the rest is an
 item. Documents are dealt to shards by a hash of the row, ``shard_rows`` to a shard on average, so that no task holds more
 than a shard however skewed sources or clusters are. Documents without words take no space: they get no bin (bin_id null).
-A null source or cluster conflicts with nothing. Rows that repeat are packed each for itself.
+A null source or cluster conflicts with nothing. Rows that repeat are packed each for itself. Items of one size are taken in
+the order of their ids, parts, sources and clusters. An empty table gives no rows. ``docs`` may have other columns of any name.
+``sequences`` then gives every item the part of its document's text that it stands for.
 """
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -20,8 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import byte_texts
+
 CAPACITY, SHARD_ROWS, PER_SOURCE = 2048, 8192, 4
-SCHEMA = "doc_id long, part int, begin int, n_words int, shard long, bin long, position int, bin_words int"
+SCHEMA = "row long, doc_id long, part int, begin int, n_words int, shard long, bin long, position int, bin_words int"
 
 
 class Bins:
@@ -66,13 +71,13 @@ class Bins:
 
 
 def pack_shard(rows: list[tuple[int | None, int, str | None, int | None]], capacity: int, per_source: int) -> list[tuple]:
-    """rows: (doc_id, words, source, cluster). Returns (doc_id, part, begin, words, bin, position, bin's words)."""
+    """rows: (doc_id, words, source, cluster). Returns (number of the row, part, begin, words, bin, position, bin's words)."""
     items = []
-    for doc_id, words, source, cluster in rows:
+    for number, (doc_id, words, source, cluster) in enumerate(rows):
         full, rest = divmod(words, capacity)
-        items += [(capacity, doc_id, part, part * capacity, source, cluster) for part in range(full)]
+        items += [(capacity, doc_id, part, part * capacity, source, cluster, number) for part in range(full)]
         if rest:
-            items.append((rest, doc_id, full, full * capacity, source, cluster))
+            items.append((rest, doc_id, full, full * capacity, source, cluster, number))
     key = lambda x: (-x[0], x[1] is None, x[1] or 0, x[2], x[4] or "", x[5] or 0)
     items.sort(key=key)
     bits: dict[object, int] = {}
@@ -90,15 +95,22 @@ def pack_shard(rows: list[tuple[int | None, int, str | None, int | None]], capac
     for x in items:
         repeated[x[5]] = repeated.get(x[5], 0) + 1
     bins, placed = Bins(per_source), []
-    for size, doc_id, part, begin, source, cluster in items:
+    for size, _, part, begin, source, cluster, row in items:
         # A cluster with one item in the shard conflicts with nothing and needs no bit.
         number, position = bins.place(size, bit("s", source), bit("c", cluster) if repeated[cluster] > 1 else 0, capacity)
-        placed.append((doc_id, part, begin, size, number, position))
+        placed.append((row, part, begin, size, number, position))
     return [(*p, bins.filled[p[4]]) for p in placed]
 
 
+def row_of() -> F.Column:
+    """A hash of a document's id and text."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return F.xxhash64(F.col("doc_id").cast("long"), F.length(text), F.xxhash64(text))
+
+
 def pack(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE, cluster: F.Column | None = None, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """One row per item: doc_id, part, begin and n_words (the window of words), bin_id, position, bin_words.
+    """One row per item: row (a hash of its document), doc_id, part, begin and n_words (the window of words), bin_id, position,
+    bin_words.
 
     ``cluster``: a long column of the duplicate cluster; by default documents with equal texts are a cluster.
     """
@@ -109,22 +121,49 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE
         F.size(words).alias("n"),
         F.col("source").cast("string").alias("source"),
         (F.xxhash64(text) if cluster is None else cluster).alias("cluster"),
-        F.xxhash64("doc_id", F.length(text), F.xxhash64(text)).alias("hash"),
+        row_of().alias("row"),
     )
     shards = max(1, -(-docs.count() // shard_rows))
-    sharded = sized.withColumn("shard", F.pmod("hash", F.lit(shards)))
+    sharded = sized.withColumn("shard", F.pmod("row", F.lit(shards)))
 
     def run(table: pa.Table) -> pa.Table:
         shard = table["shard"][0].as_py()
         rows = list(zip(*(table[c].to_pylist() for c in ("doc_id", "n", "source", "cluster")), strict=True))
         placed = pack_shard(rows, capacity, per_source)
-        empty = [(d, 0, 0, 0, None, None, 0) for d, n, _, _ in rows if not n]
+        empty = [(k, 0, 0, 0, None, None, 0) for k, (_, n, _, _) in enumerate(rows) if not n]
         names = [x.split() for x in SCHEMA.split(", ")]
         kinds = {"long": pa.int64(), "int": pa.int32()}
-        rows = [(a, b, c, d, shard, e, f, g) for a, b, c, d, e, f, g in placed + empty]
+        keys = table["row"].to_pylist()
+        rows = [(keys[a], rows[a][0], b, c, d, shard, e, f, g) for a, b, c, d, e, f, g in placed + empty]
         columns = list(zip(*rows, strict=True)) or [[]] * len(names)
         return pa.table([pa.array(list(c), kinds[k]) for c, (_, k) in zip(columns, names, strict=True)], names=[n for n, _ in names])
 
-    packed = sharded.drop("hash").groupBy("shard").applyInArrow(run, SCHEMA)
+    packed = sharded.groupBy("shard").applyInArrow(run, SCHEMA)
     bin_id = F.col("shard") * F.lit(1 << 32) + F.col("bin")
-    return packed.select("doc_id", "part", "begin", "n_words", bin_id.alias("bin_id"), "position", "bin_words")
+    return packed.select("row", "doc_id", "part", "begin", "n_words", bin_id.alias("bin_id"), "position", "bin_words")
+
+
+WORD = re.compile(rb"[^ \t\n\x0b\x0c\r]+")
+
+
+def cut(text: bytes, capacity: int) -> list[bytes]:
+    """A text in windows of ``capacity`` words, each from its first word's begin to its last word's end; one of no words is empty."""
+    ends = [m.span() for m in WORD.finditer(text)]
+    return [text[ends[a][0] : ends[min(a + capacity, len(ends)) - 1][1]] for a in range(0, len(ends), capacity)] or [b""]
+
+
+def sequences(docs: DataFrame, packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """``packed`` with the text of each item. Full repeats of a document bring their text once; texts are cut where they lie and
+    meet their items by row and part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, text in zip(batch.column(0).to_pylist(), byte_texts(batch.column(1)), strict=True):
+                parts = cut(text, capacity)
+                for start in range(0, len(parts), 1024):
+                    some = parts[start : start + 1024]
+                    columns = [pa.array([row] * len(some), pa.int64()), pa.array(range(start, start + len(some)), pa.int32()), pa.array([x.decode("utf-8", "replace") for x in some], pa.string())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["row", "part", "text"])
+
+    once = docs.select(row_of().alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).dropDuplicates(["row"])
+    return packed.join(once.mapInArrow(run, "row long, part int, text string"), ["row", "part"], "left").select(*packed.columns, "text")

@@ -59,17 +59,18 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def with_components(docs: DataFrame) -> DataFrame:
-    """Adds __component: the least row key among the rows linked to the row (five words, 0.75). Rows are named by a hash of
-    doc_id and text, so that null and repeated ids are told apart; full repeats are linked."""
-    keyed = docs.withColumn("__row", F.xxhash64("doc_id", F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    linked = jaccard_join.join(keyed.select(F.col("__row").alias("doc_id"), "text"))
-    found = materialize(linked.groupBy("doc_id").agg(F.min("component_id").alias("__component")), "clusters")
-    return keyed.join(found, keyed["__row"] == found["doc_id"], "left").select(*(keyed[c] for c in docs.columns), "__component")
+    """doc_id, text, source and __component: the least row key among the rows linked to the row (five words, 0.75). Rows are named
+    by a hash of doc_id and text, so that null and repeated ids are told apart; full repeats are linked."""
+    keyed = docs.select("doc_id", "text", "source", packing.row_of().alias("__row"))
+    found = jaccard_join.join(keyed.select(F.col("__row").alias("doc_id"), "text"))
+    found = materialize(found.groupBy(F.col("doc_id").alias("__id")).agg(F.min("component_id").alias("__component")), "clusters")
+    return keyed.join(found, F.col("__row") == F.col("__id"), "left").drop("__row", "__id")
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
-    return packing.pack(with_components(docs), cluster=F.col("__component"))
+    packed = packing.pack(with_components(docs), cluster=F.col("__component"))
+    return packed.select("doc_id", "part", "begin", "n_words", "bin_id", "position", "bin_words")
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

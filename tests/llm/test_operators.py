@@ -533,6 +533,50 @@ def test_packing(spark, docs):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
+def best_fit(rows, capacity, per_source):
+    """Every item in turn against every bin."""
+    items = []
+    for k, (d, n, source, cluster) in enumerate(rows):
+        items += [(min(capacity, n - at), d, at // capacity, source, cluster, k) for at in range(0, n, capacity)]
+    items.sort(key=lambda x: (-x[0], x[1] is None, x[1] or 0, x[2], x[3] or "", x[4] or 0))
+    bins, placed = [], {}
+    for size, _, part, source, cluster, k in items:
+        fits = [(capacity - sum(x[0] for x in b), i) for i, b in enumerate(bins)]
+        fits = [(r, i) for r, i in fits if r >= size and (source is None or sum(x[1] == source for x in bins[i]) < per_source) and (cluster is None or all(x[2] != cluster for x in bins[i]))]
+        at = min(fits)[1] if fits else len(bins)
+        if at == len(bins):
+            bins.append([])
+        bins[at].append((size, source, cluster))
+        placed[k, part] = at
+    return placed, bins
+
+
+def test_packing_equals_naive_best_fit():
+    rng = random.Random(15)
+    for _ in range(150):
+        rows = [(rng.choice((None, rng.randrange(30))), rng.randrange(0, 90), rng.choice((None, "a", "b", "c")), rng.choice((None, 1, 2, 3, 4))) for _ in range(rng.randrange(40))]
+        per_source = rng.randrange(1, 4)
+        placed, bins = best_fit(rows, 40, per_source)
+        got = packing.pack_shard(rows, 40, per_source)
+        assert {(r[0], r[1]): r[4] for r in got} == placed
+        assert all(r[6] == sum(x[0] for x in bins[r[4]]) <= 40 for r in got)
+
+
+def test_sequences_hold_the_texts(spark, docs):
+    odd = docs.withColumns({c: F.lit(1) for c in ("row", "part", "__row", "shard", "begin")})
+    packed = packing.pack(odd, capacity=50, per_source=2, shard_rows=20)
+    rows = packing.sequences(odd, packed, capacity=50).collect()
+    assert len(rows) == packed.count()
+    found = collections.defaultdict(list)
+    for r in rows:
+        assert len(r["text"].encode().split()) == r["n_words"]
+        found[r["row"]].append((r["part"], r["text"]))
+    want = {" ".join((r["text"] or "").encode().decode().split(" ")) for r in docs.collect()}
+    whole = {t for x in found.values() for p, t in x if len(x) == 1}
+    assert whole and all(any(t in w for w in want) for t in whole)
+    assert packing.cut(b"a  b\nc d", 2) == [b"a  b", b"c d"] and packing.cut(b" ", 2) == [b""]
+
+
 def test_packing_keeps_linked_documents_apart(spark, tmp_path):
     from corpusmill.llm import queries
 
@@ -559,10 +603,10 @@ def test_packing_keeps_linked_documents_apart(spark, tmp_path):
 
 def test_best_fit_takes_the_tightest_compatible_bin():
     rows = [(1, 60, "a", 1), (2, 50, "b", 2), (3, 40, "a", 3), (4, 40, "c", 2)]
-    placed = {r[0]: r[4] for r in packing.pack_shard(rows, 100, per_source=1)}
+    placed = {rows[r[0]][0]: r[4] for r in packing.pack_shard(rows, 100, per_source=1)}
     # 3 fits best beside 1, but shares its source, and goes to 2; 4 then goes to 1.
     assert placed[3] == placed[2] != placed[1] and placed[4] == placed[1]
-    clash = {r[0]: r[4] for r in packing.pack_shard([(1, 60, "a", 9), (2, 40, "b", 9)], 100, per_source=1)}
+    clash = {r[0] + 1: r[4] for r in packing.pack_shard([(1, 60, "a", 9), (2, 40, "b", 9)], 100, per_source=1)}
     assert clash[1] != clash[2]
 
 
