@@ -1,4 +1,10 @@
-"""Documents to training sequences: five stages, each on what the one before kept."""
+"""Documents to training sequences: five stages, each on what the one before kept.
+
+All stages keep the columns of the documents, whatever their names, but the last. Null and empty texts are judged as texts
+without words: the classifier scores them as one empty line, and the quality rules reject them (fewer than ten words). Texts of
+any length are taken whole. Rows with one text tie and are treated alike, except that one of them stays in the Jaccard join.
+Rows that repeat are rows of their own up to there. An empty table passes all stages and gives no rows.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm import jaccard_join, line_crf, line_dedup, packing, quality_rules
-from corpusmill.llm.common import materialize, table
+from corpusmill.llm.common import materialize, small_batches, table
 
 #: Documents that score below are rejected.
 QUALITY_CUTOFF = 0.3
@@ -25,6 +31,7 @@ def _unpacked(packed: DataFrame, docs: DataFrame) -> DataFrame:
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that the line model scores at least ``QUALITY_CUTOFF``."""
+    small_batches(spark)
     model = line_crf.fit(docs, table(spark, sf_dir, "labels"))
     scored = line_crf.score(_packed(docs), model, keep=("__row",))
     return _unpacked(scored.where(F.col("score") >= QUALITY_CUTOFF), docs)
@@ -56,19 +63,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = materialize(jaccard_join.join(docs), "groups")
     by_id = found.where("doc_id is not null").groupBy("doc_id").agg(F.bool_and(F.col("doc_id") != F.col("component_id")).alias("goes"), F.count("*").alias("n"))
     by_id = materialize(by_id.where("goes or n > 1"), "losers")
-    losers = by_id.where("goes").select(F.col("doc_id").alias("__id"))
+    losers = by_id.where("goes").select("doc_id")
     losers = F.broadcast(losers) if losers.count() <= BROADCAST_IDS else losers
-    kept = docs.join(losers, docs["doc_id"] == F.col("__id"), "left_anti")
-    repeats = by_id.where("n > 1 and not goes").select(F.col("doc_id").alias("__id"))
-    if repeats.limit(1).count() == 0:
-        return kept
-    many = kept.join(repeats, kept["doc_id"] == F.col("__id"), "left_semi")
-    return kept.join(repeats, kept["doc_id"] == F.col("__id"), "left_anti").unionByName(many.dropDuplicates())
+    kept = _packed(docs).join(losers, "doc_id", "left_anti")
+    repeats = by_id.where("n > 1 and not goes").select("doc_id")
+    if repeats.limit(1).count():
+        many = kept.join(repeats, "doc_id", "left_semi").dropDuplicates()
+        kept = kept.join(repeats, "doc_id", "left_anti").unionByName(many)
+    return _unpacked(kept, docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The windows of each document and the bins they lie in."""
-    return packing.pack(docs)
+    """The windows of each document with their texts, and the bins they lie in: rows of a bin, by position, are a sequence.
+
+    Of linked documents one is left by now, so a duplicate cluster is a text that several rows without or with one doc_id have.
+    """
+    return packing.sequences(docs, packing.pack(docs)).drop("row")
 
 
 STAGES = [
