@@ -471,7 +471,8 @@ def test_sets_and_keys_of_many_texts_are_those_of_each(texts):
     raw = [(t or "").encode() for t in texts]
     tokens, edges = jaccard_join.shingles(raw, jaccard_join.WordHash())
     frequent = np.unique(rng.choice(tokens, len(tokens) // 2))
-    keys, places, at = jaccard_join.prefix_keys(tokens, edges, frequent, np.ones(len(raw), bool))
+    keys, places, at, rare = jaccard_join.prefix_keys(tokens, edges, frequent, np.ones(len(raw), bool))
+    assert all(set(keys[at[k] : at[k] + rare[k]].tolist()) <= set(tokens[edges[k] : edges[k + 1]].tolist()) - set(frequent.tolist()) for k in range(len(raw)))
     bits, cuts = jaccard_join.sketches(tokens, edges)
     for k, t in enumerate(raw):
         one, _ = jaccard_join.shingles([t], jaccard_join.WordHash())
