@@ -509,6 +509,7 @@ def test_components(spark):
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100}
     half = components.components(spark.createDataFrame(links[::2], "a long, b long"))
     assert {r["id"]: r["component"] for r in components.merged(half, spark.createDataFrame([*links[1::2], (9, 9)], "a long, b long")).collect()} == got
+    assert components.merged(half, half.limit(0).select(F.col("id").alias("a"), F.col("id").alias("b"))).count() == half.count()
 
 
 # 8
