@@ -18,14 +18,18 @@ RULES = {
     "ticket_id": r"\b(?:JIRA|BUG|INC)-\d+\b",
     "datetime": r"\b\d{4}-\d{2}-\d{2}(?:T\d{2}:\d{2}:\d{2})?\b",
 }
-CONFIDENCE, MASK = 0.9, "[REDACTED]"
+#: Fixed values of a suggestion and of a redaction.
+CONFIDENCE, RATIONALE, MASK = 0.9, "regex match", "[REDACTED]"
+#: What a text must hold for a pattern to match; cheap to test, and most texts hold none of it.
+SIGN = {"email": lambda t: F.contains(t, F.lit("@")), "phone": lambda t: F.rlike(t, F.lit(r"\p{Nd}{4}")), "id": lambda t: F.contains(t, F.lit("ID"))}
 
 
 def detect(text: Column) -> Column:
     """Array of (type, text) of all matches, type by type."""
 
     def found(kind: str, pattern: str) -> Column:
-        return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda x: F.struct(F.lit(kind).alias("type"), x.alias("text")))
+        matches = F.when(SIGN[kind](text), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).when(text.isNotNull(), F.array().cast("array<string>"))
+        return F.transform(matches, lambda x: F.struct(F.lit(kind).alias("type"), x.alias("text")))
 
     return F.concat(*(found(kind, pattern) for kind, pattern in PII.items()))
 
@@ -37,7 +41,7 @@ def redact(text: Column, matches: Column) -> Column:
 
 def suggest(text: Column, most: int = 200, use_rules: bool = True) -> Column:
     """field -> (value, confidence, rationale, span); the first ``most`` rules that match."""
-    entry = lambda v: F.struct(v.alias("value"), F.lit(CONFIDENCE).alias("confidence"), F.lit("regex match").alias("rationale"), v.alias("span"))
+    entry = lambda v: F.struct(v.alias("value"), F.lit(CONFIDENCE).alias("confidence"), F.lit(RATIONALE).alias("rationale"), v.alias("span"))
     rules = RULES if use_rules else {}
     found = F.array(*(F.struct(F.lit(field).alias("key"), F.nullif(F.regexp_extract(text, p, 0), F.lit("")).alias("v")) for field, p in rules.items())) if rules else None
     if found is None:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import materialize
+
 
 def changed(before: Column, after: Column) -> Column:
     """Entries of ``after`` that differ from ``before`` or are new."""
@@ -38,10 +42,23 @@ def agreement(audits: DataFrame) -> DataFrame:
 
 def conflicts(audits: DataFrame) -> DataFrame:
     """Audits with ``action`` marked _conflict where an earlier audit of another user left the chunk with another value in a
-    field that this one changes. Earlier values meet by chunk and field."""
-    at = F.struct("created_at", "audit_id")
+    field that this one changes.
+
+    Earlier values are not met one by one: of every chunk and field six witnesses are enough, the earliest value of all, and the
+    earliest ones with another user, another value or both, and those that differ from these in turn.
+    """
+    keys, at = ["chunk_id", "field"], F.struct("created_at", "audit_id")
     mine = audits.select("audit_id", "chunk_id", "user", at.alias("at"), F.explode(changed(F.col("before"), F.col("after"))).alias("field", "value"))
-    theirs = audits.select("chunk_id", F.col("user").alias("user2"), at.alias("at2"), F.explode("after").alias("field", "value2"))
-    hit = mine.join(theirs, ["chunk_id", "field"]).where((F.col("user") != F.col("user2")) & ~F.col("value").eqNullSafe(F.col("value2")) & (F.col("at2") < F.col("at"))).select("audit_id").distinct()
+    said = audits.where("user is not null").select("chunk_id", "user", at.alias("at"), F.explode("after").alias("field", "value")).groupBy(*keys, "user", "value").agg(F.min("at").alias("at"))
+    said = materialize(said.withColumn("x", F.struct("at", "user", "value")).select(*keys, "x"), "said")
+    user, value = (lambda w: ~F.col("x.user").eqNullSafe(F.col(f"{w}.user"))), (lambda w: ~F.col("x.value").eqNullSafe(F.col(f"{w}.value")))
+    first = materialize(said.groupBy(*keys).agg(F.min("x").alias("a")), "first-said")
+    pick = lambda condition: F.min(F.when(condition, F.col("x")))
+    second = said.join(first, keys).groupBy(*keys, "a").agg(pick(user("a")).alias("b"), pick(value("a")).alias("c"), pick(user("a") & value("a")).alias("d"))
+    second = materialize(second, "second-said")
+    third = said.join(second, keys).groupBy(*keys, "a", "b", "c", "d").agg(pick(user("a") & value("b")).alias("e"), pick(value("a") & user("c")).alias("f"))
+    met = mine.join(materialize(third, "third-said"), keys)
+    earlier = lambda w: (F.col("user") != F.col(f"{w}.user")) & ~F.col("value").eqNullSafe(F.col(f"{w}.value")) & (F.col(f"{w}.at") < F.col("at"))
+    hit = met.where(reduce(lambda x, y: x | y, (F.coalesce(earlier(w), F.lit(False)) for w in "abcdef"))).select("audit_id").distinct()
     marked = audits.join(hit.withColumn("_hit", F.lit(True)), "audit_id", "left")
     return marked.withColumn("action", F.when(F.col("_hit"), F.concat("action", F.lit("_conflict"))).otherwise(F.col("action"))).drop("_hit")

@@ -71,7 +71,8 @@ def pack_by_layout(blocks: DataFrame, max_tokens: int = 900) -> DataFrame:
     ``max_tokens``; a change of section alone begins none. Text of tables is cut between lines so that parts stay within the
     limit. A chunk keeps the step number until the next title, step or other file.
 
-    Returns doc_id, order, type, text, section_path, page, file_path, step_id, text_hash, chunk_id.
+    Returns doc_id, order, type, text, section_path, page, file_path, step_id, meta, text_hash, chunk_id; a table keeps the meta of
+    its block, text has none.
     """
     w = Window.partitionBy("doc_id").orderBy("block_no")
     is_text = F.col("type") == "text"
@@ -97,12 +98,14 @@ def pack_by_layout(blocks: DataFrame, max_tokens: int = 900) -> DataFrame:
         part = F.when(over, s["part"] + 1).otherwise(s["part"])
         return F.struct(part.alias("part"), F.when(over, n).otherwise(s["held"] + n).alias("held"), F.lit(1).alias("lines"), F.concat(s["out"], F.array(F.struct(part.alias("part"), line.alias("line")))).alias("out"))
 
-    cut = numbered.where("type = 'table_text'").select("doc_id", F.col("block_no").alias("at"), "section_path", "page", "file_path", "step_id", F.posexplode(F.aggregate(lines, begin, add, lambda s: s["out"])).alias("i", "x"))
-    parts = cut.groupBy("doc_id", "at", F.col("x.part").alias("sub")).agg(*(F.first(c).alias(c) for c in keep), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "x.line"))), lambda x: x["line"]), "\n").alias("text"))
-    columns = ["doc_id", "at", "sub", "type", "text", *keep]
+    none = F.create_map().cast("map<string,string>")
+    own = F.coalesce("meta", none) if "meta" in blocks.columns else none
+    cut = numbered.where("type = 'table_text'").withColumn("meta", own).select("doc_id", F.col("block_no").alias("at"), "section_path", "page", "file_path", "step_id", "meta", F.posexplode(F.aggregate(lines, begin, add, lambda s: s["out"])).alias("i", "x"))
+    parts = cut.groupBy("doc_id", "at", F.col("x.part").alias("sub")).agg(*(F.first(c).alias(c) for c in (*keep, "meta")), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "x.line"))), lambda x: x["line"]), "\n").alias("text"))
+    columns = ["doc_id", "at", "sub", "type", "text", *keep, "meta"]
     tables = parts.withColumn("type", F.lit("table_text")).withColumn("text", F.regexp_replace("text", r"(?U)^\s+|\s+\z", "")).select(columns)
-    holders = numbered.where("type = 'table_placeholder'").select("doc_id", F.col("block_no").alias("at"), F.lit(0).alias("sub"), "type", F.lit(None).cast("string").alias("text"), *keep)
-    return _ordered(texts.select(columns).unionByName(tables).unionByName(holders), with_section=False)
+    holders = numbered.where("type = 'table_placeholder'").select("doc_id", F.col("block_no").alias("at"), F.lit(0).alias("sub"), "type", F.lit(None).cast("string").alias("text"), *keep, own.alias("meta"))
+    return _ordered(texts.withColumn("meta", none).select(columns).unionByName(tables).unionByName(holders), with_section=False)
 
 
 def section_windows(blocks: DataFrame, target: int = 1200, overlap: int = 200) -> DataFrame:

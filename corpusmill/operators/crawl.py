@@ -5,11 +5,12 @@ from __future__ import annotations
 from urllib.parse import urldefrag, urljoin
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.shared import materialize
+from .numbering import numbered
 
 
 @F.pandas_udf(T.StringType())
@@ -39,8 +40,7 @@ def reachable(pages: DataFrame, links: DataFrame, start: str, max_depth: int = 2
         frontier = visited.where(F.col("depth") == depth - 1)
         found = frontier.join(edges, "url").groupBy(F.col("to").alias("url")).agg(F.min(F.struct("seq", "link_no")).alias("by"))
         fresh = found.join(known, "url", "left_semi").join(visited, "url", "left_anti")
-        first = fresh.orderBy("by", "url").limit(max(0, max_pages - count))
-        ranked = first.withColumn("n", F.row_number().over(Window.orderBy("by", "url")))
+        ranked = numbered(fresh, ["by", "url"]).where(F.col("n") <= max_pages - count)
         step = materialize(ranked.select("url", F.lit(depth).alias("depth"), (F.col("n") + count - 1).cast("long").alias("seq")), "crawl")
         if step.limit(1).count() == 0:
             break

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Kinds by file extension.
 EXTENSIONS = {"pdf": "application/pdf", "html": "text/html", "htm": "text/html", "txt": "text/plain", "json": "application/json", "csv": "text/csv", "zip": "application/zip", "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg"}
@@ -30,8 +35,29 @@ def content_key(data: Column) -> Column:
 
 
 def listing_key(files: DataFrame, *keys: str) -> DataFrame:
-    """Key of a directory: the hash of its sorted names."""
-    return files.groupBy(*keys).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("name")), "|"), 256).alias("doc_hash"))
+    """Key of a directory: the hash of its sorted names, joined by bars. Names are sorted by Spark and hashed as they come, so no
+    directory is held in memory."""
+    kinds = T.StructType([*(files.schema[k] for k in keys), T.StructField("doc_hash", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, digest = None, None
+        done: list[tuple] = []
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in range(len(keys) + 1)]
+            for *key, name in zip(*columns, strict=True):
+                if digest is None or key != now:
+                    if digest is not None:
+                        done.append((*now, digest.hexdigest()))
+                    now, digest = key, hashlib.sha256(name.encode())
+                else:
+                    digest.update(b"|" + name.encode())
+        if digest is not None:
+            done.append((*now, digest.hexdigest()))
+        columns = list(zip(*done, strict=True)) or [[]] * (len(keys) + 1)
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), to_arrow_type(f.dataType)) for c, f in zip(columns, kinds, strict=True)], names=kinds.names)
+
+    named = files.select(*keys, "name").where("name is not null")
+    return named.repartition(*keys).sortWithinPartitions(*keys, "name").mapInArrow(run, kinds)
 
 
 def ingest(incoming: DataFrame, existing: DataFrame) -> DataFrame:

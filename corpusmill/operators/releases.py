@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .numbering import numbered_within
+
+#: Hashes of a manifest that are joined at once, about; each further level takes so many digits of a hash.
+FAN, DIGITS = 4096, 3
+
 
 def upsert(existing: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(final, deleted, deltas) of the chunks of the document versions in ``incoming``.
@@ -57,12 +62,18 @@ def manifest(documents: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def manifest_hash(m: DataFrame) -> DataFrame:
-    """One hash of a manifest: of its documents' hashes in order. Each document is hashed where it lies; 64 characters a document meet at the end."""
+    """One hash of a manifest. Each document is hashed where it lies; hashes that begin alike are joined in their order and hashed
+    in turn, ``FAN`` or so at once, level by level, so that no task joins more however many documents there are."""
     entries = F.array_join(F.transform(F.array_sort(F.map_entries("chunks")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
     each = m.select("doc_id", F.sha2(F.concat_ws("|", F.col("doc_id").cast("string"), "doc_hash", entries), 256).alias("h"))
-    # In blocks of ids first, so that the last task gets a hash per block and not per document.
-    block = each.groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(1024)).alias("b")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "h"))), lambda x: x["h"]), ""), 256).alias("h"))
-    return block.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), ""), 256).alias("manifest_hash"))
+    together = lambda *c: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*c))), lambda x: x["h"]), ""), 256)
+    level, digits, count = each.select(F.col("h").alias("at"), "h"), 0, m.count()
+    while count > FAN * 16**digits:
+        digits += DIGITS
+    while digits:
+        level = level.groupBy(F.left("at", F.lit(digits)).alias("b")).agg(together("at", "h").alias("h")).select(F.col("b").alias("at"), "h")
+        digits -= DIGITS
+    return level.agg(together("at", "h").alias("manifest_hash"))
 
 
 def manifest_diff(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -99,8 +110,10 @@ def stratified_split(chunks: DataFrame, by: list[str], fractions: dict[str, floa
     """Adds split. Whole documents are dealt within a stratum (the values of ``by`` of the document's last chunk), in the order
     of a seeded hash, at cumulative shares; the last name takes the rest. Shares by chunk must lie within ``tolerance``."""
     strata = chunks.groupBy("doc_id").agg(F.max_by(F.struct(*by), "order").alias("stratum"))
-    own = Window.partitionBy("stratum")
-    shuffled = strata.withColumn("r", F.row_number().over(own.orderBy(F.sha2(F.concat(F.lit(str(seed)), F.lit("|"), F.col("doc_id").cast("string")), 256), "doc_id"))).withColumn("n", F.count("*").over(own))
+    keyed = strata.withColumn("place", F.sha2(F.concat(F.lit(str(seed)), F.lit("|"), F.col("doc_id").cast("string")), 256))
+    ranked = numbered_within(keyed, ["stratum"], ["place", "doc_id"], "r")
+    sizes = strata.groupBy(F.col("stratum").alias("_s")).agg(F.count("*").alias("n"))
+    shuffled = ranked.join(sizes, F.col("stratum").eqNullSafe(F.col("_s")))
     split, end = None, F.lit(0)
     names = list(fractions)
     for name in names[:-1]:

@@ -6,16 +6,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as tx
+from ..sources.shared import materialize
 from .quality import has_value
 
 DIMENSIONS = 384
 #: What a rank score adds, and the least score and length of evidence.
 SAME_DOCUMENT, PER_LEVEL, MOST_LEVELS, OVERLAP, LENGTH, LENGTH_CHARS = 0.07, 0.01, 0.05, 0.2, 0.1, 800.0
 LEAST_SCORE, LEAST_CHARS = 0.15, 20
-#: Fixed value: how an echo of the prompt begins.
+#: How an echo of the prompt begins, and what a grounded prompt ends with.
 SYSTEM_START = "you are a precise assistant"
+CLOSING = "Answer in at most four sentences and cite sources using [chunk_id]."
 
 
 def bucket(token: Column, dimensions: int = DIMENSIONS) -> Column:
@@ -42,18 +45,21 @@ def embed_with(texts: DataFrame, key: str, model, text: str = "text") -> DataFra
     return parts.select(key, "bucket", (F.col("w") / norm).alias("weight"))
 
 
-def dense(sparse: DataFrame, key: str, dimensions: int = DIMENSIONS) -> DataFrame:
-    """key, embedding array<float>."""
+def dense(sparse: DataFrame, key: str, dimensions: int = DIMENSIONS, kind: str = "float") -> DataFrame:
+    """key, embedding array<float>, or of another ``kind``."""
     maps = sparse.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("m"))
-    return maps.select(key, F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)).cast("float")).alias("embedding"))
+    return maps.select(key, F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)).cast(kind)).alias("embedding"))
 
 
-def top_by_words(queries: DataFrame, rows: DataFrame, k: int, query_key: str = "query_id", key: str = "chunk_id") -> DataFrame:
-    """For each query the k rows of highest inner product: query, key, score, rank. Sparse vectors meet by bucket and are
-    summed, so only rows that share a word with the query are looked at."""
-    hits = queries.join(rows, "bucket").groupBy(query_key, key).agg(F.sum(F.col("q_weight") * F.col("weight")).alias("score"))
-    best = Window.partitionBy(query_key).orderBy(F.desc(F.round("score", 9)), key)
-    return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+def top_by_words(queries: DataFrame, rows: DataFrame, k: int, query_key: str = "query_id", key: str = "chunk_id", scope: str | None = None) -> DataFrame:
+    """For each query the k rows of highest inner product: query, key, score, rank, of those that share a word with it; with
+    ``scope`` only rows of the query's own value in that column. Sparse vectors (bucket, q_weight or weight) become dense ones
+    and are multiplied block by block."""
+    scoped = [scope] if scope else []
+    asked = dense(queries.select(F.struct(query_key, *scoped).alias("key"), "bucket", F.col("q_weight").alias("weight")), "key", kind="double").select(F.col(f"key.{query_key}").alias("query_id"), *(F.col(f"key.{c}") for c in scoped), "embedding")
+    held = dense(rows.select(F.struct(key, *scoped).alias("key"), "bucket", "weight"), "key", kind="double").select(F.col(f"key.{key}").alias("vec_id"), *(F.col(f"key.{c}") for c in scoped), "embedding")
+    found = vector_top_k_batch(asked, held, k, scope, least=1e-9)
+    return found.select(F.col("query_id").alias(query_key), F.col("vec_id").alias(key), "score", "rank")
 
 
 def vector_top_k(query: list[float], vectors: DataFrame, k: int) -> DataFrame:
@@ -67,34 +73,45 @@ def vector_top_k(query: list[float], vectors: DataFrame, k: int) -> DataFrame:
 QUERY_BLOCK, VECTOR_BLOCK, QUERY_SLICE = 16384, 8192, 256
 
 
-def vector_top_k_batch(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+def vector_top_k_batch(queries: DataFrame, vectors: DataFrame, k: int, scope: str | None = None, least: float | None = None) -> DataFrame:
     """For each query (query_id, embedding) the k rows of highest inner product: query_id, vec_id, score, rank; scores are
-    rounded to nine places, ties go to the smaller id, rows without an embedding take no part.
+    rounded to nine places, those below ``least`` are left out, ties go to the smaller id, rows without an embedding take no
+    part. With ``scope`` a query meets only the rows that have its value in that column.
 
-    A task holds one block of queries and one of vectors and keeps k rows a query, which are merged after.
+    A task holds one block of queries and one of vectors of one scope and keeps k rows a query, which are merged after. Vectors are
+    copied once for each block of queries of their scope, queries for each block of vectors; vectors of scopes that no query asks for
+    are left out before.
     """
-    queries, vectors = queries.select("query_id", "embedding").where("embedding is not null"), vectors.select("vec_id", "embedding").where("embedding is not null")
-    n_q, n_v = max(1, -(-queries.count() // QUERY_BLOCK)), max(1, -(-vectors.count() // VECTOR_BLOCK))
-    block = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n))
-    copies = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    asked = queries.select("*", block("query_id", n_q).alias("qb"), copies(n_v).alias("vb"))
-    held = vectors.select("*", block("vec_id", n_v).alias("vb"), copies(n_q).alias("qb"))
+    scope = scope or "_all"
+    place = F.lit(0) if scope == "_all" else F.col(scope)
+    # Columns get names of their own here, as queries may be rows of the same table.
+    own = lambda df, key: df.where("embedding is not null").select(F.col(key).alias(key), place.alias(scope), F.col("embedding").alias("embedding"))
+    queries, vectors = own(queries, "query_id"), own(vectors, "vec_id")
+    blocks = lambda df, most, into: df.groupBy(scope).agg(F.ceil(F.count("*") / most).alias(into))
+    sizes = materialize(blocks(queries, QUERY_BLOCK, "n_q").join(blocks(vectors, VECTOR_BLOCK, "n_v"), scope), "scopes")
+    copies = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    asked = queries.join(sizes, scope).select("query_id", scope, "embedding", F.pmod(F.xxhash64("query_id"), "n_q").alias("qb"), copies("n_v").alias("vb"))
+    held = vectors.join(sizes, scope).select("vec_id", scope, "embedding", F.pmod(F.xxhash64("vec_id"), "n_v").alias("vb"), copies("n_q").alias("qb"))
+    floor = -np.inf if least is None else least
+    id_types = queries.schema["query_id"].dataType, vectors.schema["vec_id"].dataType
+    schema = T.StructType([T.StructField("query_id", id_types[0]), T.StructField("vec_id", id_types[1]), T.StructField("score", T.DoubleType())])
 
     def run(q: pa.Table, v: pa.Table) -> pa.Table:
-        found: list[tuple[int, int, float]] = []
+        found: list[tuple] = []
         if q.num_rows and v.num_rows:
             matrix = lambda t: np.array(t["embedding"].to_pylist(), np.float64)
             v = v.sort_by("vec_id")
             ids, asked_ids, mine, theirs = v["vec_id"].to_pylist(), q["query_id"].to_pylist(), matrix(q), matrix(v)
-            for at in range(0, len(asked_ids), QUERY_SLICE):
-                for i, row in enumerate(np.round(mine[at : at + QUERY_SLICE] @ theirs.T, 9)):
-                    least = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -np.inf
-                    best = np.flatnonzero(row >= least)
-                    found.extend((asked_ids[at + i], ids[b], float(row[b])) for b in best[np.argsort(-row[best], kind="stable")][:k])
+            for start in range(0, len(asked_ids), QUERY_SLICE):
+                for i, row in enumerate(np.round(mine[start : start + QUERY_SLICE] @ theirs.T, 9)):
+                    low = max(floor, np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -np.inf)
+                    best = np.flatnonzero(row >= low)
+                    found.extend((asked_ids[start + i], ids[b], float(row[b])) for b in best[np.argsort(-row[best], kind="stable")][:k])
         columns = list(zip(*found, strict=True)) or [[]] * 3
-        return pa.table([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "score"])
+        kinds = (q["query_id"].type, v["vec_id"].type, pa.float64())
+        return pa.table([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=["query_id", "vec_id", "score"])
 
-    hits = asked.groupBy("qb", "vb").cogroup(held.groupBy("qb", "vb")).applyInArrow(run, "query_id long, vec_id long, score double")
+    hits = asked.groupBy(scope, "qb", "vb").cogroup(held.groupBy(scope, "qb", "vb")).applyInArrow(run, schema)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
@@ -106,18 +123,31 @@ def rank_score(similarity: Column, same_document: Column, section_path: Column,
     return similarity + F.when(same_document, SAME_DOCUMENT).otherwise(0.0) + F.coalesce(depth, F.lit(0.0)) + overlap + length
 
 
-def evidence(prompts: DataFrame, chunks: DataFrame, k: int = 4) -> DataFrame:
+def evidence(prompts: DataFrame, chunks: DataFrame, k: int = 4, most_candidates: int | None = None) -> DataFrame:
     """Evidence of each prompt: prompt_id, chunk_id, doc_id, text, section_path, order, score, rank_score, rank.
 
-    prompts: prompt_id, prompt, doc_id (or null). Chunks of 20 characters at least, one per text hash, the first by
-    (doc_id, order); the 3k most similar of each prompt are scored, the k best of those above the least score stay.
+    prompts: prompt_id, prompt, doc_id (or null), project_id. A prompt with a doc_id looks at the chunks of that document only,
+    another at those of its project. Candidates are chunks of 20 characters at least, one per text hash, the first by (doc_id,
+    order); the 3k most similar of each prompt are scored, the k best of those above the least score stay.
+    ``most_candidates``: only so many chunks of the document or project, the first by (doc_id, order); None: all.
     """
-    long_enough = chunks.where(F.length("text") >= LEAST_CHARS)
-    w = Window.partitionBy("text_hash").orderBy("doc_id", "order")
-    once = long_enough.withColumn("_n", F.row_number().over(w)).where("_n = 1 or text_hash is null").drop("_n")
-    asked = embed(prompts, "prompt_id", "prompt").withColumnRenamed("weight", "q_weight")
-    near = top_by_words(asked, embed(once, "chunk_id"), 3 * k, "prompt_id").withColumnRenamed("score", "similarity").drop("rank")
-    full = near.join(once.select("chunk_id", "doc_id", "text", "section_path", "order"), "chunk_id").join(prompts.select("prompt_id", "prompt", F.col("doc_id").alias("_doc")), "prompt_id")
+    scope_of = lambda doc, project: F.when(doc.isNotNull(), F.concat(F.lit("d"), doc.cast("string"))).otherwise(F.concat(F.lit("p"), project.cast("string")))
+    scoped = prompts.select("prompt_id", "prompt", F.col("doc_id").alias("_doc"), scope_of(F.col("doc_id"), F.col("project_id")).alias("scope"))
+    both = F.array(F.concat(F.lit("d"), F.col("doc_id").cast("string")), F.concat(F.lit("p"), F.col("project_id").cast("string")))
+    strip = F.regexp_replace("text", r"(?U)^\s+|\s+\z", "")
+    placed = chunks.withColumn("text", strip).select("chunk_id", "doc_id", "order", "text", "text_hash", "section_path", F.explode(both).alias("scope"))
+    placed = placed.join(scoped.select("scope").distinct(), "scope", "left_semi")
+    if most_candidates is not None:
+        oldest = Window.partitionBy("scope").orderBy("doc_id", "order")
+        placed = placed.withColumn("_n", F.row_number().over(oldest)).where(F.col("_n") <= most_candidates).drop("_n")
+    same_text = Window.partitionBy("scope", "text_hash").orderBy("doc_id", "order")
+    once = placed.where(F.length("text") >= LEAST_CHARS).withColumn("_n", F.row_number().over(same_text)).where("_n = 1 or text_hash is null").drop("_n")
+    once = materialize(once, "candidates")
+    asked = embed(scoped, "prompt_id", "prompt").withColumnRenamed("weight", "q_weight").join(scoped.select("prompt_id", "scope"), "prompt_id")
+    # A chunk that lies in two scopes is embedded once.
+    vectors = embed(once.dropDuplicates(["chunk_id"]), "chunk_id").join(once.select("chunk_id", "scope"), "chunk_id")
+    near = top_by_words(asked, vectors, 3 * k, "prompt_id", scope="scope").withColumnRenamed("score", "similarity").drop("rank")
+    full = near.join(scoped, "prompt_id").join(once, ["chunk_id", "scope"])
     scored = full.withColumn("rank_score", rank_score(F.col("similarity"), F.coalesce(F.col("doc_id") == F.col("_doc"), F.lit(False)), F.col("section_path"), F.col("prompt"), F.col("text"))).where(F.col("rank_score") >= LEAST_SCORE)
     best = Window.partitionBy("prompt_id").orderBy(F.desc(F.round("rank_score", 9)), "chunk_id")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("prompt_id", "chunk_id", "doc_id", "text", "section_path", "order", F.col("similarity").alias("score"), "rank_score", "rank")
@@ -136,7 +166,7 @@ def grounded_prompt(questions: DataFrame, found: DataFrame) -> DataFrame:
     cite = F.struct("rank", F.col("chunk_id").cast("string").alias("chunk_id"), F.left(F.coalesce("text", F.lit("")), F.lit(500)).alias("excerpt"), bullet.alias("bullet"))
     grouped = found.groupBy("prompt_id").agg(F.array_sort(F.collect_list(cite)).alias("c"))
     context = F.array_join(F.transform("c", lambda x: x["bullet"]), "\n")
-    grounded = F.concat(F.lit("Context:\n"), context, F.lit("\n\nQuestion: "), F.col("prompt"), F.lit("\n\nAnswer in at most four sentences and cite sources using [chunk_id]."))
+    grounded = F.concat(F.lit("Context:\n"), context, F.lit("\n\nQuestion: "), F.col("prompt"), F.lit("\n\n" + CLOSING))
     joined = questions.join(grouped, "prompt_id", "left")
     cited = F.transform("c", lambda x: F.struct(x["chunk_id"].alias("chunk_id"), x["excerpt"].alias("excerpt")))
     return joined.select("prompt_id", F.when(F.col("c").isNull(), F.col("prompt")).otherwise(grounded).alias("grounded_prompt"), F.coalesce(cited, F.array().cast("array<struct<chunk_id:string,excerpt:string>>")).alias("citations"))

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from ..functions import pii
 from ..functions import text as tx
 from ..operators import agreement, curation, datasets, dedup, ingest, quality, releases, retrieval, routing
+from ..operators.numbering import numbered
 from ..sources import chunks as files
 from ..sources.shared import table
 from ..streaming import live
 from .registry import AUDITS, CHUNKS, audits_of, chunks_of, query
+from .text_queries import EMAIL, ID, NFC, PHONE
 
 EMPTY_MAP = "map<string,string>"
 
@@ -23,20 +25,39 @@ def _maps(*pairs):
 # Dedup ---------------------------------------------------------------------------------------------------------------
 
 
-@query()
+#: Ordered greedy dropping in SQL: ids (text) of the rows that go; ``edges``: early, late; ``place``: a row's place in the order.
+GREEDY = """linked AS (SELECT late, list(early) AS es FROM edges GROUP BY late), gone AS (SELECT list_reduce(list(struct_pack(id := late, es := es) ORDER BY place), lambda acc, x: CASE WHEN list_has_all(acc, x.es) THEN acc ELSE list_append(acc, x.id) END, ['']) AS ids FROM linked JOIN places ON id = late)"""
+
+NEAR = CHUNKS + r""", lines AS (SELECT chunk_id, doc_id, ord, text, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM chunks), bags AS (SELECT *, row_number() OVER (PARTITION BY list_sort(w) ORDER BY doc_id, ord) AS copy FROM lines),
+firsts AS (SELECT * FROM bags WHERE copy = 1 AND len(w) > 0), bits AS (SELECT chunk_id, b, sum(CASE WHEN (('0x' || right(md5(t), 16))::UBIGINT >> b) & 1 = 1 THEN 1 ELSE -1 END) AS v FROM (SELECT chunk_id, unnest(w) AS t FROM firsts), (SELECT range::UBIGINT AS b FROM range(64)) GROUP BY chunk_id, b),
+sims AS (SELECT chunk_id, sum(CASE WHEN v > 0 THEN (1::UBIGINT << b)::HUGEINT ELSE 0 END)::UBIGINT AS sim FROM bits GROUP BY chunk_id),
+signed AS (SELECT chunk_id, doc_id, ord, sim, list_transform(range(64), lambda i: list_min(list_transform(list_distinct(w), lambda t: sha1(t || '-' || i)))) AS mins FROM firsts JOIN sims USING (chunk_id)),
+bands AS (SELECT *, k, (sim >> (8 * k)::UBIGINT) & 255 AS band FROM signed, range(8) r(k)),
+near AS (SELECT DISTINCT a.chunk_id AS early, b.chunk_id AS late, a.mins AS m1, b.mins AS m2 FROM bands a JOIN bands b ON a.k = b.k AND a.band = b.band AND (a.doc_id, a.ord) < (b.doc_id, b.ord) AND bit_count(xor(a.sim, b.sim)) <= 9),
+edges AS (SELECT early, late FROM near WHERE len(list_filter(range(1, 65), lambda i: m1[i] = m2[i])) >= 0.85 * 64), places AS (SELECT chunk_id AS id, struct_pack(a := doc_id, b := ord) AS place FROM firsts),
+""" + GREEDY + """, kept AS (SELECT * FROM bags WHERE len(w) = 0 OR (copy = 1 AND NOT list_contains((SELECT coalesce(max(ids), ['']) FROM gone), chunk_id)))
+"""
+
+
+@query(NEAR + 'SELECT chunk_id, doc_id, ord AS "order" FROM kept')
 def f4_near_duplicates(s, d):
     c = chunks_of(s, d)
     kept = dedup.drop_near_duplicates(c, ["doc_id", "order"])
-    return kept.select("chunk_id", "doc_id", "order")
+    return kept.select("chunk_id", "doc_id", F.col("order").cast("long").alias("order"))
 
 
-@query()
+@query(NEAR + "SELECT i AS input, k AS kept, i - k AS dropped, 100.0 * (i - k) / i AS drop_percent FROM (SELECT (SELECT count(*) FROM chunks) AS i, (SELECT count(*) FROM kept) AS k)")
 def f4_f8_drop_stats(s, d):
     c = chunks_of(s, d)
     return dedup.drop_stats(c, dedup.drop_near_duplicates(c, ["doc_id", "order"]))
 
 
-@query()
+@query(r"""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(""" + NFC.format("text") + r"""), '\s+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT doc_id, ('0x' || left(sha256(g), 16))::UBIGINT AS h FROM (SELECT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM t WHERE len(w) > 2)),
+v AS (SELECT doc_id, b, 2 * sum((h >> b) & 1) >= count(*) AS win FROM g, (SELECT range::UBIGINT AS b FROM range(64)) GROUP BY 1, 2), x AS (SELECT doc_id, sum(CASE WHEN win THEN (1::UBIGINT << b)::HUGEINT ELSE 0 END)::UBIGINT AS sim FROM v GROUP BY 1),
+signed AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN 0::UBIGINT WHEN len(w) < 3 THEN 18446744073709551615::UBIGINT ELSE sim END AS sim FROM t LEFT JOIN x USING (doc_id)), firsts AS (SELECT min(doc_id) AS doc_id, sim FROM signed GROUP BY sim),
+edges AS (SELECT a.doc_id::VARCHAR AS early, b.doc_id::VARCHAR AS late FROM firsts a JOIN firsts b ON a.doc_id < b.doc_id AND bit_count(xor(a.sim, b.sim)) <= 3), places AS (SELECT doc_id::VARCHAR AS id, doc_id AS place FROM firsts),
+""" + GREEDY + " SELECT doc_id FROM firsts WHERE NOT list_contains((SELECT coalesce(max(ids), ['']) FROM gone), doc_id::VARCHAR)")
 def f5_d6_near_pages(s, d):
     docs = table(s, d, "documents")
     return dedup.drop_near_pages(docs, "doc_id", tx.nfc_form(F.col("text"))).select("doc_id")
@@ -316,7 +337,8 @@ def k10_manifest(s, d):
     return old.select("doc_id", "doc_hash", F.array_join(entries, ";").alias("chunks"))
 
 
-@query()
+@query(CHUNKS + """, m AS (SELECT d.doc_id, sha256(d.doc_id || '|' || sha256(d.text) || '|' || coalesce(string_agg(c.chunk_id || '=' || c.text_hash, ';' ORDER BY c.chunk_id), '')) AS h FROM documents d LEFT JOIN chunks c USING (doc_id) WHERE d.doc_id % 10 <> 1 GROUP BY d.doc_id, d.text)
+SELECT sha256(string_agg(h, '' ORDER BY h)) AS manifest_hash FROM m""")
 def k11_manifest_hash(s, d):
     return releases.manifest_hash(_manifests(s, d)[0])
 
@@ -334,10 +356,10 @@ def a17_release_rows(s, d):
     return releases.release_rows(c, _manifests(s, d)[0]).select("doc_id", F.col("order").cast("long").alias("ord"), "text")
 
 
-@query("SELECT doc_id, 3 AS version, sha256('h2:3') AS doc_hash FROM documents")
+@query("SELECT doc_id, 3 AS version, sha256(sha256(text) || ':3') AS doc_hash FROM documents")
 def k13_bump_version(s, d):
-    v = table(s, d, "documents").select("doc_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("version")).withColumn("doc_hash", F.concat(F.lit("h"), F.col("version").cast("string")))
-    return releases.bump_version(v)
+    v = table(s, d, "documents").select("doc_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("version"), "text")
+    return releases.bump_version(v.withColumn("doc_hash", F.when(F.col("version") == 2, F.sha2("text", 256)).otherwise("old")).drop("text"))
 
 
 @query(CHUNKS + """, st AS (SELECT doc_id, lang FROM chunks WHERE ord = 0), r AS (SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY sha256('42|' || doc_id), doc_id) AS r, count(*) OVER (PARTITION BY lang) AS n FROM st)
@@ -425,6 +447,12 @@ def i13_i16_job_listing(s, d):
     return routing.page_of(o, [F.desc("o_orderdate"), "o_orderkey"], 0, 20).select("o_orderkey")
 
 
+@query("SELECT o_orderkey AS release_id, strftime(o_orderdate, '%Y-%m-%d') AS created FROM orders WHERE o_custkey % 50 = 7 ORDER BY o_orderdate DESC, o_orderkey LIMIT 50 OFFSET 20")
+def i15_release_listing(s, d):
+    o = table(s, d, "orders").select(F.col("o_orderkey").alias("release_id"), (F.col("o_custkey") % 50).alias("project_id"), F.col("o_orderdate").alias("created_at"))
+    return routing.list_releases(o, 7, 20).select("release_id", F.date_format("created_at", "yyyy-MM-dd").alias("created"))
+
+
 # Retrieval and embedding -----------------------------------------------------------------------------------------------
 
 BUCKETS = r"""w AS (SELECT item_id, unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) AS t FROM benchmark),
@@ -437,11 +465,11 @@ def j1_embedding(s, d):
     return retrieval.embed(table(s, d, "benchmark"), "item_id").select("item_id", "bucket", F.round("weight", 9).alias("weight"))
 
 
-@query(f"""WITH {BUCKETS}, p AS (SELECT q.item_id AS query_id, e.item_id AS chunk_id, sum(q.weight * e.weight) AS score FROM e q JOIN e USING (bucket) WHERE q.item_id < 10 GROUP BY 1, 2)
-SELECT query_id, chunk_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM p) WHERE rank <= 5""")
+@query(f"""WITH {BUCKETS}, p AS (SELECT q.item_id AS query_id, e.item_id AS chunk_id, sum(q.weight * e.weight) AS score FROM e q JOIN e USING (bucket) GROUP BY 1, 2)
+SELECT query_id, chunk_id, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM p) WHERE rank <= 5""")
 def i8_semantic_search(s, d):
     e = retrieval.embed(table(s, d, "benchmark"), "item_id")
-    q = e.where("item_id < 10").select(F.col("item_id").alias("query_id"), "bucket", F.col("weight").alias("q_weight"))
+    q = e.select(F.col("item_id").alias("query_id"), "bucket", F.col("weight").alias("q_weight"))
     return retrieval.top_by_words(q, e.withColumnRenamed("item_id", "chunk_id"), 5).select("query_id", "chunk_id", "rank")
 
 
@@ -479,21 +507,42 @@ def i5_i6_rank_score(s, d):
 
 
 def _evidence(s, d):
-    prompts = table(s, d, "benchmark").select(F.col("item_id").alias("prompt_id"), F.col("text").alias("prompt"), F.lit(None).cast("long").alias("doc_id"))
-    return prompts, retrieval.evidence(prompts, chunks_of(s, d).withColumn("section_path", F.array("source")))
+    """Every second prompt asks a document, the others one of five projects."""
+    prompts = table(s, d, "benchmark").select(F.col("item_id").alias("prompt_id"), F.col("text").alias("prompt"), F.when(F.col("item_id") % 2 == 1, F.col("item_id") * 7 % 200).alias("doc_id"), (F.col("item_id") % 5).alias("project_id"))
+    return prompts, retrieval.evidence(prompts, chunks_of(s, d).withColumn("section_path", F.array("source")).withColumn("project_id", F.col("doc_id") % 5))
+
+
+EVIDENCE = CHUNKS + rf""", asked AS (SELECT item_id, text AS prompt, CASE WHEN item_id % 2 = 1 THEN item_id * 7 % 200 END AS dd, CASE WHEN item_id % 2 = 1 THEN 'd' || (item_id * 7 % 200) ELSE 'p' || (item_id % 5) END AS scope FROM benchmark),
+placed AS (SELECT *, 'd' || doc_id AS scope FROM chunks UNION ALL SELECT *, 'p' || (doc_id % 5) FROM chunks), once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scope, text_hash ORDER BY doc_id, ord) AS n FROM placed WHERE scope IN (SELECT scope FROM asked) AND length(text) >= 20) WHERE n = 1),
+{BUCKETS}, cw AS (SELECT chunk_id, scope, unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) AS t FROM once), cb AS (SELECT chunk_id, scope, ((('0x' || left(md5(t), 16))::UBIGINT % 384) * 256 + ('0x' || right(md5(t), 16))::UBIGINT % 384) % 384 AS bucket, count(*) AS n FROM cw GROUP BY 1, 2, 3),
+ce AS (SELECT chunk_id, scope, bucket, n / sqrt(sum(n * n) OVER (PARTITION BY chunk_id, scope)) AS weight FROM cb),
+hits AS (SELECT a.item_id, ce.chunk_id, a.scope, round(sum(e.weight * ce.weight), 9) AS sim FROM asked a JOIN e USING (item_id) JOIN ce ON ce.scope = a.scope AND ce.bucket = e.bucket GROUP BY 1, 2, 3), near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY sim DESC, chunk_id) AS n FROM hits) WHERE n <= 12),
+scored AS (SELECT n.item_id, n.chunk_id, o.ord, o.text, o.source, n.sim, prompt, sim + CASE WHEN doc_id = dd THEN 0.07 ELSE 0 END + 0.01 + CASE WHEN len(q) > 0 THEN least(len(list_intersect(q, k)) / len(q) * 0.2, 0.2) ELSE 0 END + least(length(text) / 800.0, 0.1) AS score
+FROM (SELECT near.*, a.prompt, a.dd, {OVERLAP.format('a.prompt')} AS q FROM near JOIN asked a USING (item_id)) n JOIN (SELECT *, {OVERLAP.format('text')} AS k FROM once) o ON o.chunk_id = n.chunk_id AND o.scope = n.scope),
+found AS (SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, chunk_id))::INTEGER AS rank FROM scored WHERE score >= 0.15) WHERE rank <= 4)
+"""
 
 
-@query()
+@query(EVIDENCE + "SELECT item_id AS prompt_id, chunk_id, rank, round(sim, 6) AS score, round(score, 6) AS rank_score FROM found")
 def i7_evidence(s, d):
     return _evidence(s, d)[1].select("prompt_id", "chunk_id", "rank", F.round("score", 6).alias("score"), F.round("rank_score", 6).alias("rank_score"))
 
 
-@query()
+@query(EVIDENCE + f""", c AS (SELECT item_id, count(*)::INTEGER AS n, string_agg('- [' || chunk_id || '] ' || source || chr(10) || '  ' || text, chr(10) ORDER BY rank) AS context FROM found GROUP BY 1)
+SELECT item_id AS prompt_id, CASE WHEN n IS NULL THEN b.text ELSE 'Context:' || chr(10) || context || chr(10) || chr(10) || 'Question: ' || b.text || chr(10) || chr(10) || '{retrieval.CLOSING}' END AS grounded_prompt, coalesce(n, 0) AS n_citations FROM benchmark b LEFT JOIN c USING (item_id)""")
 def j9_grounded_prompts(s, d):
     prompts, found = _evidence(s, d)
     return retrieval.grounded_prompt(prompts, found).select("prompt_id", "grounded_prompt", F.size("citations").alias("n_citations"))
 
 
+@query(EVIDENCE.replace("FROM placed WHERE", "FROM (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY doc_id, ord) AS place FROM placed) WHERE place <= 30 AND") + "SELECT item_id AS prompt_id, chunk_id, rank, round(score, 6) AS rank_score FROM found")
+def i3_i7_capped_evidence(s, d):
+    """The same where a search takes at most 30 chunks of its document or project."""
+    prompts, _ = _evidence(s, d)
+    chunks = chunks_of(s, d).withColumn("section_path", F.array("source")).withColumn("project_id", F.col("doc_id") % 5)
+    return retrieval.evidence(prompts, chunks, most_candidates=30).select("prompt_id", "chunk_id", "rank", F.round("rank_score", 6).alias("rank_score"))
+
+
 @query("SELECT item_id, 'manual-' || i AS chunk_id, CASE i WHEN 0 THEN text ELSE 'second' END AS text FROM benchmark, unnest([0, 1]) u(i)")
 def j18_manual_evidence(s, d):
     p = table(s, d, "benchmark").select(F.col("item_id").alias("prompt_id"), F.array("text", F.lit("second")).alias("texts"))
@@ -520,22 +569,25 @@ def j5_conversation_pairs(s, d):
 
 def _instructions(s, d):
     b = table(s, d, "benchmark")
-    return b.select((F.row_number().over(Window.orderBy("item_id")) - 1).alias("line_no"), F.concat(F.lit("Do  it\n"), F.left("text", F.lit(20))).alias("instruction"), F.when(F.col("item_id") % 2 == 0, F.col("text")).alias("input"), F.col("text").alias("output"))
+    ids = numbered(b.select("item_id"), ["item_id"], "line_no")
+    return b.join(ids, "item_id").select((F.col("line_no") - 1).alias("line_no"), F.concat(F.lit("Do  it\n"), "text").alias("instruction"), F.when(F.col("item_id") % 2 == 0, F.col("text")).alias("input"), F.col("text").alias("output"))
 
 
-FORMATTED = r"""WITH r AS (SELECT row_number() OVER (ORDER BY item_id) - 1 AS line_no, 'Do it ' || left(text, 20) AS ins, CASE WHEN item_id % 2 = 0 THEN text END AS inp, text AS o, count(*) OVER () AS n FROM benchmark),
+FORMATTED = r"""WITH r AS (SELECT row_number() OVER (ORDER BY item_id) - 1 AS line_no, 'Do it ' || text AS ins, CASE WHEN item_id % 2 = 0 THEN text END AS inp, text AS o, count(*) OVER () AS n FROM benchmark),
 f AS (SELECT line_no, n, 'Instruction:' || chr(10) || trim(regexp_replace(ins, '\s+', ' ', 'g')) || CASE WHEN inp IS NOT NULL THEN chr(10) || chr(10) || 'Input:' || chr(10) || trim(regexp_replace(inp, '\s+', ' ', 'g')) ELSE '' END || chr(10) || chr(10) || 'Response:' || chr(10) || trim(regexp_replace(o, '\s+', ' ', 'g')) AS text, trim(regexp_replace(o, '\s+', ' ', 'g')) AS answer FROM r)
 """
 
 
-@query(FORMATTED + "SELECT line_no, left(text, 200) AS text, CASE WHEN line_no < greatest(1, floor(n * 0.1)) THEN 'validation' ELSE 'train' END AS split FROM f")
+@query(FORMATTED + "SELECT line_no, left(text, 4096) AS text, CASE WHEN line_no < greatest(1, floor(n * 0.1)) THEN 'validation' ELSE 'train' END AS split FROM f")
 def j2_i11_sft(s, d):
-    return datasets.sft(_instructions(s, d), 0.1, 100)
+    return datasets.sft(_instructions(s, d), 0.1)
 
 
-@query(FORMATTED.replace("left(text, 20)", "text") + "SELECT line_no, left(text, 4096) AS text, CASE WHEN line_no < greatest(1, floor(n * 0.1)) THEN 'validation' ELSE 'train' END AS split FROM f")
+@query(r"""WITH r AS (SELECT p_partkey AS line_no, 'Instruction:' || chr(10) || trim(regexp_replace('About ' || p_type || chr(10) || p_name, '\s+', ' ', 'g')) || chr(10) || chr(10) || 'Response:' || chr(10) || p_brand AS text, count(*) OVER () AS n FROM part)
+SELECT line_no, left(text, 4096) AS text, CASE WHEN line_no < greatest(1, floor(n * 0.25)) THEN 'validation' ELSE 'train' END AS split FROM r""")
 def j2_i11_whole_sft(s, d):
-    return datasets.sft(_instructions(s, d).withColumn("instruction", F.concat(F.lit("Do  it\n"), "output")), 0.1)
+    p = table(s, d, "part").select(F.col("p_partkey").alias("line_no"), F.concat(F.lit("About "), "p_type", F.lit("\n"), "p_name").alias("instruction"), F.col("p_brand").alias("output"))
+    return datasets.sft(p, 0.25)
 
 
 @query(FORMATTED + "SELECT line_no, text, CASE WHEN line_no % 2 = 0 THEN 'taught' ELSE answer END AS corrective FROM f")
@@ -586,29 +638,38 @@ def _requests(s, d):
 
 BINDINGS = """WITH b AS (SELECT o_orderkey AS binding_id, o_custkey % 50 AS project_id, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey % 20 END AS document_id, o_orderpriority AS model_ref, o_orderkey % 4 AS priority, o_orderdate AS created_at FROM orders WHERE {0}),
 r AS (SELECT c_custkey AS request_id, c_custkey % 50 AS project_id, c_custkey % 37 AS document_id FROM customer),
-h AS (SELECT request_id, binding_id, model_ref, priority, created_at, b.document_id IS NULL AS wide, min(b.document_id IS NULL) OVER (PARTITION BY request_id) AS best FROM r JOIN b USING (project_id) WHERE b.document_id IS NULL OR b.document_id = r.document_id)
+h AS (SELECT request_id, binding_id, model_ref, priority, created_at, b.document_id IS NULL AS wide, min(b.document_id IS NULL) OVER (PARTITION BY request_id) AS best FROM r JOIN b USING (project_id) WHERE b.document_id IS NULL OR b.document_id = r.document_id),
+o AS (SELECT request_id, binding_id, model_ref, priority, created_at, 0 AS scope FROM r JOIN b USING (document_id) UNION ALL SELECT request_id, binding_id, model_ref, priority, created_at, 1 FROM r JOIN b USING (project_id) WHERE b.document_id IS NULL),
+u AS (SELECT *, min(scope) OVER (PARTITION BY request_id) AS first FROM o)
 """
 
 
-@query(BINDINGS.format("o_orderkey % 5 <> 0") + "SELECT request_id, binding_id, model_ref, rank FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY priority, created_at DESC, binding_id) AS rank FROM h WHERE wide = best) WHERE rank <= 3")
+@query(BINDINGS.format("o_orderkey % 5 <> 0") + "SELECT request_id, binding_id, model_ref, rank FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY priority, created_at DESC, binding_id) AS rank FROM u WHERE scope = first) WHERE rank <= 2")
 def j13_bindings(s, d):
-    return routing.resolve_bindings(_requests(s, d), _bindings(s, d), 3)
+    return routing.resolve_bindings(_requests(s, d), _bindings(s, d))
+
 
+#: Bindings of which some belong to no project, and every request with each kind of reference.
+REFS = """WITH b AS (SELECT o_orderkey AS binding_id, CASE WHEN o_orderkey % 11 <> 0 THEN o_custkey % 50 END AS p, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey % 20 END AS dd, o_orderpriority AS model_ref, o_orderkey % 4 AS priority, o_orderdate AS created_at FROM orders WHERE o_orderkey % 5 <> 0),
+r AS (SELECT c_custkey AS request_id, c_custkey % 50 AS project_id, c_custkey % 37 AS document_id, {0} AS model_ref FROM customer),
+n AS (SELECT request_id, r.model_ref, binding_id, row_number() OVER (PARTITION BY request_id, r.model_ref ORDER BY coalesce(dd = document_id, FALSE) DESC, coalesce(p = project_id, FALSE) DESC, priority, created_at DESC, binding_id) AS n FROM r LEFT JOIN b ON r.model_ref = b.model_ref AND (p = project_id OR p IS NULL))
+SELECT request_id, model_ref, binding_id FROM n WHERE n = 1"""
 
-@query("""WITH b AS (SELECT o_orderkey AS binding_id, o_custkey % 50 AS p, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey % 20 END AS dd, o_orderpriority AS model_ref, o_orderkey % 4 AS priority, o_orderdate AS created_at FROM orders WHERE o_orderkey % 5 <> 0),
-r AS (SELECT c_custkey AS request_id, c_custkey % 50 AS project_id, c_custkey % 37 AS document_id, CASE WHEN c_custkey % 2 = 0 THEN '1-URGENT' ELSE 'none' END AS model_ref FROM customer WHERE c_custkey % 10 < 2)
-SELECT request_id, model_ref, binding_id FROM (SELECT request_id, r.model_ref, binding_id, row_number() OVER (PARTITION BY request_id, r.model_ref ORDER BY CASE WHEN dd = document_id THEN 0 WHEN p = project_id THEN 1 ELSE 2 END, priority, created_at DESC, binding_id) AS n FROM r LEFT JOIN b USING (model_ref)) WHERE n = 1""")
+
+def _shared_bindings(s, d):
+    return _bindings(s, d).withColumn("project_id", F.when(F.col("binding_id") % 11 != 0, F.col("project_id")))
+
+
+@query(REFS.format("CASE WHEN c_custkey % 2 = 0 THEN '1-URGENT' ELSE 'none' END"))
 def j14_refs(s, d):
-    r = _requests(s, d).where("request_id % 10 < 2").withColumn("model_ref", F.when(F.col("request_id") % 2 == 0, "1-URGENT").otherwise("none"))
-    return routing.resolve_refs(r, _bindings(s, d))
+    r = _requests(s, d).withColumn("model_ref", F.when(F.col("request_id") % 2 == 0, "1-URGENT").otherwise("none"))
+    return routing.resolve_refs(r, _shared_bindings(s, d))
 
 
-@query("""WITH b AS (SELECT o_orderkey AS binding_id, o_custkey % 50 AS p, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey % 20 END AS dd, o_orderpriority AS model_ref, o_orderkey % 4 AS priority, o_orderdate AS created_at FROM orders WHERE o_orderkey % 5 <> 0),
-r AS (SELECT c_custkey AS request_id, c_custkey % 50 AS project_id, c_custkey % 37 AS document_id, CASE WHEN c_custkey % 2 = 0 THEN '1-URGENT' ELSE 'none' END AS model_ref FROM customer)
-SELECT request_id, model_ref, binding_id FROM (SELECT request_id, r.model_ref, binding_id, row_number() OVER (PARTITION BY request_id, r.model_ref ORDER BY CASE WHEN dd = document_id THEN 0 WHEN p = project_id THEN 1 ELSE 2 END, priority, created_at DESC, binding_id) AS n FROM r LEFT JOIN b USING (model_ref)) WHERE n = 1""")
+@query(REFS.format("unnest(['1-URGENT', '2-HIGH', '5-LOW'])"))
 def j14_all_refs(s, d):
-    r = _requests(s, d).withColumn("model_ref", F.when(F.col("request_id") % 2 == 0, "1-URGENT").otherwise("none"))
-    return routing.resolve_refs(r, _bindings(s, d))
+    r = _requests(s, d).withColumn("model_ref", F.explode(F.array(*(F.lit(x) for x in ("1-URGENT", "2-HIGH", "5-LOW")))))
+    return routing.resolve_refs(r, _shared_bindings(s, d))
 
 
 @query(BINDINGS.format("o_orderkey % 7 = 0") + "SELECT request_id, binding_id AS route_id, row_number() OVER (PARTITION BY request_id ORDER BY created_at DESC, binding_id) AS rank FROM h WHERE wide = best")
@@ -650,13 +711,28 @@ def l2_apply_events(s, d):
     return live.apply_events(c, e)[0].select("chunk_id", F.try_element_at("curated", F.lit("label")).alias("label"), "rev")
 
 
+@query("SELECT event_id, before, event_type AS after FROM (SELECT *, lag(event_type) OVER (PARTITION BY event_id % 211 ORDER BY event_id) AS before FROM events) WHERE event_type IS DISTINCT FROM before")
+def l2_event_audits(s, d):
+    e = table(s, d, "events").select((F.col("event_id") % 211).alias("chunk_id"), F.col("event_id").alias("event_no"), F.col("user_id").cast("string").alias("user"), _maps(("label", F.col("event_type"))).alias("patch"))
+    c = e.select("chunk_id").distinct().select("chunk_id", F.lit(1).cast("long").alias("rev"), F.create_map().cast(EMPTY_MAP).alias("curated"))
+    label = lambda m: F.try_element_at(m, F.lit("label"))
+    return live.apply_events(c, e)[1].select(F.col("event_no").alias("event_id"), label("before").alias("before"), label("after").alias("after"))
+
+
+@query("""WITH a AS (SELECT event_id, user_id % 3 AS project_id, sha256((event_id % 1000)::VARCHAR) AS doc_hash, ts FROM events WHERE event_id % 4 <> 0)
+SELECT event_id, project_id FROM (SELECT *, row_number() OVER (PARTITION BY project_id, doc_hash ORDER BY ts, event_id) AS n FROM a WHERE (project_id, doc_hash) NOT IN (SELECT user_id % 3, sha256((event_id % 1000)::VARCHAR) FROM events WHERE event_id % 40 = 0)) WHERE n = 1""")
+def l3_new_documents(s, d):
+    e = table(s, d, "events").select("event_id", (F.col("user_id") % 3).alias("project_id"), F.sha2((F.col("event_id") % 1000).cast("string"), 256).alias("doc_hash"), F.struct("ts", "event_id").alias("ts"))
+    return live.new_documents(e.where("event_id % 4 <> 0"), e.where("event_id % 40 = 0")).select("event_id", "project_id")
+
+
 @query(AUDITS + "SELECT audit_id, chunk_id, usr, action, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created FROM (SELECT *, 'metadata_update' AS action FROM audits)")
 def a18_audit_rows(s, d):
     return audits_of(s, d).orderBy("created_at", "audit_id").select("audit_id", "chunk_id", F.col("user").alias("usr"), "action", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created"))
 
 
-@query(r"""SELECT doc_id, count(*) AS n_chunks, sum(pii)::BIGINT AS pii_count, CASE WHEN sum(pii) > 0 THEN 'needs_review' ELSE 'parsed' END AS status FROM
-(""" + CHUNKS + r"""SELECT doc_id, len(regexp_extract_all(text, '\b[\w.+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b')) + len(regexp_extract_all(text, '\b(?:\+?1[-.\s]?)?(?:\(?\d{3}\)?[-.\s]?)?\d{3}[-.\s]?\d{4}\b')) + len(regexp_extract_all(text, '\bID\d{3,}\b')) AS pii FROM chunks) GROUP BY doc_id""")
+@query("""SELECT doc_id, count(*) AS n_chunks, sum(pii)::BIGINT AS pii_count, CASE WHEN sum(pii) > 0 THEN 'needs_review' ELSE 'parsed' END AS status FROM
+(""" + CHUNKS + "SELECT doc_id, " + " + ".join(f"len(regexp_extract_all(text, '{p}'))" for p in (EMAIL, PHONE, ID)) + " AS pii FROM chunks) GROUP BY doc_id")
 def curated_documents(s, d):
     """The flagship: documents to chunks, personal data, metrics, gates."""
     c = chunks_of(s, d)

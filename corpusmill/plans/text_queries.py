@@ -13,6 +13,36 @@ from ..sources import chunks as files
 from ..sources.shared import table
 from .registry import CHUNKS, chunks_of, query
 
+#: Chapters of the pages' bodies in SQL: the pages are regular enough for it.
+BLOCKS = r"""WITH body AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_extract(html, '<body[^>]*>(.*)$', 1, 's'), '<!--.*?-->', '', 'gs'), '<nav>.*?</nav>|<footer>.*?</footer>', '<x>', 'gs') AS b FROM pages),
+tok AS (SELECT page_id, url, unnest(regexp_extract_all(b, '<[^>]*>|[^<]+')) AS t, generate_subscripts(regexp_extract_all(b, '<[^>]*>|[^<]+'), 1) AS i FROM body),
+node AS (SELECT *, lag(t) OVER (PARTITION BY page_id ORDER BY i) AS prior, regexp_replace(replace(replace(replace(t, '&quot;', '"'), '&middot;', '·'), '&copy;', '©'), '&amp;?', '&', 'g') AS s FROM tok),
+raw AS (SELECT page_id, url, i, prior = '<h1>' AS title, CASE WHEN prior = '<h1>' THEN trim(regexp_replace(s, '\s+', ' ', 'g')) ELSE regexp_replace(s, '^\s+|\s+$', '', 'g') END AS text FROM node WHERE t NOT LIKE '<%'),
+blocks AS (SELECT page_id, url, (row_number() OVER w - 1)::INTEGER AS block_no, CASE WHEN title THEN 'title' END AS kind, text, coalesce(last_value(CASE WHEN title THEN text END IGNORE NULLS) OVER w, '') AS section, count(*) FILTER (WHERE title) OVER w AS island FROM raw WHERE text <> '' WINDOW w AS (PARTITION BY page_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+"""
+TOKENS = r"list_filter(regexp_split_to_array({0}, '\s+'), lambda x: x <> '')"
+
+
+def _packed(most: int) -> str:
+    """Blocks of an island taken until they have ``most`` tokens: parts (page_id, island, part, section, text)."""
+    return BLOCKS.replace("WITH body", "WITH RECURSIVE body", 1) + rf""", item AS (SELECT *, row_number() OVER (PARTITION BY page_id, island ORDER BY block_no) AS r, len({TOKENS.format('text')}) AS n FROM blocks),
+walk AS (SELECT page_id, island, r, 0 AS part, n AS held FROM item WHERE r = 1 UNION ALL SELECT i.page_id, i.island, i.r, CASE WHEN w.held >= {most} THEN w.part + 1 ELSE w.part END, CASE WHEN w.held >= {most} THEN i.n ELSE w.held + i.n END FROM walk w JOIN item i ON i.page_id = w.page_id AND i.island = w.island AND i.r = w.r + 1),
+parts AS (SELECT page_id, island, part, min(section) AS section, regexp_replace(string_agg(text, chr(10) ORDER BY r), '^\s+|\s+$', '', 'g') AS text FROM walk JOIN item USING (page_id, island, r) GROUP BY 1, 2, 3)
+"""
+
+
+def name_id(name: str) -> str:
+    h = f"sha1(unhex('{tx.URL_NAMESPACE}') || encode({name}))"
+    return f"substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-5' || substr({h}, 14, 3) || '-' || substr('89ab', ((instr('0123456789abcdef', substr({h}, 17, 1)) - 1) % 4 + 1)::BIGINT, 1) || substr({h}, 18, 3) || '-' || substr({h}, 21, 12)"
+
+
+def language(text: str) -> str:
+    """The language most of whose frequent words a text holds."""
+    words = TOKENS.format(rf"lower(regexp_replace({text}, '[^\p{{L}}]+', ' ', 'g'))")
+    score = {k: f"len(list_filter({words}, lambda x: x IN ({', '.join(repr(w) for w in langid.STOP_WORDS[k])})))" for k in sorted(langid.STOP_WORDS)}
+    return f"(SELECT CASE WHEN m = 0 THEN NULL {' '.join(f'WHEN {k}_ = m THEN {k!r}' for k in score)} END FROM (SELECT *, greatest({', '.join(f'{k}_' for k in score)}) AS m FROM (SELECT {', '.join(f'{x} AS {k}_' for k, x in score.items())})))"
+
+
 NORMAL = r"lower(trim(regexp_replace(text, '\s+', ' ', 'g')))"
 
 
@@ -40,9 +70,11 @@ def a7_mime_sniff(s, d):
     return table(s, d, "pages").select("page_id", ingest.sniff(F.lit("page"), F.col("html").cast("binary")).alias("mime"))
 
 
-@query("SELECT doc_id, 0.0::DOUBLE AS bad_ratio FROM documents")
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 0.0 ELSE round((doc_id % 3) / (strlen(text) + doc_id % 3), 9) END::DOUBLE AS bad_ratio FROM documents")
 def a8_utf8_health(s, d):
-    return table(s, d, "documents").select("doc_id", ingest.non_utf8_ratio(F.col("text").cast("binary")).alias("bad_ratio"))
+    # No, one or two bytes that no UTF-8 text has are put in front of the text.
+    bad = F.when(F.col("doc_id") % 3 == 1, F.unhex(F.lit("FF"))).when(F.col("doc_id") % 3 == 2, F.unhex(F.lit("FE80"))).otherwise(F.lit("").cast("binary"))
+    return table(s, d, "documents").select("doc_id", F.round(ingest.non_utf8_ratio(F.concat(bad, F.col("text").cast("binary"))), 9).alias("bad_ratio"))
 
 
 def _records(s, d):
@@ -83,14 +115,20 @@ def c1_hash_form(s, d):
     return table(s, d, "documents").select("doc_id", tx.hash_form(F.col("text")).alias("normal"))
 
 
-@query(r"SELECT doc_id, trim(regexp_replace(regexp_replace(nfc_normalize(replace(replace(replace(text, chr(173), ''), chr(64257), 'fi'), chr(64258), 'fl')), '[\x00-\x1F\x7F]', ' ', 'g'), '\s+', ' ', 'g')) AS normal FROM documents")
+NFC = r"trim(regexp_replace(regexp_replace(nfc_normalize(replace(replace(replace({0}, chr(173), ''), chr(64257), 'fi'), chr(64258), 'fl')), '[\x00-\x1F\x7F]', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+@query(f"SELECT doc_id, {NFC.format('text')} AS normal FROM documents")
 def c2_nfc_form(s, d):
     return table(s, d, "documents").select("doc_id", tx.nfc_form(F.col("text")).alias("normal"))
 
 
-@query()
+# SQL has NFC only; the texts hold no character that NFKC changes further, which the comparison itself would show.
+@query(r"""WITH f AS (SELECT doc_id, nfc_normalize(regexp_replace(text || CASE WHEN doc_id % 2 = 0 THEN chr(13) || chr(10) || chr(7) || 'e' || chr(769) || chr(13) || chr(9) ELSE '' END, '\r\n?', chr(10), 'g')) AS t FROM documents), c AS (SELECT doc_id, t, regexp_replace(t, '[\x00-\x08\x0B-\x1F\x7F\x{80}-\x{9F}]', '', 'g') AS text FROM f)
+SELECT doc_id, text, (length(t) - length(text))::INTEGER AS removed FROM c""")
 def c3_parse_form(s, d):
-    return table(s, d, "documents").select("doc_id", tx.parse_form(F.col("text")).alias("x")).select("doc_id", "x.text", "x.removed")
+    odd = F.when(F.col("doc_id") % 2 == 0, F.lit("\r\n\x07é\r\t")).otherwise("")
+    return table(s, d, "documents").select("doc_id", tx.parse_form(F.concat("text", odd)).alias("x")).select("doc_id", "x.text", "x.removed")
 
 
 @query(r"""SELECT doc_id, round(length(regexp_replace(text, '[^\x00-\x7F]', '', 'g')) / length(text), 9) AS ascii_ratio, round(length(regexp_replace(text, '[^\x{80}-\x{FF}]', '', 'g')) / length(text), 9) AS latin1_ratio,
@@ -110,22 +148,21 @@ def c7_token_windows(s, d):
     return chunks_of(s, d).select("doc_id", F.col("order").cast("long").alias("ord"), "text")
 
 
-@query(f"SELECT doc_id, sha256(text) AS raw_hash, sha256(source || '/' || lang || text) AS stable_key, sha256({NORMAL}) AS text_hash FROM documents WHERE text <> ''")
+@query(f"SELECT doc_id, sha256(text) AS raw_hash, sha256(source || '/' || lang || text) AS stable_key, sha256(CASE WHEN text = '' THEN 'text' ELSE {NORMAL} END) AS text_hash FROM documents")
 def c8_c10_hashes(s, d):
-    return table(s, d, "documents").where("text <> ''").select(
+    return table(s, d, "documents").select(
         "doc_id", F.sha2("text", 256).alias("raw_hash"), tx.stable_key(F.array("source", "lang"), F.col("text")).alias("stable_key"), tx.text_hash(F.lit("text"), F.col("text")).alias("text_hash")
     )
 
 
-@query()
+@query(f"SELECT page_id, {name_id('url')} AS id FROM pages")
 def c11_name_ids(s, d):
     return table(s, d, "pages").select("page_id", tx.name_id(F.col("url")).alias("id"))
 
 
-@query()
+@query(f"SELECT doc_id, {language('text')} AS detected FROM documents")
 def c12_languages(s, d):
-    found = table(s, d, "documents").select("lang", langid.detect(F.col("text")).alias("detected"))
-    return found.groupBy("lang", "detected").agg(F.count("*").alias("n"))
+    return table(s, d, "documents").select("doc_id", langid.detect(F.col("text")).alias("detected"))
 
 
 @query("SELECT doc_id, coalesce(CASE lower(l) WHEN 'eng' THEN 'en' WHEN 'spa' THEN 'es' WHEN 'fra' THEN 'fr' WHEN 'deu' THEN 'de' END, left(lower(l), 2)) AS code FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN lang ELSE CASE lang WHEN 'en' THEN 'ENG' WHEN 'es' THEN 'spa' WHEN 'fr' THEN 'fra' ELSE 'deu' END END AS l FROM documents)")
@@ -140,10 +177,13 @@ def c14_unknown_languages(s, d):
     return used.select("source", F.array_join(tx.unknown_languages(F.col("used"), F.array(F.lit("en"), F.lit("de"))), ",").alias("unknown"))
 
 
-@query()
+@query(r"""WITH t AS (SELECT l_orderkey, l_linenumber, l_tax::VARCHAR AS a, l_quantity::VARCHAR AS q FROM lineitem), p AS (SELECT *, '$' || a || '$' AS m, '```x = ' || q || '```' AS f FROM t)
+SELECT l_orderkey, l_linenumber, 'math' AS type, 6 AS start, 6 + length(m) AS stop, m AS text FROM p UNION ALL SELECT l_orderkey, l_linenumber, 'code_fence', 11 + length(m), 11 + length(m) + length(f), f FROM p
+UNION ALL SELECT l_orderkey, l_linenumber, 'monospace', 12 + length(m) + length(f), 21 + length(m) + length(f), '    code' || chr(10) FROM p""")
 def c15_spans(s, d):
-    li = table(s, d, "lineitem").select("l_orderkey", F.concat(F.lit("total $"), F.col("l_tax").cast("string"), F.lit("$ and ```x = "), F.col("l_quantity").cast("string"), F.lit("```\n    code\n")).alias("t"))
-    return li.select("l_orderkey", F.explode(tx.detect_spans("t")).alias("x")).groupBy("x.type").agg(F.count("*").alias("n"), F.sum("x.start").alias("starts"))
+    li = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.lit("total $"), F.col("l_tax").cast("string"), F.lit("$ and ```x = "), F.col("l_quantity").cast("string"), F.lit("```\n    code\n")).alias("t"))
+    spans = li.select("l_orderkey", "l_linenumber", F.explode(tx.detect_spans("t")).alias("x"))
+    return spans.select("l_orderkey", "l_linenumber", "x.type", F.col("x.start").cast("long").alias("start"), F.col("x.end").cast("long").alias("stop"), "x.text")
 
 
 @query("SELECT event_id, coalesce(try_cast(json_extract_string(props, '$.page') AS VARCHAR), '') AS page FROM events")
@@ -171,10 +211,10 @@ def c21_clean_numbers(s, d):
     return table(s, d, "events").select("event_id", tx.clean_number(F.when(F.col("event_id") % 5 == 0, F.lit(float("nan"))).otherwise(F.col("value"))).alias("value"))
 
 
-EMAIL, PHONE = r"\b[\w.+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", r"\b(?:\+?1[-.\s]?)?(?:\(?\d{3}\)?[-.\s]?)?\d{3}[-.\s]?\d{4}\b"
+EMAIL, PHONE, ID = (pii.PII[k].removeprefix("(?U)") for k in ("email", "phone", "id"))
 
 
-@query(CHUNKS + f"SELECT chunk_id, len(regexp_extract_all(text, '{EMAIL}')) AS emails, len(regexp_extract_all(text, '{PHONE}')) AS phones, len(regexp_extract_all(text, '\\bID\\d{{3,}}\\b')) AS ids FROM chunks")
+@query(CHUNKS + f"SELECT chunk_id, len(regexp_extract_all(text, '{EMAIL}')) AS emails, len(regexp_extract_all(text, '{PHONE}')) AS phones, len(regexp_extract_all(text, '{ID}')) AS ids FROM chunks")
 def e1_pii(s, d):
     found = chunks_of(s, d).select("chunk_id", pii.detect(F.col("text")).alias("m"))
     n = lambda k: F.size(F.filter("m", lambda x: x["type"] == k)).cast("long")
@@ -223,10 +263,9 @@ def f1_simhash(s, d):
     return chunks_of(s, d).select("chunk_id", sg.simhash(F.col("text")).alias("simhash"))
 
 
-@query(CHUNKS + r"""SELECT doc_id, ord, array_to_string(list_transform(range(8), lambda i: list_min(list_transform(list_distinct(regexp_split_to_array(text, ' ')), lambda t: sha1(t || '-' || i)))), ',') AS mins FROM chunks WHERE ord = 0""")
+@query(r"""SELECT doc_id, array_to_string(list_transform(range(64), lambda i: coalesce(list_min(list_transform(list_distinct(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')), lambda t: sha1(t || '-' || i))), '0')), ',') AS mins FROM documents""")
 def f2_minhash(s, d):
-    first = chunks_of(s, d).where(F.col("order") == 0)
-    return first.select("doc_id", F.col("order").cast("long").alias("ord"), F.array_join(sg.minhash(F.col("text"), 8), ",").alias("mins"))
+    return table(s, d, "documents").select("doc_id", F.array_join(sg.minhash(F.col("text")), ",").alias("mins"))
 
 
 @query(CHUNKS + r"""SELECT doc_id, ord, array_to_string(list_transform(range(64), lambda i: list_min(list_transform(list_distinct(regexp_split_to_array(text, ' ')), lambda t: sha1(t || '-' || i)))), ',') AS mins FROM chunks""")
@@ -234,54 +273,94 @@ def f2_chunk_minhash(s, d):
     return chunks_of(s, d).select("doc_id", F.col("order").cast("long").alias("ord"), F.array_join(sg.minhash(F.col("text")), ",").alias("mins"))
 
 
-@query()
+@query(BLOCKS + "SELECT page_id, block_no, kind, 'text' AS type, text, section FROM blocks")
 def d1_html_blocks(s, d):
     return html.extract(table(s, d, "pages")).select("page_id", "block_no", "kind", "type", "text", F.array_join("section_path", " / ").alias("section"))
 
 
-@query()
+def _order_pages(s, d):
+    """A page for each order, made of its lines: heading, paragraph, list, table, second heading and preformatted text."""
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey")
+    orders = table(s, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("x"))
+    part = lambda x: x["l_partkey"].cast("string")
+    items = F.array_join(F.transform("x", lambda x: F.concat(F.lit("<li>Part "), part(x), F.lit(" &amp; <b>more</b></li>"))), "")
+    rows = F.array_join(F.transform("x", lambda x: F.concat(F.lit("<tr><td>"), x["l_linenumber"].cast("string"), F.lit("</td><td> "), part(x), F.lit("\n x</td></tr>"))), "")
+    key = F.col("l_orderkey").cast("string")
+    body = (F.lit("<html><body><nav>menu</nav><h1>Order "), key, F.lit("</h1><p>Lines &lt;all&gt;</p><ul>"), items, F.lit("</ul><table><tr><th>line</th><th>part</th></tr>"), rows, F.lit("</table><h2>Notes</h2><pre>a  b\n</pre><table><tr><td>"), key, F.lit("</td></tr></table></body></html>"))
+    return orders.select(F.col("l_orderkey").alias("page_id"), F.concat(F.lit("https://orders.example/"), key).alias("url"), F.concat(*body).alias("html"))
+
+
+@query(r"""WITH n AS (SELECT l_orderkey AS page_id, count(*) AS n FROM lineitem GROUP BY 1), s AS (SELECT l_orderkey AS page_id, 1 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS block_no, 'Part ' || l_partkey || ' & more' AS text FROM lineitem)
+SELECT page_id, 0 AS block_no, 'title' AS kind, 'text' AS type, 'Order ' || page_id AS text, 'Order ' || page_id AS section FROM n UNION ALL SELECT page_id, 1, NULL, 'text', 'Lines <all>', 'Order ' || page_id FROM n UNION ALL SELECT page_id, block_no, 'step', 'text', text, 'Order ' || page_id FROM s
+UNION ALL SELECT page_id, n + 2, NULL, 'table_placeholder', '', 'Order ' || page_id FROM n UNION ALL SELECT page_id, n + 3, 'title', 'text', 'Notes', 'Order ' || page_id || ' / Notes' FROM n UNION ALL SELECT page_id, n + 4, NULL, 'text', 'a  b' || chr(10), 'Order ' || page_id || ' / Notes' FROM n
+UNION ALL SELECT page_id, n + 5, NULL, 'table_placeholder', '', 'Order ' || page_id || ' / Notes' FROM n""")
 def d2_typed_blocks(s, d):
-    return html.extract(table(s, d, "pages"), mode="typed").groupBy("page_id", "kind", "type").agg(F.count("*").alias("n"))
+    return html.extract(_order_pages(s, d), mode="typed").select("page_id", F.col("block_no").cast("long").alias("block_no"), "kind", "type", "text", F.array_join("section_path", " / ").alias("section"))
 
 
-@query()
+@query(BLOCKS + "SELECT page_id, block_no, kind, 'text' AS type, text, section FROM blocks")
+def d2_typed_pages(s, d):
+    return html.extract(table(s, d, "pages"), mode="typed").select("page_id", "block_no", "kind", "type", "text", F.array_join("section_path", " / ").alias("section"))
+
+
+@query(BLOCKS + r""", p AS (SELECT page_id, url, i, t, s, sum(CASE t WHEN '<p>' THEN 1 WHEN '</p>' THEN -1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY i) AS depth FROM node), q AS (SELECT *, count(*) FILTER (WHERE t = '<p>' AND depth = 1) OVER (PARTITION BY page_id ORDER BY i) AS g FROM p),
+j AS (SELECT page_id, url, g, trim(regexp_replace(string_agg(s, ' ' ORDER BY i), '\s+', ' ', 'g')) AS text FROM q WHERE depth > 0 AND t NOT LIKE '<%' GROUP BY 1, 2, 3), h AS (SELECT page_id, text AS title FROM raw WHERE title)
+SELECT page_id, host, (row_number() OVER (PARTITION BY host ORDER BY page_id, g) - 1)::INTEGER AS "order", text, sha256(title || lower(text)) AS text_hash FROM (SELECT *, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host FROM j JOIN h USING (page_id) WHERE text <> '')""")
 def d3_paragraphs(s, d):
     return html.paragraphs(table(s, d, "pages")).select("page_id", "host", "order", "text", "text_hash")
 
 
-@query()
+@query(BLOCKS + "SELECT page_id AS doc_id, block_no, kind, text FROM blocks")
 def d4_boilerplate_free(s, d):
-    return html.blocks(table(s, d, "pages"), boilerplate=True).groupBy("doc_id").agg(F.count("*").alias("n_blocks"), F.sum(F.length("text")).alias("chars"))
+    return html.blocks(table(s, d, "pages"), boilerplate=True).select("doc_id", "block_no", "kind", "text")
 
 
-@query()
+@query(BLOCKS + rf""", j AS (SELECT page_id, island, {TOKENS.format("string_agg(text, chr(10) ORDER BY block_no)")} AS w FROM blocks GROUP BY 1, 2), k AS (SELECT *, CASE WHEN len(w) = 0 THEN 0 WHEN len(w) <= 1200 THEN 1 ELSE CAST(ceil((len(w) - 1200) / 1000.0) AS BIGINT) + 1 END AS k FROM j),
+c AS (SELECT page_id, island, i, {NFC.format("array_to_string(list_slice(w, i * 1000 + 1, i * 1000 + 1200), ' ')")} AS text FROM k, unnest(range(k)) t(i))
+SELECT page_id AS doc_id, (row_number() OVER (PARTITION BY page_id ORDER BY island, i) - 1)::INTEGER AS "order", text, sha256({NORMAL}) AS text_hash FROM c""")
 def d5_section_windows(s, d):
     return chunking.section_windows(html.blocks(table(s, d, "pages"), boilerplate=True)).select("doc_id", "order", "text", "text_hash")
 
 
-@query()
+@query(r"""SELECT l_orderkey AS page_id, 0 AS table_id, 'line' || chr(9) || 'part' || chr(10) || string_agg(l_linenumber || chr(9) || l_partkey || ' x', chr(10) ORDER BY l_linenumber, l_partkey, l_suppkey) AS text FROM lineitem GROUP BY 1 UNION ALL SELECT DISTINCT l_orderkey, 1, l_orderkey::VARCHAR FROM lineitem""")
 def d7_tables(s, d):
-    return html.extract(table(s, d, "pages"), tables_as_text=True).where("type = 'table_text'").select("page_id", "table_id", "text")
+    return html.extract(_order_pages(s, d), tables_as_text=True).where("type = 'table_text'").select("page_id", "table_id", "text")
 
 
-@query()
+@query("""SELECT p_partkey AS page_id, 'figure' AS kind, p_name AS what, '/img/' || p_partkey || '.png' AS source FROM part UNION ALL SELECT p_partkey, 'image', sha256(p_name || p_partkey), strlen(p_name || p_partkey)::VARCHAR FROM part""")
 def d8_d9_figures_images(s, d):
-    p = table(s, d, "pages")
-    return html.figures(p).select("page_id", F.lit("figure").alias("kind"), F.col("caption").alias("what")).unionByName(html.inline_images(p).select("page_id", F.lit("image").alias("kind"), F.col("image_hash").alias("what")))
+    key = F.col("p_partkey").cast("string")
+    data = F.base64(F.encode(F.concat("p_name", key), "UTF-8"))
+    body = (F.lit('<html><body><figure><img src="/img/'), key, F.lit('.png"><figcaption> '), F.col("p_name"), F.lit('</figcaption></figure><p><img src="data:image/png;base64,'), data, F.lit('"></p></body></html>'))
+    p = table(s, d, "part").select(F.col("p_partkey").alias("page_id"), key.alias("url"), F.concat(*body).alias("html"))
+    images = html.inline_images(p).select("page_id", F.lit("image").alias("kind"), F.col("image_hash").alias("what"), F.col("n_bytes").cast("string").alias("source"))
+    return html.figures(p).select("page_id", F.lit("figure").alias("kind"), F.col("caption").alias("what"), F.col("src").alias("source")).unionByName(images)
 
 
-@query()
+@query(_packed(1000) + f""", h AS (SELECT *, sha256(section || {NORMAL}) AS text_hash FROM parts)
+SELECT page_id AS doc_id, (row_number() OVER (PARTITION BY page_id ORDER BY island, part) - 1)::INTEGER AS "order", 'text' AS type, text, section, text_hash, {name_id('text_hash')} AS chunk_id FROM h""")
 def d10_pack_by_section(s, d):
     c = chunking.pack_by_section(html.blocks(table(s, d, "pages")))
     return c.select("doc_id", "order", "type", "text", F.array_join("section_path", " / ").alias("section"), "text_hash", "chunk_id")
 
 
-@query()
+@query(_packed(900) + f""", h AS (SELECT *, sha256({NORMAL}) AS text_hash FROM parts)
+SELECT page_id AS doc_id, (row_number() OVER (PARTITION BY page_id ORDER BY island, part) - 1)::INTEGER AS "order", 'text' AS type, text, NULL::INTEGER AS step_id, text_hash, {name_id('text_hash')} AS chunk_id FROM h""")
 def d11_pack_by_layout(s, d):
     c = chunking.pack_by_layout(html.blocks(table(s, d, "pages"), mode="typed", tables_as_text=True))
     return c.select("doc_id", "order", "type", "text", "step_id", "text_hash", "chunk_id")
 
 
+# Steps, tables with metadata and titles of the orders' pages: every heading and step begins a chunk.
+@query(r"""WITH n AS (SELECT l_orderkey AS k, count(*)::INTEGER AS n FROM lineitem GROUP BY 1), s AS (SELECT l_orderkey AS k, (row_number() OVER w)::INTEGER AS r, 'Part ' || l_partkey || ' & more' AS text, l_linenumber || chr(9) || l_partkey || ' x' AS line FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)),
+t AS (SELECT k, 'line' || chr(9) || 'part' || chr(10) || string_agg(line, chr(10) ORDER BY r) AS text FROM s GROUP BY 1)
+SELECT k AS doc_id, 0 AS "order", 'text' AS type, 'Order ' || k || chr(10) || 'Lines <all>' AS text, NULL::INTEGER AS step_id, '' AS table_id FROM n UNION ALL SELECT k, r, 'text', text, r, '' FROM s UNION ALL SELECT k, n + 1, 'table_text', t.text, n, '0' FROM t JOIN n USING (k)
+UNION ALL SELECT k, n + 2, 'text', 'Notes' || chr(10) || 'a  b', NULL, '' FROM n UNION ALL SELECT k, n + 3, 'table_text', k::VARCHAR, NULL, '1' FROM n""")
+def d11_pack_order_pages(s, d):
+    c = chunking.pack_by_layout(html.blocks(_order_pages(s, d), mode="typed", tables_as_text=True))
+    return c.select("doc_id", "order", "type", "text", "step_id", F.coalesce(F.try_element_at("meta", F.lit("table_id")), F.lit("")).alias("table_id"))
+
+
 _DOC_LINES = r"SELECT doc_id, 1 AS page, i AS line_no, l AS text, CASE WHEN length(l) < 20 THEN 14.0 ELSE 10.0 END AS size FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents)"
 
 
@@ -299,23 +378,27 @@ def d12_line_layout(s, d):
     return kept.join(b.select("doc_id", "block_no", "kind", "type"), ["doc_id", "block_no"]).select("doc_id", "line_no", F.when(F.col("type") != "text", "table").otherwise(F.coalesce("kind", F.lit("text"))).alias("kind"))
 
 
-@query()
+@query(CHUNKS + f""", p AS (SELECT doc_id, (ord // 3 + 1)::BIGINT AS page, string_agg(text, ' ' ORDER BY ord) AS t FROM chunks GROUP BY 1, 2) SELECT doc_id, page, {language('t')} AS lang FROM p""")
 def d13_page_languages(s, d):
     c = chunks_of(s, d).select("doc_id", (F.floor(F.col("order") / 3) + 1).alias("page"), F.col("order").alias("block_no"), "text")
     return langid.page_languages(c)
 
 
-@query()
+@query("""SELECT 'https://site0.example/p' || page_id AS url, floor(log2(page_id // 5 + 1 + 1e-9))::INTEGER AS depth, page_id // 5 AS seq FROM pages WHERE page_id % 5 = 0""")
 def d15_crawl(s, d):
+    """Pages of five sites; within a site page j links to the pages 2j + 1 and 2j + 2, and to one of another site."""
     from ..operators import crawl
 
-    pages = table(s, d, "pages")
-    start = pages.agg(F.min("url")).first()[0]
-    return crawl.reachable(pages, html.links(pages), start)
+    k = F.col("page_id")
+    own = lambda j: F.concat(F.lit('<a href="/p'), (5 * j + k % 5).cast("string"), F.lit('#a">x</a>'))
+    j = F.floor(k / 5)
+    body = F.concat(F.lit("<html><body><p>"), own(2 * j + 1), F.lit('<a href="https://other.example/p'), k.cast("string"), F.lit('">y</a>'), own(2 * j + 2), F.lit("</p></body></html>"))
+    pages = table(s, d, "pages").select("page_id", F.concat(F.lit("https://site"), (k % 5).cast("string"), F.lit(".example/p"), k.cast("string")).alias("url"), body.alias("html"))
+    return crawl.reachable(pages, html.links(pages), "https://site0.example/p0", max_depth=40, max_pages=1 << 30)
 
 
-@query()
+@query(BLOCKS + "SELECT 'parsed' AS what, page_id, block_no, text FROM blocks WHERE page_id % 10 <> 0 UNION ALL SELECT 'error', page_id, NULL, 'no parser for application/x-unknown' FROM pages WHERE page_id % 10 = 0")
 def d16_dispatch(s, d):
     pages = table(s, d, "pages").withColumn("mime", F.when(F.col("page_id") % 10 == 0, "application/x-unknown").otherwise("text/html"))
     parsed, errors = ingest.dispatch(pages, {"text/html": lambda p: html.blocks(p)})
-    return parsed.groupBy(F.lit("parsed").alias("what")).agg(F.count("*").alias("n")).unionByName(errors.groupBy(F.lit("error").alias("what")).agg(F.count("*").alias("n")))
+    return parsed.select(F.lit("parsed").alias("what"), F.col("doc_id").alias("page_id"), "block_no", "text").unionByName(errors.select(F.lit("error").alias("what"), "page_id", F.lit(None).cast("int").alias("block_no"), F.col("error").alias("text")))

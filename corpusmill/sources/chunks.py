@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import pii
+from ..operators.numbering import numbered
 
 CHUNK_SCHEMA = (
     "doc_id string, chunk_id string, `order` int, rev int, content struct<type:string,text:string>, source struct<page:int,section_path:array<string>>, "
@@ -50,11 +51,10 @@ def redacted(chunks: DataFrame, text: str = "text") -> DataFrame:
 
 
 def read_html_files(spark: SparkSession, path: str, pattern: str = "*.{html,htm}") -> DataFrame:
-    """page_id by sorted name, url = path, html."""
-    from pyspark.sql import Window
-
+    """page_id by sorted name, url = path, html. Paths alone are numbered; contents don't move for it."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
-    return files.select((F.row_number().over(Window.orderBy("path")) - 1).cast("long").alias("page_id"), F.col("path").alias("url"), F.decode("content", "UTF-8").alias("html"))
+    ids = numbered(files.select("path"), ["path"], "_n").select("path", (F.col("_n") - 1).cast("long").alias("page_id"))
+    return files.select("path", F.decode("content", "UTF-8").alias("html")).join(ids, "path").select("page_id", F.col("path").alias("url"), "html")
 
 
 def read_html_archives(spark: SparkSession, path: str) -> DataFrame:

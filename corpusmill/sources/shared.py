@@ -8,18 +8,27 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders that this process made, by application; ``clear`` deletes them.
+_MADE: dict[str, list[str]] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where it is unset (tests), a folder made here."""
+    """``spark.checkpoint.dir``. Where it is unset a local session gets a temporary folder; on a cluster that is an error, as
+    executors would write where nobody else can read."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="corpusmill-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
 def new_folder(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/corpusmill/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/corpusmill/{tag}-{uuid.uuid4().hex}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -29,5 +38,16 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> int:
+    """Deletes the tables and archives that operators of this application have left, and says how many. To be called when all
+    results that come from them are written."""
+    made = _MADE.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in made:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+    return len(made)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))

@@ -1,11 +1,13 @@
 import hashlib
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.operators import agreement, curation, datasets, dedup, quality, releases, retrieval, routing
+from corpusmill.operators import agreement, curation, datasets, dedup, numbering, quality, releases, retrieval, routing
 from corpusmill.sources import chunks as files
+from corpusmill.sources import shared
 from corpusmill.streaming import live
 
 
@@ -172,12 +174,12 @@ def test_refs_meet_one_binding_a_scope(spark):
     r = spark.createDataFrame(requests, "request_id long, project_id long, document_id long, model_ref string")
     want = {}
     for i, p, d, ref in requests:
-        met = [((0 if d is not None and x[2] == d else 1 if p is not None and x[1] == p else 2), x[4], -x[5], x[0]) for x in bindings if x[6] and ref is not None and x[3] == ref]
-        want[i, ref] = min([want.get((i, ref), (9, 0, 0, None)), *met], key=lambda x: x[:3] + ((x[3] or 0),))
+        met = [(int(not (d is not None and x[2] == d)), int(not (p is not None and x[1] == p)), x[4], -x[5], x[0]) for x in bindings if x[6] and ref is not None and x[3] == ref and x[1] in (None, p)]
+        want[i, ref] = min([want.get((i, ref), (9, 0, 0, 0, None)), *met], key=lambda x: x[:4] + ((x[4] or 0),))
     done = routing.resolve_refs(r, b)
-    assert {(x["request_id"], x["model_ref"]): x["binding_id"] for x in done.collect()} == {k: v[3] for k, v in want.items()} and done.count() == len(want)
+    assert {(x["request_id"], x["model_ref"]): x["binding_id"] for x in done.collect()} == {k: v[4] for k, v in want.items()} and done.count() == len(want)
     # Each scope's bindings are ranked before they are joined, so no join makes a row for each pair.
-    assert done._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") == 3
+    assert done._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") == 4
 
 
 def test_whole_queries_leave_nothing_out(spark, tmp_path):
@@ -187,5 +189,140 @@ def test_whole_queries_leave_nothing_out(spark, tmp_path):
     spark.createDataFrame([(1, text, "en", "s")], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, text)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert sorted((r["ord"], r["mins"].count(",")) for r in QUERIES["f2_chunk_minhash"](spark, str(tmp_path)).collect()) == [(0, 63), (1, 63), (2, 63)]
-    found = QUERIES["j2_i11_whole_sft"](spark, str(tmp_path)).collect()
+    found = QUERIES["j2_i11_sft"](spark, str(tmp_path)).collect()
     assert found and all(r["text"].count(text) == 2 for r in found)
+
+
+def test_conflicts_equal_all_pairs(spark):
+    rng = random.Random(22)
+    rows = []
+    for k in range(400):
+        value, before = rng.choice([None, "a", "b", "c"]), rng.choice([None, "a", "b", "c"])
+        rows.append((k, rng.randrange(6), rng.choice(["u", "v", "w", None]), {"f": before, "g": "x"}, {"f": value, "g": rng.choice("xy")}, rng.randrange(40), "edit"))
+    df = spark.createDataFrame(rows, "audit_id long, chunk_id long, user string, before map<string,string>, after map<string,string>, created_at int, action string").repartition(3)
+    want = set()
+    for a in rows:
+        for f in ("f", "g"):
+            if a[4][f] != a[3][f] and any(b[1] == a[1] and None not in (a[2], b[2]) and b[2] != a[2] and b[4][f] != a[4][f] and (b[5], b[0]) < (a[5], a[0]) for b in rows):
+                want.add(a[0])
+    assert {r["audit_id"] for r in agreement.conflicts(df).where("action = 'edit_conflict'").collect()} == want and 20 < len(want) < 380
+
+
+def test_bindings_and_routes(spark):
+    rng = random.Random(23)
+    some = lambda n: rng.choice([None, *range(n)])
+    bindings = [(k, some(4), some(5), "m", rng.randrange(3), rng.randrange(4), rng.random() < 0.8) for k in range(80)]
+    requests = [(k, some(5), some(7)) for k in range(50)]
+    b = spark.createDataFrame(bindings, "binding_id long, project_id long, document_id long, model_ref string, priority int, created_at int, enabled boolean")
+    r = spark.createDataFrame(requests, "request_id long, project_id long, document_id long")
+    want, routes = set(), set()
+    for i, p, d in requests:
+        own = [x for x in bindings if x[6] and d is not None and x[2] == d]
+        near = [x for x in bindings if x[6] and p is not None and x[1] == p and x[2] is None]
+        want |= {(i, x[0], n + 1) for n, x in enumerate(sorted(own or near, key=lambda x: (x[4], -x[5], x[0]))[:2])}
+        mine = [x for x in bindings if p is not None and x[1] == p and d is not None and x[2] == d] or [x for x in bindings if p is not None and x[1] == p and x[2] is None]
+        routes |= {(i, x[0], n + 1) for n, x in enumerate(sorted(mine, key=lambda x: (-x[5], x[0])))}
+    assert {(x["request_id"], x["binding_id"], x["rank"]) for x in routing.resolve_bindings(r, b).collect()} == want
+    assert {(x["request_id"], x["route_id"], x["rank"]) for x in routing.resolve_routes(r, b.withColumnRenamed("binding_id", "route_id")).collect()} == routes
+
+
+def test_numbers_within_groups(spark):
+    rng = random.Random(24)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), k) for k in rng.sample(range(1000), 300)]
+    df = spark.createDataFrame(rows, "g string, k long").repartition(5)
+    want = {(g, k): sum(1 for h, j in rows if h == g and j <= k) for g, k in rows}
+    assert {(r["g"], r["k"]): r["n"] for r in numbering.numbered_within(df, ["g"], ["k"]).collect()} == want
+
+
+def test_manifest_hash_by_levels(spark, monkeypatch):
+    rows = [(k, f"h{k}", {f"c{k}": "t"}) for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, doc_hash string, chunks map<string,string>")
+    one = releases.manifest_hash(df).first()[0]
+    monkeypatch.setattr(releases, "FAN", 4)
+    deep = releases.manifest_hash(df).first()[0]
+    leaves = sorted(hashlib.sha256(f"{k}|h{k}|c{k}=t".encode()).hexdigest() for k in range(300))
+    join = lambda xs: hashlib.sha256("".join(xs).encode()).hexdigest()
+    assert one == join(leaves) and deep == join(join([x for x in leaves if x[:3] == p]) for p in sorted({x[:3] for x in leaves}))
+    assert releases.manifest_hash(df.repartition(7)).first()[0] == deep
+
+
+def test_evidence_keeps_to_its_scope(spark):
+    chunks = [(f"c{k}", k % 6, k, f"common words and number {k} of a chunk", f"h{k % 20}", ["s"], k % 2) for k in range(40)]
+    c = spark.createDataFrame(chunks, "chunk_id string, doc_id long, `order` int, text string, text_hash string, section_path array<string>, project_id long")
+    p = spark.createDataFrame([(1, "common words 7", 3, 0), (2, "common words 8", None, 0), (3, "common words", None, 9), (4, "words nowhere common", 77, 1)], "prompt_id long, prompt string, doc_id long, project_id long")
+    rows = retrieval.evidence(p, c).collect()
+    of = lambda k: [r for r in rows if r["prompt_id"] == k]
+    assert len(of(1)) == 4 and {r["doc_id"] for r in of(1)} == {3} and {r["doc_id"] % 2 for r in of(2)} == {0} and not of(3) and not of(4)
+    assert {r["chunk_id"] for r in retrieval.evidence(p, c, most_candidates=2).collect() if r["prompt_id"] == 1} == {"c3", "c9"}
+
+
+def test_sources_round_trip(spark, tmp_path):
+    import io
+    import json
+    import zipfile
+
+    line = {"doc_id": "1", "chunk_id": "a", "order": 0, "rev": 1, "content": {"type": "text", "text": "x"}, "source": {"page": 1, "section_path": ["s"]}, "text_hash": "h", "metadata": {"k": "v"}}
+    (tmp_path / "chunks.jsonl").write_text("\n".join(json.dumps(line | {"doc_id": str(k), "chunk_id": f"c{k}"}) for k in range(3)))
+    assert [r["chunk_id"] for r in files.read_chunks(spark, str(tmp_path / "chunks.jsonl"), ["1"]).collect()] == ["c1"]
+    assert files.read_chunks(spark, str(tmp_path / "chunks.jsonl")).count() == 3
+    (tmp_path / "red.jsonl").write_text(json.dumps({"chunk_id": "c1", "redactions": [{"type": "email", "text": "x"}]}))
+    assert files.read_redactions(spark, str(tmp_path / "red.jsonl")).first()["redactions"][0]["text"] == "x" and files.read_redactions(spark, str(tmp_path / "none")).count() == 0
+    pages = tmp_path / "pages"
+    pages.mkdir()
+    for name in ("b.html", "a.htm", "c.txt"):
+        (pages / name).write_text(f"<p>{name}</p>")
+    found = {r["page_id"]: r["html"] for r in files.read_html_files(spark, str(pages)).collect()}
+    assert found == {0: "<p>a.htm</p>", 1: "<p>b.html</p>"}
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        z.writestr("n/2.html", "two")
+        z.writestr("1.HTM", "one")
+        z.writestr("x.txt", "no")
+    (tmp_path / "z.zip").write_bytes(packed.getvalue())
+    assert [(r["name"], r["html"]) for r in files.read_html_archives(spark, str(tmp_path)).collect()] == [("1.HTM", "one"), ("n/2.html", "two")]
+
+
+def test_shared_tables_are_cleared(spark):
+    made = shared.materialize(spark.range(3), "test")
+    path = made.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert os.path.exists(path) and shared.clear(spark) >= 1 and not os.path.exists(path)
+
+
+def test_new_documents_against_stored_hashes(spark, tmp_path):
+    rows = [(1, "a", 1), (1, "b", 2), (2, "a", 3), (1, "b", 4)]
+    df = spark.createDataFrame(rows, "project_id long, doc_hash string, n int").withColumn("ts", F.timestamp_seconds("n"))
+    stored = spark.createDataFrame([(1, "a")], "project_id long, doc_hash string")
+    want = {(1, "b", 2), (2, "a", 3)}
+    assert {(r["project_id"], r["doc_hash"], r["n"]) for r in live.new_documents(df, stored).collect()} == want
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = live.new_documents(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), stored)
+    stream.writeStream.format("memory").queryName("fresh").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start().awaitTermination()
+    assert {(r["project_id"], r["doc_hash"]) for r in spark.table("fresh").collect()} == {x[:2] for x in want}
+
+
+def test_a_replayed_batch_leaves_the_same(spark, tmp_path):
+    schema = "chunk_id long, event_no long, user string, patch map<string,string>"
+    base = spark.createDataFrame([(1, {"a": "0"}, 1), (2, {}, 1)], "chunk_id long, curated map<string,string>, rev long")
+    base.write.parquet(str(tmp_path / "state-0"))
+    (tmp_path / "in").mkdir()
+    for n, rows in enumerate([[(1, 1, "u", {"a": "1"}), (2, 2, "u", {"b": "2"})], [(1, 3, "v", {"a": "1", "c": "3"})]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    fail = {"at": 1}
+
+    def write_chunks(df, number):
+        if fail["at"] == number:  # the audits of this batch are written, its chunks aren't
+            fail["at"] = None
+            raise RuntimeError("lost")
+        df.write.mode("overwrite").parquet(str(tmp_path / f"state-{number + 1}"))
+
+    def run():
+        events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        live.curate_stream(events, lambda n: spark.read.parquet(str(tmp_path / f"state-{n}")), write_chunks, lambda df, n: df.write.mode("overwrite").parquet(str(tmp_path / f"audits-{n}")), str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+
+    with pytest.raises(Exception):
+        run()
+    run()
+    state = {r["chunk_id"]: (r["curated"], r["rev"]) for r in spark.read.parquet(str(tmp_path / "state-2")).collect()}
+    assert state == {1: ({"a": "1", "c": "3"}, 3), 2: ({"b": "2"}, 2)}
+    audits = sorted((r["event_no"], r["before"], r["after"]) for n in (0, 1) for r in spark.read.parquet(str(tmp_path / f"audits-{n}")).collect())
+    assert audits == [(1, {"a": "0"}, {"a": "1"}), (2, {}, {"b": "2"}), (3, {}, {"c": "3"})]
