@@ -156,7 +156,10 @@ def test_encoding_of_awkward_tables(spark, docs, monkeypatch):
 # 2
 
 
-def test_top_k_is_exact(spark):
+@pytest.mark.parametrize("block,pivots,queries", [(256, 32, 256), (3, 4, 2), (7, 1, 1)])
+def test_top_k_is_exact(spark, monkeypatch, block, pivots, queries):
+    for name, value in (("BLOCK", block), ("PIVOTS", pivots), ("QUERY_BLOCK", queries)):
+        monkeypatch.setattr(topk, name, value)
     rng = np.random.default_rng(2)
     v = rng.normal(size=(300, 6)).astype(np.float32)
     v[10:40] = v[9]  # copies, so that scores tie
@@ -174,6 +177,31 @@ def test_top_k_is_exact(spark):
     assert topk.search(q.limit(0), q.limit(0).select(F.col("vec_id").alias("query_id"), "v"), 5).count() == 0
 
 
+def test_top_k_leaves_annuli_out(spark, monkeypatch):
+    """Vectors in clusters: most annuli lie beyond every query's radius and are never scored."""
+    monkeypatch.setattr(topk, "BLOCK", 10)
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(20, 8)) * 4
+    v = np.vstack([c / np.linalg.norm(c) * 10 + rng.normal(size=(30, 8)) * 0.05 for c in centres])
+    scored = spark.sparkContext.accumulator(0)
+    real = topk.products
+
+    def counted(a, b):
+        scored.add(len(a) * len(b))
+        return real(a, b)
+
+    monkeypatch.setattr(topk, "products", counted)
+    q = topk.quantized(spark.createDataFrame([(i, [float(x) for x in v[i]]) for i in range(600)], "vec_id long, embedding array<double>"))
+    got = collections.defaultdict(list)
+    for r in topk.search(q, q.where("vec_id % 30 = 0").select(F.col("vec_id").alias("query_id"), "v"), 5).collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    whole = np.floor(v * 256).astype(np.int64)
+    for i in range(0, 600, 30):
+        best = sorted((-int(whole[j] @ whole[i]), j) for j in range(600) if j != i)[:5]
+        assert sorted(got[i]) == [(k + 1, j, -s) for k, (s, j) in enumerate(best)]
+    assert 0 < scored.value < 0.5 * 20 * 600
+
+
 # 3
 
 
@@ -311,6 +339,12 @@ def test_warc_round_trip(spark):
     assert warc.archive_and_read(pages.limit(0)).count() == 0
 
 
+def test_warc_stores(tmp_path):
+    assert warc.file_system(f"file://{tmp_path}")[1] == str(tmp_path) and warc.file_system("dbfs:/a/b")[1] == "/dbfs/a/b"
+    with pytest.raises(ValueError, match="no archives"):
+        warc.file_system("nostore://x/y")
+
+
 # 5
 
 
@@ -482,7 +516,7 @@ def test_sets_and_keys_of_many_texts_are_those_of_each(texts):
         assert (jaccard_join.sketches(one, np.array([0, len(one)]))[0] == bits[cuts[k] : cuts[k + 1]]).all()
 
 
-@pytest.mark.parametrize("changed", [{"REMEMBERED": 0}, {"MANY": 0, "HUBS": 1}, {"MANY": 10**9, "AT_ONCE": 1}, {"BROADCAST_IDS": 0}, {"MOST_FREQUENT": 0}, {"PART": 3, "TEXTS": 2}])
+@pytest.mark.parametrize("changed", [{"REMEMBERED": 0}, {"MANY": 0, "HUBS": 1}, {"MANY": 10**9, "PAIRS_AT_ONCE": 1, "TIMES_AT_ONCE": 1}, {"BROADCAST_IDS": 0}, {"MOST_FREQUENT": 0}, {"PART": 3, "TEXTS": 2}])
 def test_jaccard_join_whatever_the_plan(spark, monkeypatch, changed):
     monkeypatch.setattr(jaccard_join, "FREQUENT", 2)
     for name, value in changed.items():
