@@ -12,8 +12,9 @@ labels alone (``joined``); what is said of a stratum then holds for the joined o
 strata would lose more than ``risk`` of the good documents labelled there. Only where all labels together are too few
 nothing is rejected.
 
-Null texts count as empty. Rows that repeat are measured each for itself. Labels that are null, or of no document, take no
-part; of a document with several labels the largest counts.
+Null texts count as empty. Rows that repeat are measured each for itself, and rows with one text tie. A text of any length is
+measured whole. Labels that are null, or of no document, take no part; of a document with several labels the largest counts.
+An empty table gives no rows. Other columns, whatever their names, are neither read nor kept.
 """
 
 from __future__ import annotations

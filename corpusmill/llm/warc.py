@@ -10,7 +10,9 @@ is parsed from its bytes alone.
 
 A null html is an empty payload, a null url an empty target. Rows that share a page_id are written each; between equal
 payloads the largest page_id wins, and of several rows with that page_id each is a response. A null page_id counts as the
-smallest. Payloads below ``least`` bytes are never revisits.
+smallest. Payloads below ``least`` bytes are never revisits. A record's id is made of its page_id, so rows that share one
+share it. A payload of any length is one record. Other columns of ``pages``, whatever their names, are neither read nor kept.
+An empty table gives no archive and no rows.
 """
 
 from __future__ import annotations
@@ -35,6 +37,20 @@ INDEX = "page_id long, url string, digest string, record_type string, file strin
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
 
+def file_system(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system and path of a URI that Spark uses too. Spark's names of stores that Arrow knows by another name are mapped
+    (s3a and s3n: s3; dbfs: the mounted folder); a store that Arrow can't open is an error."""
+    name, _, rest = uri.partition(":")
+    if name in ("s3a", "s3n"):
+        uri = f"s3:{rest}"
+    elif name == "dbfs":
+        uri = "file:///dbfs/" + rest.lstrip("/")
+    try:
+        return fs.FileSystem.from_uri(uri)
+    except (pa.ArrowException, OSError, ValueError) as e:
+        raise ValueError(f"no archives at {uri}: they need a folder on file, hdfs, s3 (s3a), gs, abfs or dbfs") from e
+
+
 def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
@@ -100,7 +116,7 @@ def write(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
     """Writes the archives into ``folder`` (a URI that executors reach) and returns the index, itself written there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, path = fs.FileSystem.from_uri(folder)
+        system, path = file_system(folder)
         system.create_dir(path, recursive=True)
         name, offset, out = f"{uuid.uuid4().hex}.warc.gz", 0, None
         for batch in batches:
@@ -121,6 +137,7 @@ def write(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
         if out:
             out.close()
 
+    file_system(folder)  # fails here, before any task, where the folder can't be opened
     return materialize(plan(pages, least).mapInArrow(run, INDEX), "warc-index")
 
 
@@ -147,7 +164,7 @@ def read(index: DataFrame, payloads: bool = True) -> DataFrame:
         for batch in batches:
             for name, found in ranges(batch):
                 if name != open_name:
-                    system, path = fs.FileSystem.from_uri(name)
+                    system, path = file_system(name)
                     open_name, file = name, system.open_input_file(path)
                 start, end = found[0][0], sum(found[-1])
                 data = file.read_at(end - start, start)
