@@ -25,16 +25,3 @@ def components(links: DataFrame) -> DataFrame:
         if step.where("old <> label").limit(1).count() == 0:
             return step.select("id", F.col("label").alias("component"))
         labels = step.select("id", "label")
-
-
-def merged(grouped: DataFrame, links: DataFrame) -> DataFrame:
-    """``grouped`` (id, component) after further ``links`` (a, b): only the labels of their components are looked at again. Ids that
-    are in no row are components of their own, before and after."""
-    if links.limit(1).count() == 0:
-        return grouped
-    of = lambda end: grouped.select(F.col("id").alias(end), F.col("component").alias(f"c_{end}"))
-    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
-    joined = components(ends)
-    lower = joined.select(F.col("id").alias("component"), F.col("component").alias("lower"))
-    old = grouped.join(lower, "component", "left").select("id", F.coalesce("lower", "component").alias("component"))
-    return materialize(old.unionByName(joined.join(grouped, "id", "left_anti").select("id", "component")), "components")

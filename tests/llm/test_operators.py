@@ -481,7 +481,7 @@ def test_jaccard_join_loses_no_link(spark, docs, monkeypatch):
 
 
 def keys_of(x, frequent):
-    return jaccard_join.prefix_keys(x, np.array([0, len(x)]), frequent, np.ones(1, bool))[0]
+    return jaccard_join.prefix_keys(x, frequent)[0]
 
 
 def test_jaccard_prefixes_meet():
@@ -497,26 +497,21 @@ def test_jaccard_prefixes_meet():
                 continue
             frequent = np.sort(a[rng.random(len(a)) < rng.choice((0, 0.5, 0.9, 0.99, 1))])
             x, y = keys_of(a, frequent), keys_of(b, frequent)
-            assert len(np.intersect1d(x, y)) and len(x) <= 3 * n + 6, n
+            assert len(np.intersect1d(x, y)), n
 
 
-def test_sets_and_keys_of_many_texts_are_those_of_each(texts):
-    rng = np.random.default_rng(6)
+def test_sets_of_many_texts_are_those_of_each(texts):
     raw = [(t or "").encode() for t in texts]
     tokens, edges = jaccard_join.shingles(raw, jaccard_join.WordHash())
-    frequent = np.unique(rng.choice(tokens, len(tokens) // 2))
-    keys, places, at, rare = jaccard_join.prefix_keys(tokens, edges, frequent, np.ones(len(raw), bool))
-    assert all(set(keys[at[k] : at[k] + rare[k]].tolist()) <= set(tokens[edges[k] : edges[k + 1]].tolist()) - set(frequent.tolist()) for k in range(len(raw)))
     bits, cuts = jaccard_join.sketches(tokens, edges)
     for k, t in enumerate(raw):
         one, _ = jaccard_join.shingles([t], jaccard_join.WordHash())
         w = t.lower().split()
         assert (one == tokens[edges[k] : edges[k + 1]]).all() and len(one) == len({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else ())
-        assert sorted(keys_of(one, frequent)) == sorted(keys[at[k] : at[k + 1]])
         assert (jaccard_join.sketches(one, np.array([0, len(one)]))[0] == bits[cuts[k] : cuts[k + 1]]).all()
 
 
-@pytest.mark.parametrize("changed", [{"REMEMBERED": 0}, {"MANY": 0, "HUBS": 1}, {"MANY": 10**9, "PAIRS_AT_ONCE": 1, "TIMES_AT_ONCE": 1}, {"BROADCAST_IDS": 0}, {"MOST_FREQUENT": 0}, {"PART": 3, "TEXTS": 2}])
+@pytest.mark.parametrize("changed", [{"REMEMBERED": 0}, {"MANY": 0, "HUBS": 1}, {"MANY": 10**9}, {"BROADCAST_IDS": 0}, {"MOST_FREQUENT": 0}, {"COMBINE": 0}, {"COMBINE": 10**6, "TEXTS": 2}])
 def test_jaccard_join_whatever_the_plan(spark, monkeypatch, changed):
     monkeypatch.setattr(jaccard_join, "FREQUENT", 2)
     for name, value in changed.items():
@@ -541,9 +536,6 @@ def test_components(spark):
     links = [(i, i + 1) for i in range(0, 40)] + [(100, 102), (102, 101), (7, 7)]
     got = {r["id"]: r["component"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100}
-    half = components.components(spark.createDataFrame(links[::2], "a long, b long"))
-    assert {r["id"]: r["component"] for r in components.merged(half, spark.createDataFrame([*links[1::2], (9, 9)], "a long, b long")).collect()} == got
-    assert components.merged(half, half.limit(0).select(F.col("id").alias("a"), F.col("id").alias("b"))).count() == half.count()
 
 
 # 8
