@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backoff_lm, jaccard_join, line_crf, line_dedup, packing, quality_rules, sentencepiece, topk, toxicity, warc
+from . import backoff_lm, fill_middle, jaccard_join, line_crf, line_dedup, packing, quality_rules, sentencepiece, simhash_join, topk, toxicity, warc
 from .common import materialize, small_batches, table
 
 #: The tokenizer's file; any BPE model file will do.
@@ -83,7 +83,15 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", "predicted", F.size("offending").alias("n_offending"), F.array_join(F.transform("offending", where), ",").alias("offending"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_topk, op3_line_dedup, op4_warc, op5_lm_score, op6_quality_rules, op7_jaccard_join, op8_packing, op9_quality_classifier, op10_toxicity)}
+def op12_simhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_join.join(_documents(spark, sf_dir))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.transform(fill_middle.store(_documents(spark, sf_dir)), texts=False)
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_topk, op3_line_dedup, op4_warc, op5_lm_score, op6_quality_rules, op7_jaccard_join, op8_packing, op9_quality_classifier, op10_toxicity, op12_simhash_join, op13_fill_in_middle)}
 #: SQL of the queries that SQL can express. The others hold a tokenizer, a trained model, an alignment or a packing, and are
 #: tested against brute force.
 ORACLES: dict[str, str] = {
@@ -102,4 +110,11 @@ l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE
 e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r(doc_id, c) AS (SELECT doc_id, doc_id FROM t UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.doc_id)
 SELECT r.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(c) AS component_id FROM r LEFT JOIN n USING (doc_id) GROUP BY r.doc_id""",
+    "op13_fill_in_middle": r"""WITH t AS (SELECT doc_id, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+c AS (SELECT doc_id, x, u, len(u)::BIGINT AS n, list_transform(range(4), lambda k: ('0x' || substr(h, 8 * k + 1, 8))::BIGINT) AS h FROM t),
+d AS (SELECT doc_id, x, u, n, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+CASE WHEN x = '' OR contains(x, '<P>') OR contains(x, '<S>') OR contains(x, '<M>') OR h[3] % 100 >= 50 THEN 'plain' WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM c),
+p AS (SELECT doc_id, x, n, form, array_to_string(list_slice(u, 1, a), '') AS p, array_to_string(list_slice(u, a + 1, b), '') AS m, array_to_string(list_slice(u, b + 1, n), '') AS s FROM d)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m)::BIGINT END AS middle_chars,
+sha256(CASE form WHEN 'plain' THEN x WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(x) AS restored_sha256 FROM p""",
 }
