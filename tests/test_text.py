@@ -85,3 +85,11 @@ def test_signatures(spark):
     assert one(spark, sg.shingle_simhash(F.col("t")), "  ") == 0
     mins = one(spark, sg.minhash(F.col("t"), 3), text)
     assert mins == [min(hashlib.sha1(f"{w}-{i}".encode()).hexdigest() for w in text.split()) for i in range(3)]
+
+
+def test_shingle_simhash_as_a_column_equals_the_step(spark):
+    texts = [None, "", "one", "one two", "One  two three", "a b c d a b c", "a b c d a b d"] * 3
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string").repartition(2)
+    column = {r["id"]: r["sim"] for r in rows.select("id", sg.shingle_simhash(F.col("t")).alias("sim")).where("sim is not null").collect()}
+    step = {r["id"]: r["sim"] for r in sg.with_shingle_simhash(rows, "id", F.col("t")).collect()}
+    assert column == step and len(column) == len(texts) and column[5] != column[6]
