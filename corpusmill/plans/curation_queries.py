@@ -231,7 +231,7 @@ def k1_patch_audits(s, d):
     return curation.patch(c, p)[1].select("chunk_id", F.col("user").alias("usr"), "action")
 
 
-@query(TYPED + "SELECT doc_id || '-' || ord AS chunk_id, CASE WHEN doc_id % 5 = 0 AND doc_id % 3 = 0 THEN 2 ELSE 1 END AS rev FROM typed")
+@query(TYPED + "SELECT doc_id || '-' || ord AS chunk_id, CASE WHEN doc_id % 5 = 0 THEN 2 ELSE 1 END AS rev FROM typed")
 def k2_b9_bulk_patch(s, d):
     c = _stored(s, d)
     picked = curation.select_chunks(c, ids=c.where("doc_id % 5 = 0").select("chunk_id"))
@@ -251,6 +251,99 @@ def k5_rename_values(s, d):
     return out.select("chunk_id", "rev", F.try_element_at("curated", F.lit("severity")).alias("severity"), "stale")
 
 
+# Many edits of one chunk: the events are patches of the first chunks of documents, some ten a chunk at any scale, in their order.
+FOLDED = TYPED + """, said AS (SELECT event_id AS no, event_id % (SELECT count(*) FROM documents) AS doc_id, 'u' || user_id % 7 AS usr, event_type AS label, CASE event_id % 5 WHEN 0 THEN 'high' WHEN 1 THEN ' ' END AS severity FROM events),
+placed AS (SELECT s.*, t.chunk_id, t.old FROM said s JOIN (SELECT doc_id, doc_id || '-0' AS chunk_id, CASE WHEN doc_id % 3 = 0 THEN ' ' ELSE 'high' END AS old FROM typed WHERE ord = 0) t USING (doc_id)),
+now AS (SELECT *, lag(label) OVER w AS label0, coalesce(last_value(severity IGNORE NULLS) OVER (PARTITION BY chunk_id ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), old) AS severity0,
+coalesce(last_value(severity IGNORE NULLS) OVER (PARTITION BY chunk_id ORDER BY no ROWS UNBOUNDED PRECEDING), old) AS severity1 FROM placed WINDOW w AS (PARTITION BY chunk_id ORDER BY no)),
+moved AS (SELECT no, doc_id, chunk_id, usr, label0, label, severity0, severity1, label IS DISTINCT FROM label0 AS l, severity1 <> severity0 AS v FROM now WHERE label IS DISTINCT FROM label0 OR severity1 <> severity0)
+"""
+
+
+def _event_patches(s, d):
+    docs = table(s, d, "documents").agg(F.count("*").alias("n"))
+    e = table(s, d, "events").crossJoin(F.broadcast(docs))
+    severity = F.when(F.col("event_id") % 5 == 0, "high").when(F.col("event_id") % 5 == 1, " ")
+    values = F.map_filter(_maps(("label", F.col("event_type")), ("severity", severity)), lambda k, v: v.isNotNull())
+    chunk = F.concat((F.col("event_id") % F.col("n")).cast("string"), F.lit("-0"))
+    return e.select(chunk.alias("chunk_id"), F.col("event_id").alias("edit_no"), F.concat(F.lit("u"), (F.col("user_id") % 7).cast("string")).alias("user"), values.alias("patch"))
+
+
+def _entry(c, name):
+    return F.try_element_at(c, F.lit(name))
+
+
+@query(FOLDED + """SELECT c.doc_id || '-' || c.ord AS chunk_id, (1 + coalesce(n, 0))::INTEGER AS rev, label, coalesce(m.severity, CASE WHEN c.doc_id % 3 = 0 THEN ' ' ELSE 'high' END) AS severity FROM typed c
+LEFT JOIN (SELECT chunk_id, count(*) AS n, arg_max(label, no) AS label, arg_max(severity1, no) AS severity FROM moved GROUP BY 1) m ON m.chunk_id = c.doc_id || '-' || c.ord""")
+def k1_folded_patches(s, d):
+    new, _ = curation.patch(_stored(s, d), _event_patches(s, d))
+    return new.select("chunk_id", "rev", _entry("curated", "label").alias("label"), _entry("curated", "severity").alias("severity"))
+
+
+@query(FOLDED + """SELECT no AS event_id, chunk_id, label0 AS label_before, label AS label_after, severity0 AS severity_before, severity1 AS severity_after,
+CASE WHEN EXISTS (SELECT 1 FROM moved b WHERE b.chunk_id = a.chunk_id AND b.no < a.no AND b.usr <> a.usr AND ((a.l AND b.label <> a.label) OR (a.v AND b.severity1 <> a.severity1))) THEN 'metadata_update_conflict' ELSE 'metadata_update' END AS action FROM moved a""")
+def k1_k4_folded_audits(s, d):
+    _, audits = curation.patch(_stored(s, d), _event_patches(s, d))
+    return audits.select(F.col("edit_no").alias("event_id"), "chunk_id", *(_entry(m, f).alias(f"{f}_{m}") for f in ("label", "severity") for m in ("before", "after")), "action")
+
+
+def _gate_rows(s, d, required):
+    typed = _typed(s, d)
+    docs = quality.parse_metrics(typed).drop("n_chunks").withColumns({"mime": F.lit("text/html"), "text_coverage": F.lit(1.0), "utf_other_ratio": F.lit(0.0), "pii_count": F.lit(0)})
+    return curation.gate_table(docs, _stored(s, d), required)
+
+
+def _status(complete: str) -> str:
+    """SQL of the gates: ``chunks_now`` has doc_id and, by ``complete``, whether a chunk has all fields."""
+    return """SELECT doc_id, n_complete, CASE WHEN empty_chunk_ratio > 0.1 OR html_section_path_coverage < 0.9 OR ocr_ratio > 0.5 OR n_complete / n_chunks < 0.8 THEN 'needs_review' ELSE 'parsed' END AS status
+FROM metrics JOIN (SELECT doc_id, sum(CASE WHEN """ + complete + " THEN 1 ELSE 0 END)::BIGINT AS n_complete FROM chunks_now GROUP BY 1) USING (doc_id)"
+
+
+@query(FOLDED + """, chunks_now AS (SELECT c.doc_id, coalesce(m.severity, CASE WHEN c.doc_id % 3 = 0 THEN ' ' ELSE 'high' END) AS severity FROM typed c
+LEFT JOIN (SELECT chunk_id, arg_max(severity1, no) AS severity FROM moved GROUP BY 1) m ON m.chunk_id = c.doc_id || '-' || c.ord) """ + _status("severity <> ' '"))
+def k1_regated(s, d):
+    c, required = _stored(s, d), F.array(F.lit("severity"))
+    _, audits = curation.patch(c, _event_patches(s, d))
+    return curation.regate(_gate_rows(s, d, required), c, audits, required).select("doc_id", "n_complete", "status")
+
+
+@query(TYPED + ", chunks_now AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 AND ord < 3 THEN 'high' WHEN doc_id % 3 = 0 THEN ' ' ELSE 'high' END AS severity FROM typed) " + _status("severity <> ' '"))
+def k2_regated(s, d):
+    c, required = _stored(s, d), F.array(F.lit("severity"))
+    _, audits = curation.bulk_patch(c, c.where("doc_id % 5 = 0 AND `order` < 3"), {"severity": "high"}, "u1")
+    return curation.regate(_gate_rows(s, d, required), c, audits, required).select("doc_id", "n_complete", "status")
+
+
+@query(TYPED + """SELECT doc_id || '-' || ord AS chunk_id, CASE WHEN doc_id % 5 = 0 THEN 3 ELSE 1 END AS rev, CASE WHEN doc_id % 5 = 0 THEN lang WHEN doc_id % 3 = 0 THEN ' ' ELSE 'high' END AS severity,
+CASE WHEN doc_id % 5 = 0 THEN source END AS topic, CASE WHEN doc_id % 5 = 0 THEN 'note' ELSE 'note,severity,topic' END AS open, CASE WHEN doc_id % 5 = 0 AND doc_id % 2 = 0 THEN 'accept_suggestion_conflict' WHEN doc_id % 5 = 0 THEN 'accept_suggestion' END AS last_action FROM typed""")
+def k3_two_fields(s, d):
+    """Two suggestions of a chunk accepted in turn; an earlier audit of another user holds another topic."""
+    offered = lambda c: F.struct(c.alias("value"), F.lit(0.9).alias("confidence"))
+    c = _stored(s, d).join(table(s, d, "documents").select("doc_id", "source"), "doc_id").withColumn("suggestions", _maps(("severity", offered(F.col("lang"))), ("topic", offered(F.col("source"))), ("note", offered(F.lit("n")))))
+    picked = c.where("doc_id % 5 = 0")
+    accepted = picked.select("chunk_id", F.lit("u1").alias("user"), F.explode(F.array(F.struct(F.lit(1).alias("edit_no"), F.lit("severity").alias("field")), F.struct(F.lit(2).alias("edit_no"), F.lit("topic").alias("field")))).alias("x")).select("chunk_id", "user", "x.*")
+    history = picked.where("doc_id % 2 = 0").select("chunk_id", F.lit("u2").alias("user"), _maps(("topic", F.lit("other"))).alias("after"))
+    new, audits = curation.accept_suggestions(c, accepted, history)
+    last = audits.where("edit_no = 2").select("chunk_id", F.col("action").alias("last_action"))
+    open_fields = F.array_join(F.array_sort(F.map_keys("suggestions")), ",")
+    return new.join(last, "chunk_id", "left").select("chunk_id", "rev", _entry("curated", "severity").alias("severity"), _entry("curated", "topic").alias("topic"), open_fields.alias("open"), "last_action")
+
+
+@query(TYPED + ", chunks_now AS (SELECT doc_id, complete FROM typed) " + _status("complete"))
+def k5_regated(s, d):
+    """A rename keeps values, so completeness stays; the documents touched are gated by it again."""
+    c, required = _stored(s, d), F.array(F.lit("severity"))
+    _, audits = curation.rename_values(c, "severity", {"high": "major"}, "u1", ["low", "high"])
+    return curation.regate(_gate_rows(s, d, required), c, audits, required).select("doc_id", "n_complete", "status")
+
+
+@query("SELECT n_nationkey AS project_id, version::INTEGER AS version, CASE WHEN n_nationkey = 3 AND version = n_regionkey + 1 THEN 'minor,mid' ELSE 'low,mid,minor' END AS options FROM nation, unnest(range(1, n_regionkey + 2)) t(version)")
+def k5_renamed_options(s, d):
+    field = F.struct(F.lit("severity").alias("name"), F.lit("enum").alias("type"), F.array(F.lit("low"), F.lit("mid"), F.lit("minor")).alias("options"))
+    t = _taxonomies(s, d).select("project_id", "version", F.array(field).alias("fields"))
+    return curation.rename_field_options(t, 3, "severity", {"low": "minor"}).select("project_id", "version", F.array_join(F.col("fields")[0]["options"], ",").alias("options"))
+
+
 @query("""WITH f AS (SELECT s_nationkey AS project_id, 'f' || (s_suppkey % 3) AS name, s_suppkey % 4 = 0 AS bare FROM supplier)
 SELECT project_id, name, 'duplicate_name' AS issue FROM f GROUP BY 1, 2 HAVING count(*) > 1 UNION ALL SELECT project_id, name, 'enum_without_options' FROM f WHERE bare""")
 def k6_taxonomy_issues(s, d):
