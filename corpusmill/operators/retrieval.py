@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -30,12 +33,32 @@ def bucket(token: Column, dimensions: int = DIMENSIONS) -> Column:
     return out.cast("int")
 
 
+def sparse_vectors(texts: DataFrame, key: str, text: str = "text", dimensions: int = DIMENSIONS) -> DataFrame:
+    """key, buckets array<int>, weights array<double>: sparse unit vectors of the texts that have a word. Words, as ``bucket`` has them, are
+    counted where the text lies, without a shuffle; of a batch each distinct word is hashed once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column(1).flatten().dictionary_encode()
+            known = np.array([int(hashlib.md5(w.encode()).hexdigest(), 16) % dimensions for w in words.dictionary.to_pylist()], np.int64)
+            sizes = np.array(batch.column(1).value_lengths().fill_null(0).to_numpy(zero_copy_only=False), np.int64)
+            cells = np.repeat(np.arange(batch.num_rows), sizes) * dimensions + (known[words.indices.to_numpy()] if len(words) else np.zeros(0, np.int64))
+            cells, n = np.unique(cells, return_counts=True)
+            rows = cells // dimensions
+            norms = np.sqrt(np.bincount(rows, n.astype(np.float64) ** 2, minlength=batch.num_rows))
+            edges = np.concatenate(([0], np.cumsum(np.bincount(rows, minlength=batch.num_rows)))).astype(np.int32)
+            lists = (pa.ListArray.from_arrays(pa.array(edges), pa.array(x)) for x in ((cells % dimensions).astype(np.int32), n / norms[rows]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=[key, "buckets", "weights"])
+
+    rows = texts.select(key, F.coalesce(tx.tokens(F.lower(F.col(text))), F.array().cast("array<string>")).alias("w")).where(F.size("w") > 0)
+    schema = T.StructType([texts.select(key).schema[0], T.StructField("buckets", T.ArrayType(T.IntegerType())), T.StructField("weights", T.ArrayType(T.DoubleType()))])
+    return rows.mapInArrow(run, schema)
+
+
 def embed(texts: DataFrame, key: str, text: str = "text", dimensions: int = DIMENSIONS) -> DataFrame:
     """Sparse unit vectors: key, bucket, weight. Words are hashed into buckets and counted."""
-    words = texts.select(key, F.explode(tx.tokens(F.lower(F.col(text)))).alias("t"))
-    counts = words.groupBy(key, bucket(F.col("t"), dimensions).alias("bucket")).agg(F.count("*").alias("n"))
-    norm = F.sqrt(F.sum((F.col("n") * F.col("n")).cast("double")).over(Window.partitionBy(key)))
-    return counts.select(key, "bucket", (F.col("n") / norm).alias("weight"))
+    rows = sparse_vectors(texts, key, text, dimensions).select(key, F.explode(F.arrays_zip("buckets", "weights")).alias("x"))
+    return rows.select(key, F.col("x.buckets").alias("bucket"), F.col("x.weights").alias("weight"))
 
 
 def embed_with(texts: DataFrame, key: str, model, text: str = "text") -> DataFrame:
@@ -53,13 +76,10 @@ def dense(sparse: DataFrame, key: str, dimensions: int = DIMENSIONS, kind: str =
 
 def top_by_words(queries: DataFrame, rows: DataFrame, k: int, query_key: str = "query_id", key: str = "chunk_id", scope: str | None = None) -> DataFrame:
     """For each query the k rows of highest inner product: query, key, score, rank, of those that share a word with it; with
-    ``scope`` only rows of the query's own value in that column. Sparse vectors (bucket, q_weight or weight) become dense ones
-    and are multiplied block by block."""
+    ``scope`` only rows of the query's own value in that column. queries and rows: a row for each bucket, with q_weight or weight."""
     scoped = [scope] if scope else []
-    asked = dense(queries.select(F.struct(query_key, *scoped).alias("key"), "bucket", F.col("q_weight").alias("weight")), "key", kind="double").select(F.col(f"key.{query_key}").alias("query_id"), *(F.col(f"key.{c}") for c in scoped), "embedding")
-    held = dense(rows.select(F.struct(key, *scoped).alias("key"), "bucket", "weight"), "key", kind="double").select(F.col(f"key.{key}").alias("vec_id"), *(F.col(f"key.{c}") for c in scoped), "embedding")
-    found = vector_top_k_batch(asked, held, k, scope, least=1e-9)
-    return found.select(F.col("query_id").alias(query_key), F.col("vec_id").alias(key), "score", "rank")
+    listed = lambda df, name, weight: df.groupBy(name, *scoped).agg(F.collect_list("bucket").alias("buckets"), F.collect_list(F.col(weight).cast("double")).alias("weights"))
+    return sparse_top_k(listed(queries, query_key, "q_weight"), listed(rows, key, "weight"), k, query_key, key, scope)
 
 
 def vector_top_k(query: list[float], vectors: DataFrame, k: int) -> DataFrame:
@@ -73,25 +93,20 @@ def vector_top_k(query: list[float], vectors: DataFrame, k: int) -> DataFrame:
 QUERY_BLOCK, VECTOR_BLOCK, QUERY_SLICE = 16384, 8192, 256
 
 
-def vector_top_k_batch(queries: DataFrame, vectors: DataFrame, k: int, scope: str | None = None, least: float | None = None) -> DataFrame:
-    """For each query (query_id, embedding) the k rows of highest inner product: query_id, vec_id, score, rank; scores are
-    rounded to nine places, those below ``least`` are left out, ties go to the smaller id, rows without an embedding take no
-    part. With ``scope`` a query meets only the rows that have its value in that column.
+def _best_by_blocks(queries: DataFrame, vectors: DataFrame, k: int, scope: str | None, least: float | None, scores) -> DataFrame:
+    """For each query (query_id, ...) the k vectors (vec_id, ...) of highest score: query_id, vec_id, score, rank; scores are rounded to nine
+    places, those below ``least`` are left out, ties go to the smaller id. ``scores``: of two tables an array for each query, in order.
 
     A task holds one block of queries and one of vectors of one scope and keeps k rows a query, which are merged after. Vectors are
     copied once for each block of queries of their scope, queries for each block of vectors; vectors of scopes that no query asks for
     are left out before.
     """
     scope = scope or "_all"
-    place = F.lit(0) if scope == "_all" else F.col(scope)
-    # Columns get names of their own here, as queries may be rows of the same table.
-    own = lambda df, key: df.where("embedding is not null").select(F.col(key).alias(key), place.alias(scope), F.col("embedding").alias("embedding"))
-    queries, vectors = own(queries, "query_id"), own(vectors, "vec_id")
     blocks = lambda df, most, into: df.groupBy(scope).agg(F.ceil(F.count("*") / most).alias(into))
     sizes = materialize(blocks(queries, QUERY_BLOCK, "n_q").join(blocks(vectors, VECTOR_BLOCK, "n_v"), scope), "scopes")
     copies = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    asked = queries.join(sizes, scope).select("query_id", scope, "embedding", F.pmod(F.xxhash64("query_id"), "n_q").alias("qb"), copies("n_v").alias("vb"))
-    held = vectors.join(sizes, scope).select("vec_id", scope, "embedding", F.pmod(F.xxhash64("vec_id"), "n_v").alias("vb"), copies("n_q").alias("qb"))
+    asked = queries.join(sizes, scope).select(*queries.columns, F.pmod(F.xxhash64("query_id"), "n_q").alias("qb"), copies("n_v").alias("vb"))
+    held = vectors.join(sizes, scope).select(*vectors.columns, F.pmod(F.xxhash64("vec_id"), "n_v").alias("vb"), copies("n_q").alias("qb"))
     floor = -np.inf if least is None else least
     id_types = queries.schema["query_id"].dataType, vectors.schema["vec_id"].dataType
     schema = T.StructType([T.StructField("query_id", id_types[0]), T.StructField("vec_id", id_types[1]), T.StructField("score", T.DoubleType())])
@@ -99,14 +114,13 @@ def vector_top_k_batch(queries: DataFrame, vectors: DataFrame, k: int, scope: st
     def run(q: pa.Table, v: pa.Table) -> pa.Table:
         found: list[tuple] = []
         if q.num_rows and v.num_rows:
-            matrix = lambda t: np.array(t["embedding"].to_pylist(), np.float64)
             v = v.sort_by("vec_id")
-            ids, asked_ids, mine, theirs = v["vec_id"].to_pylist(), q["query_id"].to_pylist(), matrix(q), matrix(v)
-            for start in range(0, len(asked_ids), QUERY_SLICE):
-                for i, row in enumerate(np.round(mine[start : start + QUERY_SLICE] @ theirs.T, 9)):
-                    low = max(floor, np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -np.inf)
-                    best = np.flatnonzero(row >= low)
-                    found.extend((asked_ids[start + i], ids[b], float(row[b])) for b in best[np.argsort(-row[best], kind="stable")][:k])
+            ids, asked_ids = v["vec_id"].to_pylist(), q["query_id"].to_pylist()
+            for asked_id, row in zip(asked_ids, scores(q, v), strict=True):
+                row = np.round(row, 9)
+                low = max(floor, np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -np.inf)
+                best = np.flatnonzero(row >= low)
+                found.extend((asked_id, ids[b], float(row[b])) for b in best[np.argsort(-row[best], kind="stable")][:k])
         columns = list(zip(*found, strict=True)) or [[]] * 3
         kinds = (q["query_id"].type, v["vec_id"].type, pa.float64())
         return pa.table([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=["query_id", "vec_id", "score"])
@@ -116,6 +130,58 @@ def vector_top_k_batch(queries: DataFrame, vectors: DataFrame, k: int, scope: st
     return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
+def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a column of lists end to end, and the sizes of the lists."""
+    lists = column.combine_chunks()
+    lists = lists if isinstance(lists, pa.Array) else pa.concat_arrays(lists.chunks)
+    return lists.flatten().to_numpy(zero_copy_only=False), np.array(lists.value_lengths().to_numpy(zero_copy_only=False), np.int64)
+
+
+def _sparse_scores(q: pa.Table, v: pa.Table) -> Iterator[np.ndarray]:
+    """Inner products with all vectors of a block by postings: the work of a query is the number of non-zeros in the buckets that it has."""
+    buckets, sizes = _lists(v["buckets"])
+    weights, _ = _lists(v["weights"])
+    order = np.argsort(buckets, kind="stable")
+    rows, weights = np.repeat(np.arange(v.num_rows), sizes)[order], weights[order]
+    known, starts, counts = np.unique(buckets[order], return_index=True, return_counts=True)
+    asked, n = _lists(q["buckets"])
+    own, _ = _lists(q["weights"])
+    edges = np.concatenate(([0], np.cumsum(n)))
+    for a, b in zip(edges.tolist(), edges[1:].tolist(), strict=False):
+        at = np.minimum(np.searchsorted(known, asked[a:b]), len(known) - 1)
+        hit = known[at] == asked[a:b]
+        at, w = at[hit], own[a:b][hit]
+        long = counts[at]
+        place = np.repeat(starts[at] - (np.cumsum(long) - long), long) + np.arange(int(long.sum()))
+        yield np.bincount(rows[place], np.repeat(w, long) * weights[place], minlength=v.num_rows)
+
+
+def sparse_top_k(queries: DataFrame, rows: DataFrame, k: int, query_key: str = "query_id", key: str = "chunk_id", scope: str | None = None) -> DataFrame:
+    """For each query the k rows of highest inner product, of those that share a bucket with it: query, key, score, rank. queries and rows:
+    key, buckets and weights, as ``sparse_vectors`` gives them, and ``scope``, if a query meets only rows of its own value there."""
+    place = F.lit(0) if scope is None else F.col(scope)
+    own = lambda df, name, into: df.where("size(buckets) > 0").select(F.col(name).alias(into), place.alias(scope or "_all"), F.col("buckets").alias("buckets"), F.col("weights").alias("weights"))
+    found = _best_by_blocks(own(queries, query_key, "query_id"), own(rows, key, "vec_id"), k, scope, 1e-9, _sparse_scores)
+    return found.select(F.col("query_id").alias(query_key), F.col("vec_id").alias(key), "score", "rank")
+
+
+def _dense_scores(q: pa.Table, v: pa.Table) -> Iterator[np.ndarray]:
+    matrix = lambda t: _lists(t["embedding"])[0].astype(np.float64).reshape(t.num_rows, -1)
+    mine, theirs = matrix(q), matrix(v)
+    for start in range(0, len(mine), QUERY_SLICE):
+        yield from mine[start : start + QUERY_SLICE] @ theirs.T
+
+
+def vector_top_k_batch(queries: DataFrame, vectors: DataFrame, k: int, scope: str | None = None, least: float | None = None) -> DataFrame:
+    """For each query (query_id, embedding) the k rows of highest inner product: query_id, vec_id, score, rank; scores are
+    rounded to nine places, those below ``least`` are left out, ties go to the smaller id, rows without an embedding take no
+    part. With ``scope`` a query meets only the rows that have its value in that column."""
+    place = F.lit(0) if scope is None else F.col(scope)
+    # Columns get names of their own here, as queries may be rows of the same table.
+    own = lambda df, key: df.where("embedding is not null").select(F.col(key).alias(key), place.alias(scope or "_all"), F.col("embedding").alias("embedding"))
+    return _best_by_blocks(own(queries, "query_id"), own(vectors, "vec_id"), k, scope, least, _dense_scores)
+
+
 def rank_score(similarity: Column, same_document: Column, section_path: Column, prompt: Column, text: Column) -> Column:
     depth = F.least(F.size(section_path) * PER_LEVEL, F.lit(MOST_LEVELS))
     overlap = F.least(tx.keyword_overlap(prompt, text) * OVERLAP, F.lit(OVERLAP))
@@ -143,10 +209,9 @@ def evidence(prompts: DataFrame, chunks: DataFrame, k: int = 4, most_candidates:
     same_text = Window.partitionBy("scope", "text_hash").orderBy("doc_id", "order")
     once = placed.where(F.length("text") >= LEAST_CHARS).withColumn("_n", F.row_number().over(same_text)).where("_n = 1 or text_hash is null").drop("_n")
     once = materialize(once, "candidates")
-    asked = embed(scoped, "prompt_id", "prompt").withColumnRenamed("weight", "q_weight").join(scoped.select("prompt_id", "scope"), "prompt_id")
-    # A chunk that lies in two scopes is embedded once.
-    vectors = embed(once.dropDuplicates(["chunk_id"]), "chunk_id").join(once.select("chunk_id", "scope"), "chunk_id")
-    near = top_by_words(asked, vectors, 3 * k, "prompt_id", scope="scope").withColumnRenamed("score", "similarity").drop("rank")
+    # Keys take the scope along, so that vectors need no join to learn it.
+    scoped_vectors = lambda df, key, text: sparse_vectors(df.select(F.struct(key, "scope").alias("_k"), text), "_k", text).select(f"_k.{key}", "_k.scope", "buckets", "weights")
+    near = sparse_top_k(scoped_vectors(scoped, "prompt_id", "prompt"), scoped_vectors(once, "chunk_id", "text"), 3 * k, "prompt_id", scope="scope").withColumnRenamed("score", "similarity").drop("rank")
     full = near.join(scoped, "prompt_id").join(once, ["chunk_id", "scope"])
     scored = full.withColumn("rank_score", rank_score(F.col("similarity"), F.coalesce(F.col("doc_id") == F.col("_doc"), F.lit(False)), F.col("section_path"), F.col("prompt"), F.col("text"))).where(F.col("rank_score") >= LEAST_SCORE)
     best = Window.partitionBy("prompt_id").orderBy(F.desc(F.round("rank_score", 9)), "chunk_id")

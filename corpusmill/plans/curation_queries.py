@@ -561,9 +561,8 @@ def j1_embedding(s, d):
 @query(f"""WITH {BUCKETS}, p AS (SELECT q.item_id AS query_id, e.item_id AS chunk_id, sum(q.weight * e.weight) AS score FROM e q JOIN e USING (bucket) GROUP BY 1, 2)
 SELECT query_id, chunk_id, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM p) WHERE rank <= 5""")
 def i8_semantic_search(s, d):
-    e = retrieval.embed(table(s, d, "benchmark"), "item_id")
-    q = e.select(F.col("item_id").alias("query_id"), "bucket", F.col("weight").alias("q_weight"))
-    return retrieval.top_by_words(q, e.withColumnRenamed("item_id", "chunk_id"), 5).select("query_id", "chunk_id", "rank")
+    e = retrieval.sparse_vectors(table(s, d, "benchmark"), "item_id")
+    return retrieval.sparse_top_k(e, e, 5, "item_id", "item_id").toDF("query_id", "chunk_id", "score", "rank").select("query_id", "chunk_id", "rank")
 
 
 @query("SELECT vec_id FROM embeddings, (SELECT embedding AS q FROM embeddings WHERE vec_id = 0) ORDER BY list_sum(list_transform(range(1, 65), lambda i: embedding[i]::DOUBLE * q[i]::DOUBLE)) DESC, vec_id LIMIT 10")
@@ -578,8 +577,8 @@ ce AS (SELECT chunk_id, bucket, n / sqrt(sum(n * n) OVER (PARTITION BY chunk_id)
 p AS (SELECT q.item_id AS query_id, ce.chunk_id, sum(q.weight * ce.weight) AS score FROM ce JOIN e q USING (bucket) WHERE q.item_id % 20 = 0 GROUP BY 1, 2)
 SELECT query_id, chunk_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM p) WHERE rank <= 5""")
 def i8_chunk_searches(s, d):
-    q = retrieval.embed(table(s, d, "benchmark").where("item_id % 20 = 0"), "item_id").select(F.col("item_id").alias("query_id"), "bucket", F.col("weight").alias("q_weight"))
-    return retrieval.top_by_words(q, retrieval.embed(chunks_of(s, d), "chunk_id"), 5).select("query_id", "chunk_id", "rank")
+    q = retrieval.sparse_vectors(table(s, d, "benchmark").where("item_id % 20 = 0"), "item_id").withColumnRenamed("item_id", "query_id")
+    return retrieval.sparse_top_k(q, retrieval.sparse_vectors(chunks_of(s, d), "chunk_id"), 5).select("query_id", "chunk_id", "rank")
 
 
 @query("""WITH p AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_sum(list_transform(range(1, 65), lambda i: v.embedding[i]::DOUBLE * q.embedding[i]::DOUBLE)), 9) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0)
