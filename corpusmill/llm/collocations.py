@@ -4,17 +4,17 @@ A text is split at punctuation and line ends into pieces and those at spaces and
 within a piece. A word's fingerprint is a polynomial of its bytes, a phrase's one of its words' fingerprints, both modulo 2^64, and
 both come from differences of prefix sums, so numpy hashes every phrase of a stretch of texts at once. Fingerprints hold the language.
 
-Counting takes three passes over the texts.
-
-1. Words and pairs: each task counts fingerprints in runs of some millions, one shuffle adds them up.
-2. Longer phrases, those alone whose pairs are all frequent: a phrase is never more frequent than a part of it.
-3. Phrases whose fingerprint is frequent: each batch cuts their texts from where they first occur in it and counts by text, with the
-   first document that holds them. So what a fingerprint stands for is checked against the text at every occurrence, phrases that share
-   one are told apart, and the counts that results rest on are counts of texts. Only frequent phrases are ever made.
-
-The set of frequent fingerprints that passes 2 and 3 look into is a bit map of fixed size (``FILTER_BITS``), broadcast. It may say yes for an
-infrequent one, which then falls to the exact count; it never says no for a frequent one. More fingerprints make it less selective, not
-larger.
+1. Words and pairs: each task adds up fingerprints in runs of some millions, and one shuffle adds these up. A fingerprint brings its count,
+   the sum of its occurrences' checks (a second, independent hash of the phrase), and a pointer to one occurrence.
+2. Longer phrases likewise, those alone whose pairs are all frequent: a phrase is never more frequent than a part of it. Also noted is
+   which words belong to frequent pairs.
+3. The occurrences that pointers of frequent fingerprints name give their texts: only frequent phrases are ever made, each once.
+   A fingerprint is verified against its text: the sum of the checks must be the count times the check of the text.
+4. Fingerprints that fail, because different phrases share them, are counted by text instead, wherever they occur.
+
+The sets that passes look into (frequent fingerprints, pointers, failures) are bit maps of fixed size (``FILTER_BITS``), broadcast. They may say
+yes for what isn't in the set, which an exact join or count then leaves out, and never no for what is. More entries make them less selective,
+not larger.
 
 Null and empty texts hold no word. A null language is ``und``. Rows that repeat count each for itself. A text of any length is taken
 whole. Ties of rank are in the order of the phrase's bytes. Other columns, whatever their names, are neither read nor kept. An empty
@@ -23,7 +23,7 @@ table gives no rows.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,8 +41,8 @@ SCALE = 2_000_000
 FILTER_BITS = 1 << 27
 #: Bytes of text hashed at once, and fingerprints counted at once.
 STRETCH, RUN = 1 << 17, 4_000_000
-#: Phrases a task counts by text before it sends them on.
-TEXTS = 300_000
+#: Sums of checks are taken modulo this; pointers are below it.
+MODULUS = 1 << 31
 #: Shares into which the ranking of a language is dealt first.
 SHARES = 64
 
@@ -53,6 +53,7 @@ _KIND[[*b".,;:!?", *range(0x0A, 0x0E)]] = _BREAK
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE, _OUTER = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
+_CHECK_BASE, _CHECK_OUTER = 0xA0761D6478BD642F, np.uint64(0xE7037ED1A0B428DB)
 _SPREAD = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -67,53 +68,73 @@ def powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-class Hasher:
-    """Words and phrases of stretches of text. The base's powers are kept, as are those of its inverse, which moves a difference
-    of prefix sums to the power zero."""
+class Polynomial:
+    """Hashes of parts of byte strings by one base. Its powers are kept, as are those of its inverse, which moves a difference of prefix
+    sums to the power zero."""
 
-    def __init__(self):
-        self.up = self.down = np.zeros(0, np.uint64)
+    def __init__(self, base: int):
+        self.base, self.up, self.down = base, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
 
-    def words(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Begin, end, fingerprint and piece of each word of lower-cased bytes."""
-        kind = _KIND[data]
-        solid = np.zeros(len(data) + 2, bool)
-        solid[1:-1] = kind == _WORD
-        edges = np.flatnonzero(solid[1:] != solid[:-1])
-        begin, end = edges[::2], edges[1::2]
+    def parts(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         if len(self.up) < len(data):
             n = max(len(data), 2 * STRETCH)
-            self.up, self.down = powers(_BASE, n), powers(pow(_BASE, -1, 1 << 64), n)
+            self.up, self.down = powers(self.base, n), powers(pow(self.base, -1, 1 << 64), n)
         sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(data * self.up[: len(data)], out=sums[1:])
-        words = mix((sums[end] - sums[begin]) * self.down[begin])
-        breaks = np.flatnonzero(kind == _BREAK)
-        return begin, end, words, np.searchsorted(breaks, begin)
-
-
-def phrases(words: np.ndarray, piece: np.ndarray, lang: np.ndarray, n: int, kept: int = 64) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints of the phrases of n words that begin at each word, and whether they lie in one piece. lang: a number for each word.
-    kept: the bits of a fingerprint; fewer make phrases share one."""
-    count = max(0, len(words) - n + 1)
-    h = lang[:count] + np.uint64(n)
-    for k in range(n):
-        h = h * _OUTER + words[k : k + count]
-    return (mix(h) >> np.uint64(64 - kept)).view(np.int64), piece[n - 1 :] == piece[:count]
-
-
-def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], list, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """langs and doc_ids of rows, lower-cased bytes, and begin, end, fingerprint, piece and row of each word; batches: lang, text, doc_id.
-    Rows of a batch are in the order of lang and doc_id; texts are joined up to ``STRETCH`` bytes, each in pieces of its own."""
-    hasher = Hasher()
-
-    def found(langs: list[str], ids: list, texts: list[bytes]) -> tuple:
-        data = _LOWER[np.frombuffer(b"\n".join(texts), np.uint8)]
-        begin, end, words, piece = hasher.words(data)
-        edges = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
-        return langs, ids, data, begin, end, words, piece, np.searchsorted(edges, begin, "right")
-
+        return mix((sums[end] - sums[begin]) * self.down[begin])
+
+
+def words_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin, end and piece of each word of lower-cased bytes."""
+    kind = _KIND[data]
+    solid = np.zeros(len(data) + 2, bool)
+    solid[1:-1] = kind == _WORD
+    edges = np.flatnonzero(solid[1:] != solid[:-1])
+    return edges[::2], edges[1::2], np.searchsorted(np.flatnonzero(kind == _BREAK), edges[::2])
+
+
+class Stretch:
+    """Some texts, joined by line ends: langs, doc_ids and lower-cased bytes of the rows; begin, end, hash, check, piece and row of each word."""
+
+    def __init__(self, langs: list[str], ids: list, texts: list[bytes], hashes: Polynomial, checks: Polynomial, kept: int):
+        self.langs, self.ids, self.kept = langs, ids, kept
+        self.data = _LOWER[np.frombuffer(b"\n".join(texts), np.uint8)]
+        self.begin, self.end, self.piece = words_of(self.data)
+        self.words, self.checks = (x.parts(self.data, self.begin, self.end) for x in (hashes, checks))
+        edges = np.concatenate(([0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)))
+        self.row = np.searchsorted(edges[1:], self.begin, "right")
+        self.lang = lang_numbers(langs)[self.row]
+        doc = np.array([0 if x is None else x for x in ids], np.int64).view(np.uint64)
+        self.place = mix(mix(doc)[self.row] + (self.begin - edges[self.row]).astype(np.uint64))
+
+    def phrases(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Fingerprints of the phrases of n words that begin at each word, and whether they lie in one piece. ``kept`` bits of a hash count;
+        fewer make phrases share a fingerprint. The lowest bit tells words from longer phrases."""
+        count = max(0, len(self.words) - n + 1)
+        h = self.lang[:count] + np.uint64(n)
+        for k in range(n):
+            h = h * _OUTER + self.words[k : k + count]
+        return (mix(h) >> np.uint64(64 - self.kept)).view(np.int64) & -2 | (n == 1), self.piece[n - 1 :] == self.piece[:count]
+
+    def checks_at(self, at: np.ndarray, n: int) -> np.ndarray:
+        """Checks of the phrases of n words that begin at these words."""
+        h = np.full(len(at), n, np.uint64)
+        for k in range(n):
+            h = h * _CHECK_OUTER + self.checks[at + k]
+        return (mix(h) >> np.uint64(33)).view(np.int64)
+
+    def pointers_at(self, at: np.ndarray) -> np.ndarray:
+        """A number for each place, made of doc_id and the byte in the text; the same in every pass."""
+        return (self.place[at] >> np.uint64(33)).view(np.int64)
+
+    def text(self, a: int, n: int) -> bytes:
+        return b" ".join(self.data[self.begin[a] : self.end[a + n - 1]].tobytes().split())
+
+
+def stretches(batches: Iterator[pa.RecordBatch], kept: int = 64) -> Iterator[Stretch]:
+    """batches: lang, text, doc_id. Texts are joined up to ``STRETCH`` bytes, each in pieces of its own."""
+    hashes, checks = Polynomial(_BASE), Polynomial(_CHECK_BASE)
     for batch in batches:
-        batch = batch.sort_by([("lang", "ascending"), ("doc_id", "ascending")])
         langs, ids, texts, size = [], [], [], 0
         for lang, text, doc_id in zip(batch.column(0).to_pylist(), byte_texts(batch.column(1)), batch.column(2).to_pylist(), strict=True):
             langs.append(lang)
@@ -121,10 +142,10 @@ def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], li
             texts.append(text)
             size += len(text)
             if size >= STRETCH:
-                yield found(langs, ids, texts)
+                yield Stretch(langs, ids, texts, hashes, checks, kept)
                 langs, ids, texts, size = [], [], [], 0
         if texts:
-            yield found(langs, ids, texts)
+            yield Stretch(langs, ids, texts, hashes, checks, kept)
 
 
 def lang_numbers(langs: list[str]) -> np.ndarray:
@@ -137,10 +158,10 @@ def positions(fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return fps & (bits - 1), (fps >> 32) & (bits - 1)
 
 
-def bit_map(spark: SparkSession, frequent: DataFrame, bits: int):
-    """A broadcast bit map of the fingerprints (column fp): bits / 8 bytes, however many they are."""
+def bit_map(spark: SparkSession, members: DataFrame, bits: int):
+    """A broadcast bit map of numbers (column fp): bits / 8 bytes, however many they are."""
     places = F.array(F.col("fp").bitwiseAND(bits - 1), F.shiftright("fp", 32).bitwiseAND(bits - 1))
-    at = frequent.select(F.explode(places).alias("at"))
+    at = members.select(F.explode(places).alias("at"))
     words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toArrow()
     table = np.zeros(bits // 64, np.int64)
     table[words["word"].to_numpy()] = words["bits"].to_numpy()
@@ -154,111 +175,154 @@ def holds(table: np.ndarray, fps: np.ndarray) -> np.ndarray:
     return found
 
 
-def counted(runs: Iterator[np.ndarray], most: int = RUN) -> Iterator[pa.RecordBatch]:
-    """fp, n: fingerprints counted in runs of about ``most``."""
+def owner_numbers(fps: np.ndarray, pointers: np.ndarray) -> np.ndarray:
+    """A number for a fingerprint at a place, the same as ``owner_number``."""
+    return fps ^ (pointers << 32) ^ (pointers << 1)
 
-    def batch_of(parts: list[np.ndarray]) -> pa.RecordBatch:
-        fps, n = np.unique(np.concatenate(parts), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(fps), pa.array(n)], names=["fp", "n"])
 
-    parts, size = [], 0
-    for fps in runs:
-        parts.append(fps)
+def owner_number(fp: F.Column, pointer: F.Column) -> F.Column:
+    return fp.bitwiseXOR(F.shiftleft(pointer, 32)).bitwiseXOR(F.shiftleft(pointer, 1))
+
+
+_SUMS = ("fp", "n", "checks", "pointer")
+
+
+def added_up(runs: Iterator[tuple[np.ndarray, np.ndarray | None, np.ndarray | None]], most: int = RUN) -> Iterator[pa.RecordBatch]:
+    """fp, n, checks (modulo ``MODULUS``), pointer (the least) of runs of about ``most`` fingerprints; those without checks are only noted, with
+    n = 0. runs: fingerprints, checks, pointers."""
+
+    def batch_of(parts: list[tuple], noted: list[np.ndarray]) -> pa.RecordBatch:
+        none = np.zeros(0, np.int64)
+        fps, checks, pointers = (np.concatenate([*(p[i] for p in parts), none]) for i in range(3))
+        order = np.argsort(fps)
+        fps, some = fps[order], np.unique(np.concatenate([*noted, none]))
+        starts = np.flatnonzero(np.concatenate(([True], fps[1:] != fps[:-1]))) if len(fps) else none
+        n = np.diff(np.append(starts, len(fps)))
+        sums, least = (f.reduceat(x[order], starts) if len(fps) else none for f, x in ((np.add, checks), (np.minimum, pointers)))
+        zeros = np.zeros(len(some), np.int64)
+        columns = ((fps[starts], some), (n, zeros), (sums % MODULUS, zeros), (least, zeros))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=list(_SUMS))
+
+    parts, noted, size = [], [], 0
+    for fps, checks, pointers in runs:
+        if checks is None:
+            noted.append(fps)
+        else:
+            parts.append((fps, checks, pointers))
         size += len(fps)
         if size >= most:
-            yield batch_of(parts)
-            parts, size = [], 0
+            yield batch_of(parts, noted)
+            parts, noted, size = [], [], 0
     if size:
-        yield batch_of(parts)
+        yield batch_of(parts, noted)
 
 
-def frequent_fingerprints(texts: DataFrame, runs, least: int, tag: str) -> DataFrame:
-    """fp of at least ``least`` occurrences, written. runs: from stretches to arrays of fingerprints.
+def frequent_fingerprints(texts: DataFrame, runs, least: int, kept: int, tag: str) -> DataFrame:
+    """fp, n, checks, pointer of fingerprints with at least ``least`` occurrences, or only noted (n = 0), written. runs: of a stretch.
 
-    Tasks count before the shuffle, so Spark gets the rows dealt by fingerprint and adds them up once, after it.
+    Tasks add up before the shuffle, so Spark gets the rows dealt by fingerprint and adds them up once, after it.
     """
-    found = texts.mapInArrow(lambda batches: counted(runs(stretches(batches))), "fp long, n long")
-    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    total = found.repartition(n, "fp").groupBy("fp").agg(F.sum("n").alias("n"))
-    return materialize(total.where(F.col("n") >= least).select("fp"), tag)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return added_up(x for stretch in stretches(batches, kept) for x in runs(stretch))
+
+    found = texts.mapInArrow(run, "fp long, n long, checks long, pointer long")
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = found.repartition(parts, "fp").groupBy("fp").agg(F.sum("n").alias("n"), F.sum("checks").alias("checks"), F.min("pointer").alias("pointer"))
+    return materialize(total.where((F.col("n") >= least) | (F.col("n") == 0)), tag)
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST_COUNT, longest: int = LONGEST, bits: int = FILTER_BITS, kept: int = 64) -> tuple[DataFrame, DataFrame]:
-    """(lang, phrase, words, f, doc_id) of all phrases of at least ``least`` occurrences, doc_id the smallest that holds it, and
+    """(lang, phrase, words, f) of all phrases of two words or more with at least ``least`` occurrences, and of the words of such pairs. And
     (lang, n) with the number of words."""
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
 
-    def short(found) -> Iterator[np.ndarray]:
-        for langs, _, _, _, _, words, piece, row in found:
-            of = lang_numbers(langs)[row]
-            for n in (1, 2):
-                fps, whole = phrases(words, piece, of, n, kept)
-                yield fps[whole]
-
-    few = frequent_fingerprints(texts, short, least, "frequent-pairs")
-    pairs = bit_map(spark, few, bits)
-
-    def long(found) -> Iterator[np.ndarray]:
-        for langs, _, _, _, _, words, piece, row in found:
-            of = lang_numbers(langs)[row]
-            fps, whole = phrases(words, piece, of, 2, kept)
-            good = holds(pairs.value, fps) & whole
-            run = good
-            for n in range(3, longest + 1):
-                run = run[:-1] & good[n - 2 :]
-                fps, _ = phrases(words, piece, of, n, kept)
-                yield fps[run]
-
-    many = few.union(frequent_fingerprints(texts, long, least, "frequent-phrases")) if longest > 2 else few
-    known = bit_map(spark, many, bits)
-
-    def batch_of(counts: dict[str, Counter], owners: dict[str, dict], totals: Counter) -> pa.RecordBatch:
-        rows = [(lang, len(words := text.split()), b" ".join(words), f, owners[lang][text]) for lang, some in counts.items() for text, f in some.items()]
-        rows += [(lang, 0, b"", n, None) for lang, n in totals.items()]
-        kinds = (pa.string(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["lang", "words", "phrase", "f", "doc_id"])
-
-    def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, owners, totals = defaultdict(Counter), defaultdict(dict), Counter()
-        for langs, ids, data, begin, end, words, piece, row in stretches(batches):
-            of, raw, names = lang_numbers(langs)[row], data.tobytes(), np.array(langs)[row]
-            owner = np.array(ids, object)[row]
-            for n in range(1, min(longest, len(words)) + 1):
-                fps, whole = phrases(words, piece, of, n, kept)
-                at = np.flatnonzero(whole & holds(known.value, fps))[::-1]  # backwards, so that the smallest doc_id is the last to own
-                edges = [0, *(np.flatnonzero(names[at[1:]] != names[at[:-1]]) + 1).tolist(), len(at)] if len(at) else []
-                for x, y in zip(edges, edges[1:], strict=False):
-                    some, lang = at[x:y], names[at[x]].item()
-                    found = [raw[a:b] for a, b in zip(begin[some].tolist(), end[some + n - 1].tolist(), strict=True)]
-                    counts[lang].update(found)
-                    mine, first = owners[lang], dict(zip(found, owner[some].tolist(), strict=True))
-                    mine.update((k, v) for k, v in first.items() if mine.get(k) is None or v is not None and v < mine[k])
-            for lang in set(langs):
-                totals[lang] += int(np.count_nonzero(names == lang))
-            if sum(map(len, counts.values())) >= TEXTS:
-                yield batch_of(counts, owners, totals)
-                counts, owners, totals = defaultdict(Counter), defaultdict(dict), Counter()
-        yield batch_of(counts, owners, totals)
-
-    schema = "lang string, words int, phrase binary, f long, doc_id long"
-    dealt = texts.mapInArrow(texts_of, schema).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "lang", "phrase")
-    named = dealt.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f"), F.min("doc_id").alias("doc_id"))
-    named = materialize(named.where((F.col("f") >= least) | (F.col("words") == 0)), "phrases")
-    return named.where("words > 0").withColumn("phrase", F.col("phrase").cast("string")), named.where("words = 0").select("lang", F.col("f").alias("n"))
+    def summed(stretch: Stretch, fps: np.ndarray, at: np.ndarray, n: int) -> tuple:
+        return fps[at], stretch.checks_at(at, n), stretch.pointers_at(at)
+
+    def short(stretch: Stretch) -> Iterator[tuple]:
+        for n in (1, 2):
+            fps, whole = stretch.phrases(n)
+            yield summed(stretch, fps, np.flatnonzero(whole), n)
+
+    few = frequent_fingerprints(texts, short, least, kept, "frequent-pairs")
+    is_word = F.col("fp").bitwiseAND(1) == 1
+    pairs = bit_map(spark, few.where(~is_word), bits)
+
+    def long(stretch: Stretch) -> Iterator[tuple]:
+        fps, whole = stretch.phrases(2)
+        run = good = holds(pairs.value, fps) & whole
+        at = np.flatnonzero(good)
+        yield np.unique(stretch.phrases(1)[0][np.concatenate([at, at + 1])]), None, None
+        for n in range(3, longest + 1):
+            run = run[:-1] & good[n - 2 :]
+            yield summed(stretch, stretch.phrases(n)[0], np.flatnonzero(run), n)
+
+    more = frequent_fingerprints(texts, long, least, kept, "frequent-phrases")
+    noted, longer = more.where("n = 0"), more.where("n > 0")
+    frequent = materialize(few.where(is_word).join(noted.select("fp"), "fp", "left_semi").union(few.where(~is_word)).union(longer), "frequent")
+    owners = bit_map(spark, frequent.select(owner_number(F.col("fp"), F.col("pointer")).alias("fp")), bits)
+
+    def owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: Counter = Counter()
+        for stretch in stretches(batches, kept):
+            rows = []
+            for n in range(1, min(longest, len(stretch.words)) + 1):
+                fps, whole = stretch.phrases(n)
+                at = np.flatnonzero(whole & holds(owners.value, owner_numbers(fps, stretch.pointers_at(np.arange(len(fps))))))
+                rows += zip(fps[at].tolist(), stretch.pointers_at(at).tolist(), stretch.checks_at(at, n).tolist(), [stretch.langs[r] for r in stretch.row[at].tolist()], [n] * len(at), [stretch.text(a, n) for a in at.tolist()], strict=True)
+            for lang, count in zip(stretch.langs, np.bincount(stretch.row, minlength=len(stretch.langs)).tolist(), strict=True):
+                totals[lang] += count
+            yield batch_of(rows)
+        yield batch_of([(0, n, 0, lang, 0, b"") for lang, n in totals.items()])
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["fp", "pointer", "check", "lang", "words", "phrase"])
+
+    named = materialize(texts.mapInArrow(owned, "fp long, pointer long, check long, lang string, words int, phrase binary"), "named-phrases")
+    totals = named.where("words = 0").groupBy("lang").agg(F.sum("pointer").alias("n"))
+    one = named.where("words > 0").groupBy("fp", "pointer").agg(F.min(F.struct("lang", "words", "phrase", "check")).alias("x"))
+    verified = materialize(frequent.join(one, ["fp", "pointer"], "left"), "verified-phrases")
+    right = F.coalesce(F.pmod(F.pmod("n", F.lit(MODULUS)) * F.col("x.check"), F.lit(MODULUS)) == F.pmod("checks", F.lit(MODULUS)), F.lit(False))
+    found = verified.where(right).select("x.lang", F.col("x.phrase").cast("string").alias("phrase"), "x.words", F.col("n").alias("f"))
+    failed = verified.where(~right).select("fp")
+    if failed.limit(1).count():
+        found = found.unionByName(counted_by_text(texts, bit_map(spark, failed, bits), failed, least, longest, kept))
+    return found, totals
+
+
+def counted_by_text(texts: DataFrame, shared, fps: DataFrame, least: int, longest: int, kept: int) -> DataFrame:
+    """lang, phrase, words, f of the phrases whose fingerprint is among ``fps``; ``shared``: their bit map."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for stretch in stretches(batches, kept):
+            counts: Counter = Counter()
+            for n in range(1, min(longest, len(stretch.words)) + 1):
+                found, whole = stretch.phrases(n)
+                at = np.flatnonzero(whole & holds(shared.value, found))
+                counts.update((fp, stretch.langs[r], n, stretch.text(a, n)) for a, fp, r in zip(at.tolist(), found[at].tolist(), stretch.row[at].tolist(), strict=True))
+            rows = [(*key, f) for key, f in counts.items()]
+            kinds = (pa.int64(), pa.string(), pa.int32(), pa.binary(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["fp", "lang", "words", "phrase", "f"])
+
+    found = texts.mapInArrow(run, "fp long, lang string, words int, phrase binary, f long").join(fps, "fp", "left_semi")
+    total = found.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    return materialize(total.select("lang", F.col("phrase").cast("string").alias("phrase"), "words", "f"), "counted-phrases")
 
 
 def scored(found: DataFrame) -> DataFrame:
-    """lang, phrase, words, a, doc_id, l, r, score of every phrase of two words and more, by its lowest-scoring cut."""
+    """lang, phrase, words, a, l, r, score of every phrase of two words and more, by its lowest-scoring cut."""
     parts = F.split("phrase", " ")
     joined = lambda x: F.array_join(x, " ")
-    cuts = found.where("words > 1").select("lang", "phrase", "words", F.col("f").alias("a"), "doc_id", parts.alias("w"), F.explode(F.sequence(F.lit(1), F.col("words") - 1)).alias("k"))
-    cuts = cuts.select("lang", "phrase", "words", "a", "doc_id", "k", joined(F.slice("w", F.lit(1), F.col("k"))).alias("left"), joined(F.slice("w", F.col("k") + 1, F.col("words"))).alias("right"))
+    cuts = found.where("words > 1").select("lang", "phrase", "words", F.col("f").alias("a"), parts.alias("w"), F.explode(F.sequence(F.lit(1), F.col("words") - 1)).alias("k"))
+    cuts = cuts.select("lang", "phrase", "words", "a", "k", joined(F.slice("w", F.lit(1), F.col("k"))).alias("left"), joined(F.slice("w", F.col("k") + 1, F.col("words"))).alias("right"))
     known = lambda name, f: found.select("lang", F.col("phrase").alias(name), F.col("f").alias(f))
     both = cuts.join(known("left", "l"), ["lang", "left"]).join(known("right", "r"), ["lang", "right"])
     score = F.expr(f"cast({SCALE} as decimal(10,0)) * cast(a as decimal(19,0)) div (cast(l as decimal(19,0)) + cast(r as decimal(19,0)))")
-    best = both.groupBy("lang", "phrase", "words", "a", "doc_id").agg(F.min(F.struct(score.alias("score"), "k", "l", "r")).alias("cut"))
-    return best.select("lang", "phrase", "words", "a", "doc_id", "cut.l", "cut.r", F.col("cut.score").cast("long").alias("score"))
+    best = both.groupBy("lang", "phrase", "words", "a").agg(F.min(F.struct(score.alias("score"), "k", "l", "r")).alias("cut"))
+    return best.select("lang", "phrase", "words", "a", "cut.l", "cut.r", F.col("cut.score").cast("long").alias("score"))
 
 
 def independent(candidates: DataFrame, within: int = WITHIN) -> DataFrame:
@@ -280,7 +344,7 @@ def top(candidates: DataFrame, most: int = TOP) -> DataFrame:
 
 
 def collocations(docs: DataFrame, least: int = LEAST_COUNT, most: int = TOP) -> DataFrame:
-    """Per language the first ``most`` phrases: lang, rank, phrase, a, l, r, n, score, first_doc_id."""
+    """Per language the first ``most`` phrases: lang, rank, phrase, a, l, r, n, score."""
     found, totals = frequent_phrases(docs, least)
     best = top(independent(materialize(scored(found), "scored-phrases")), most)
-    return best.join(F.broadcast(totals), "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score", F.col("doc_id").alias("first_doc_id"))
+    return best.join(F.broadcast(totals), "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

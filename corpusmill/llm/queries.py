@@ -117,14 +117,14 @@ SELECT r.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(c) AS co
     "op11_collocations": r"""WITH p AS (SELECT doc_id, coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
 w AS (SELECT doc_id, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
 g AS (SELECT doc_id, lang, k AS words, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase FROM w, unnest([1, 2, 3, 4]) a(k), unnest(range(1, len(w) - k + 2)) b(i)),
-f AS (SELECT lang, words, phrase, count(*)::BIGINT AS f, min(doc_id) AS doc_id FROM g GROUP BY ALL HAVING count(*) >= 30),
+f AS (SELECT lang, words, phrase, count(*)::BIGINT AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
 n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
-x AS (SELECT c.lang, c.phrase, c.words, c.f AS a, c.doc_id, k, l.f AS l, r.f AS r, ((2000000::HUGEINT * c.f) // (l.f::HUGEINT + r.f))::BIGINT AS score
+x AS (SELECT c.lang, c.phrase, c.words, c.f AS a, k, l.f AS l, r.f AS r, ((2000000::HUGEINT * c.f) // (l.f::HUGEINT + r.f))::BIGINT AS score
 FROM f c, unnest(range(1, c.words)) u(k) JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(list_slice(string_split(c.phrase, ' '), 1, k), ' ')
 JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(list_slice(string_split(c.phrase, ' '), k + 1, c.words), ' ') WHERE c.words > 1),
 s AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
 d AS (SELECT DISTINCT c.lang, c.phrase FROM s c JOIN s o ON o.lang = c.lang AND o.words > c.words AND contains(' ' || o.phrase || ' ', ' ' || c.phrase || ' ') AND 100::HUGEINT * o.a >= 80::HUGEINT * c.a)
-SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score, doc_id AS first_doc_id
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
 FROM s ANTI JOIN d USING (lang, phrase) JOIN n USING (lang) QUALIFY rank <= 2000""",
     "op13_fill_in_middle": r"""WITH t AS (SELECT doc_id, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
 c AS (SELECT doc_id, x, u, len(u)::BIGINT AS n, list_transform(range(4), lambda k: ('0x' || substr(h, 8 * k + 1, 8))::BIGINT) AS h FROM t),
