@@ -61,19 +61,24 @@ def manifest(documents: DataFrame, chunks: DataFrame) -> DataFrame:
     return newest.join(held, "doc_id", "left").select("doc_id", "doc_hash", F.coalesce("chunks", F.create_map().cast("map<string,string>")).alias("chunks"))
 
 
-def manifest_hash(m: DataFrame) -> DataFrame:
-    """One hash of a manifest. Each document is hashed where it lies; hashes that begin alike are joined in their order and hashed
-    in turn, ``FAN`` or so at once, level by level, so that no task joins more however many documents there are."""
-    entries = F.array_join(F.transform(F.array_sort(F.map_entries("chunks")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
-    each = m.select("doc_id", F.sha2(F.concat_ws("|", F.col("doc_id").cast("string"), "doc_hash", entries), 256).alias("h"))
+def tree_hash(rows: DataFrame) -> DataFrame:
+    """One hash (column hash) of rows' hashes (column h), whatever their order. Hashes that begin alike are joined in their order and hashed
+    in turn, ``FAN`` or so at once, level by level, so that no task joins more however many rows there are."""
     together = lambda *c: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*c))), lambda x: x["h"]), ""), 256)
-    level, digits, count = each.select(F.col("h").alias("at"), "h"), 0, m.count()
+    level, digits, count = rows.select(F.col("h").alias("at"), "h"), 0, rows.count()
     while count > FAN * 16**digits:
         digits += DIGITS
     while digits:
         level = level.groupBy(F.left("at", F.lit(digits)).alias("b")).agg(together("at", "h").alias("h")).select(F.col("b").alias("at"), "h")
         digits -= DIGITS
-    return level.agg(together("at", "h").alias("manifest_hash"))
+    return level.agg(together("at", "h").alias("hash"))
+
+
+def manifest_hash(m: DataFrame) -> DataFrame:
+    """One hash of a manifest, the ``tree_hash`` of its documents, each hashed where it lies."""
+    entries = F.array_join(F.transform(F.array_sort(F.map_entries("chunks")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+    each = m.select(F.sha2(F.concat_ws("|", F.col("doc_id").cast("string"), "doc_hash", entries), 256).alias("h"))
+    return tree_hash(each).withColumnRenamed("hash", "manifest_hash")
 
 
 def manifest_diff(old: DataFrame, new: DataFrame) -> DataFrame:
