@@ -40,7 +40,9 @@ WITHIN = 80
 SCALE = 2_000_000
 FILTER_BITS = 1 << 27
 #: Bytes of text hashed at once, and fingerprints counted at once.
-STRETCH, RUN = 1 << 17, 4_000_000
+STRETCH, RUN = 1 << 17, 3_000_000
+#: Rows of an Arrow batch that goes back to the JVM.
+ROWS = 250_000
 #: Sums of checks are taken modulo this; pointers are below it.
 MODULUS = 1 << 31
 #: Shares into which the ranking of a language is dealt first.
@@ -191,30 +193,37 @@ def added_up(runs: Iterator[tuple[np.ndarray, np.ndarray | None, np.ndarray | No
     """fp, n, checks (modulo ``MODULUS``), pointer (the least) of runs of about ``most`` fingerprints; those without checks are only noted, with
     n = 0. runs: fingerprints, checks, pointers."""
 
-    def batch_of(parts: list[tuple], noted: list[np.ndarray]) -> pa.RecordBatch:
+    def batches_of(parts: list[tuple], noted: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         none = np.zeros(0, np.int64)
-        fps, checks, pointers = (np.concatenate([*(p[i] for p in parts), none]) for i in range(3))
+        fps = np.concatenate([*(p[0] for p in parts), none])
         order = np.argsort(fps)
         fps, some = fps[order], np.unique(np.concatenate([*noted, none]))
         starts = np.flatnonzero(np.concatenate(([True], fps[1:] != fps[:-1]))) if len(fps) else none
         n = np.diff(np.append(starts, len(fps)))
-        sums, least = (f.reduceat(x[order], starts) if len(fps) else none for f, x in ((np.add, checks), (np.minimum, pointers)))
-        zeros = np.zeros(len(some), np.int64)
-        columns = ((fps[starts], some), (n, zeros), (sums % MODULUS, zeros), (least, zeros))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=list(_SUMS))
+        fps = np.concatenate([fps[starts], some])
+
+        def reduced(f: np.ufunc, i: int) -> np.ndarray:
+            values = np.concatenate([*(p[i] for p in parts), none[:0].astype(np.int32)])[order]
+            return f.reduceat(values, starts, dtype=np.int64) if len(starts) else none
+
+        rest = np.zeros(len(some), np.int64)
+        columns = [fps, *(np.concatenate([x, rest]) for x in (n, reduced(np.add, 1) % MODULUS, reduced(np.minimum, 2)))]
+        parts.clear()
+        for k in range(0, len(fps), ROWS):
+            yield pa.RecordBatch.from_arrays([pa.array(c[k : k + ROWS]) for c in columns], names=list(_SUMS))
 
     parts, noted, size = [], [], 0
     for fps, checks, pointers in runs:
         if checks is None:
             noted.append(fps)
         else:
-            parts.append((fps, checks, pointers))
+            parts.append((fps, checks.astype(np.int32), pointers.astype(np.int32)))
         size += len(fps)
         if size >= most:
-            yield batch_of(parts, noted)
+            yield from batches_of(parts, noted)
             parts, noted, size = [], [], 0
     if size:
-        yield batch_of(parts, noted)
+        yield from batches_of(parts, noted)
 
 
 def frequent_fingerprints(texts: DataFrame, runs, least: int, kept: int, tag: str) -> DataFrame:
