@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import pii
 from ..functions import signatures as sg
 from ..functions import text as tx
-from ..operators import chunking, html, ingest, langid
+from ..operators import chunking, html, ingest, langid, ngram_language
 from ..sources import chunks as files
 from ..sources.shared import table
 from .registry import CHUNKS, chunks_of, query
@@ -165,6 +165,37 @@ def c12_languages(s, d):
     return table(s, d, "documents").select("doc_id", langid.detect(F.col("text")).alias("detected"))
 
 
+#: Trigram profiles of documents that aren't held out, in SQL.
+PROFILES = r"""WITH t AS (SELECT doc_id, lang, trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}]+', ' ', 'g')) AS x FROM documents),
+g AS (SELECT doc_id, lang, substr(' ' || x || ' ', i, 3) AS gram FROM t, unnest(range(1, length(x) + 1)) u(i) WHERE x <> ''),
+c AS (SELECT gram, lang, count(*) AS c FROM g WHERE lang IS NOT NULL AND doc_id % 5 <> 0 GROUP BY 1, 2),
+k AS (SELECT gram FROM c GROUP BY gram ORDER BY sum(c) DESC, gram LIMIT 50000), n AS (SELECT lang, sum(c) AS n FROM c SEMI JOIN k USING (gram) GROUP BY 1),
+p AS (SELECT k.gram, n.lang, ln((coalesce(c.c, 0) + 0.5) / (n.n + 0.5 * (SELECT count(*) FROM k))) AS w FROM k CROSS JOIN n LEFT JOIN c ON c.gram = k.gram AND c.lang = n.lang)
+"""
+#: Detected languages of ``said`` (id, gram): ``found`` (id, detected).
+BEST = """s AS (SELECT id, lang, sum(w) AS s, count(*) AS n FROM said JOIN p USING (gram) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, lang) AS r FROM s),
+found AS (SELECT a.id, CASE WHEN a.s - b.s >= 0.1 * a.n THEN a.lang END AS detected FROM r a JOIN r b ON a.id = b.id AND a.r = 1 AND b.r = 2)"""
+
+
+def _profiles(s, d):
+    """Learnt from four fifths of the documents."""
+    return ngram_language.fit(table(s, d, "documents").where("doc_id % 5 <> 0"))
+
+
+@query(PROFILES + ", said AS (SELECT doc_id AS id, gram FROM g), " + BEST + " SELECT doc_id, detected, doc_id % 5 = 0 AS held_out FROM documents LEFT JOIN found ON id = doc_id")
+def c12_ngram_languages(s, d):
+    found = ngram_language.detect(table(s, d, "documents").select("doc_id", "text"), "doc_id", _profiles(s, d))
+    return found.select("doc_id", "detected", (F.col("doc_id") % 5 == 0).alias("held_out"))
+
+
+@query(CHUNKS + ", " + PROFILES.removeprefix("WITH ") + r""", b AS (SELECT doc_id, ord, trim(regexp_replace(lower(text), '[^\p{L}]+', ' ', 'g')) AS x FROM chunks),
+said AS (SELECT doc_id || '-' || ord AS id, substr(' ' || x || ' ', i, 3) AS gram FROM b, unnest(range(1, length(x) + 1)) u(i) WHERE x <> ''), """ + BEST + """
+SELECT doc_id, ord, first(detected IGNORE NULLS) OVER (PARTITION BY doc_id, ord // 3 ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS page_lang FROM chunks LEFT JOIN found ON id = doc_id || '-' || ord""")
+def d13_ngram_page_languages(s, d):
+    blocks = chunks_of(s, d).select("doc_id", (F.floor(F.col("order") / 3) + 1).alias("page"), F.col("order").alias("block_no"), "text")
+    return ngram_language.page_languages(blocks, _profiles(s, d)).select("doc_id", F.col("block_no").cast("long").alias("ord"), "page_lang")
+
+
 @query("SELECT doc_id, coalesce(CASE lower(l) WHEN 'eng' THEN 'en' WHEN 'spa' THEN 'es' WHEN 'fra' THEN 'fr' WHEN 'deu' THEN 'de' END, left(lower(l), 2)) AS code FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN lang ELSE CASE lang WHEN 'en' THEN 'ENG' WHEN 'es' THEN 'spa' WHEN 'fr' THEN 'fra' ELSE 'deu' END END AS l FROM documents)")
 def c13_language_codes(s, d):
     three = F.when(F.col("lang") == "en", "ENG").when(F.col("lang") == "es", "spa").when(F.col("lang") == "fr", "fra").otherwise("deu")
