@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import listing, routing
-from ..sources import exports
+from ..sources import exports, store
 from ..sources.shared import new_folder, table
-from .curation_queries import _manifests
+from .curation_queries import NEW, _manifests, _versions
 from .registry import AUDITS, CHUNKS, audits_of, chunks_of, query
 from .text_queries import _records
 
@@ -107,3 +107,16 @@ def b7_indexed_search(s, d):
     rows = listing.list_documents(*_stored_documents(s, d)).select("doc_id", "metadata")
     found, verified = listing.search(listing.gram_index(rows, "doc_id", "metadata"), rows, "doc_id", "metadata", 'SRC1%"n12')
     return found.withColumn("few", F.lit(verified is not None and 2 * verified < rows.count()))
+
+
+@query(NEW + """SELECT doc_id, ord, text_hash, 1 AS rev FROM chunks WHERE doc_id % 10 <> 3 UNION ALL
+SELECT n.doc_id, n.ord, n.text_hash, CASE WHEN n.text_hash = o.text_hash THEN 1 ELSE 2 END FROM nw n JOIN chunks o ON o.doc_id = n.doc_id AND o.ord = n.ord WHERE n.doc_id % 10 = 3""")
+def k7_stored_upsert(s, d):
+    """All documents stored, then the second state of a tenth of them brought in, twice, and the log folded into one."""
+    old, new = _versions(s, d)
+    kept = store.ChunkStore(s, new_folder(s, "chunk-store"), "long")
+    kept.upsert(old, "first")
+    for _ in range(2):
+        kept.upsert(new.where("doc_id % 10 = 3"), "second")
+    kept.compact()
+    return kept.read().select("doc_id", F.col("order").cast("long").alias("ord"), "text_hash", "rev")

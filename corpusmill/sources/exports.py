@@ -53,20 +53,25 @@ def export_id(settings: Settings, doc_ids: DataFrame) -> str:
     return files.export_id(asdict(settings) | {"template": settings.template_hash(), "documents": h})
 
 
-def _file_system(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path as it takes it."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
-def commit(spark: SparkSession, path: str, content: dict) -> None:
-    """Writes a small JSON file at once: readers see it whole or not at all. One that is there already stays."""
-    fs, at = _file_system(spark, path)
-    _, draft = _file_system(spark, f"{path}.{uuid.uuid4().hex}")
+def commit(spark: SparkSession, path: str, content: dict) -> bool:
+    """Writes a small JSON file at once: readers see it whole or not at all. One that is there already stays; whether this one counts."""
+    fs, at = file_system(spark, path)
+    if fs.exists(at):
+        return False
+    _, draft = file_system(spark, f"{path}.{uuid.uuid4().hex}")
     out = fs.create(draft, True)
     out.write(bytearray(json.dumps(content, sort_keys=True).encode()))
     out.close()
-    if fs.exists(at) or not fs.rename(draft, at):
-        fs.delete(draft, False)
+    if not fs.exists(at) and fs.rename(draft, at):
+        return True
+    fs.delete(draft, False)
+    return False
 
 
 def read_manifest(spark: SparkSession, folder: str) -> dict | None:
