@@ -10,6 +10,7 @@ from ..functions import pii
 from ..functions import signatures as sg
 from ..functions import text as tx
 from ..operators import curation, quality, releases, retrieval
+from ..sources import archives
 from ..sources import chunks as files
 from ..sources.shared import new_folder, table
 from .registry import CHUNKS, chunks_of, query
@@ -74,15 +75,26 @@ def b5_first_location(s, d):
     return table(s, d, "customer").select("c_custkey", releases.first_location("f", own, other).alias("found"))
 
 
+@query("SELECT row_number() OVER (ORDER BY 'k' || page_id // 40 || '.zip', 'p' || lpad(page_id::VARCHAR, 9, '0') || '.html') - 1 AS page_id, 'p' || lpad(page_id::VARCHAR, 9, '0') || '.html' AS url, md5(coalesce(html, '')) AS digest, (SELECT count(*) FROM pages) AS members FROM pages")
+def a3_html_archives(s, d):
+    """Pages written as archives of forty, and read by the archives' indexes."""
+    folder = new_folder(s, "archives")
+    name = F.concat(F.lit("p"), F.lpad(F.col("page_id").cast("string"), 9, "0"), F.lit(".html"))
+    pages = table(s, d, "pages").select(F.concat(F.lit("k"), F.floor(F.col("page_id") / 40).cast("string")).alias("archive"), name.alias("url"), "html")
+    members = archives.write_archives(pages, folder).agg(F.sum("members").alias("n")).first()["n"]
+    found, _ = archives.read_html(s, folder)
+    return found.select("page_id", "url", F.md5(F.col("html").cast("binary")).alias("digest"), F.lit(members).cast("long").alias("members"))
+
+
 @query(r"SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''))::INTEGER AS words, length(text)::INTEGER AS own FROM documents")
 def c6_token_lengths(s, d):
     return table(s, d, "documents").select("doc_id", tx.token_length(F.col("text")).alias("words"), tx.token_length(F.col("text"), F.length).alias("own"))
 
 
-@query(CHUNKS + r""", m AS (SELECT doc_id, ord, list_transform(range(8), lambda i: list_min(list_transform(list_distinct(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')), lambda t: sha1(t || '-' || i)))) AS a FROM chunks)
-SELECT doc_id, ord, CASE WHEN b IS NULL THEN 0.0 ELSE len(list_filter(range(1, 9), lambda i: a[i] = b[i])) / 8.0 END::DOUBLE AS similarity FROM (SELECT *, lag(a) OVER (PARTITION BY doc_id ORDER BY ord) AS b FROM m)""")
+@query(CHUNKS + r""", m AS (SELECT doc_id, ord, list_transform(range(64), lambda i: list_min(list_transform(list_distinct(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')), lambda t: sha1(t || '-' || i)))) AS a FROM chunks)
+SELECT doc_id, ord, CASE WHEN b IS NULL THEN 0.0 ELSE len(list_filter(range(1, 65), lambda i: a[i] = b[i])) / 64.0 END::DOUBLE AS similarity FROM (SELECT *, lag(a) OVER (PARTITION BY doc_id ORDER BY ord) AS b FROM m)""")
 def f3_signature_jaccard(s, d):
-    m = chunks_of(s, d).select("doc_id", F.col("order").cast("long").alias("ord"), sg.minhash(F.col("text"), 8).alias("a"))
+    m = chunks_of(s, d).select("doc_id", F.col("order").cast("long").alias("ord"), sg.minhash(F.col("text")).alias("a"))
     before = F.lag("a").over(Window.partitionBy("doc_id").orderBy("ord"))
     return m.withColumn("b", before).select("doc_id", "ord", sg.signature_jaccard(F.col("a"), F.coalesce("b", F.array().cast("array<string>"))).cast("double").alias("similarity"))
 

@@ -409,6 +409,15 @@ def d12_line_layout(s, d):
     return kept.join(b.select("doc_id", "block_no", "kind", "type"), ["doc_id", "block_no"]).select("doc_id", "line_no", F.when(F.col("type") != "text", "table").otherwise(F.coalesce("kind", F.lit("text"))).alias("kind"))
 
 
+@query(rf"""WITH l AS ({_DOC_LINES}), x AS (SELECT doc_id, line_no, CASE WHEN line_no % 4 = 1 THEN upper(replace(text, 'ß', 'SS')) ELSE text END AS text FROM l),
+k AS (SELECT *, CASE WHEN upper(replace(text, 'ß', 'SS')) = text AND regexp_matches(text, '\p{{Lu}}') THEN trim(text) END AS heading FROM x WHERE trim(text) <> '')
+SELECT doc_id, line_no, coalesce(last_value(heading IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING), 'INTRO') AS section FROM k""")
+def d12_upper_case_sections(s, d):
+    """Lines of documents, every fourth in capitals."""
+    lines = _doc_lines(s, d).withColumn("text", F.when(F.col("line_no") % 4 == 1, F.upper("text")).otherwise(F.col("text")))
+    return chunking.upper_case_sections(lines).select("doc_id", "line_no", "section")
+
+
 @query(CHUNKS + f""", p AS (SELECT doc_id, (ord // 3 + 1)::BIGINT AS page, string_agg(text, ' ' ORDER BY ord) AS t FROM chunks GROUP BY 1, 2) SELECT doc_id, page, {language('t')} AS lang FROM p""")
 def d13_page_languages(s, d):
     c = chunks_of(s, d).select("doc_id", (F.floor(F.col("order") / 3) + 1).alias("page"), F.col("order").alias("block_no"), "text")
