@@ -93,17 +93,18 @@ def vector_top_k(query: list[float], vectors: DataFrame, k: int) -> DataFrame:
 QUERY_BLOCK, VECTOR_BLOCK, QUERY_SLICE = 16384, 8192, 256
 
 
-def _best_by_blocks(queries: DataFrame, vectors: DataFrame, k: int, scope: str | None, least: float | None, scores) -> DataFrame:
+def _best_by_blocks(queries: DataFrame, vectors: DataFrame, k: int, scope: str | None, least: float | None, scores, counted: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """For each query (query_id, ...) the k vectors (vec_id, ...) of highest score: query_id, vec_id, score, rank; scores are rounded to nine
     places, those below ``least`` are left out, ties go to the smaller id. ``scores``: of two tables an array for each query, in order.
 
     A task holds one block of queries and one of vectors of one scope and keeps k rows a query, which are merged after. Vectors are
     copied once for each block of queries of their scope, queries for each block of vectors; vectors of scopes that no query asks for
-    are left out before.
+    are left out before. ``counted``: tables to count instead of queries and vectors, where these take work to make; they may hold more rows.
     """
     scope = scope or "_all"
+    of_queries, of_vectors = counted or (queries, vectors)
     blocks = lambda df, most, into: df.groupBy(scope).agg(F.ceil(F.count("*") / most).alias(into))
-    sizes = materialize(blocks(queries, QUERY_BLOCK, "n_q").join(blocks(vectors, VECTOR_BLOCK, "n_v"), scope), "scopes")
+    sizes = materialize(blocks(of_queries, QUERY_BLOCK, "n_q").join(blocks(of_vectors, VECTOR_BLOCK, "n_v"), scope), "scopes")
     copies = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     asked = queries.join(sizes, scope).select(*queries.columns, F.pmod(F.xxhash64("query_id"), "n_q").alias("qb"), copies("n_v").alias("vb"))
     held = vectors.join(sizes, scope).select(*vectors.columns, F.pmod(F.xxhash64("vec_id"), "n_v").alias("vb"), copies("n_q").alias("qb"))
@@ -156,12 +157,13 @@ def _sparse_scores(q: pa.Table, v: pa.Table) -> Iterator[np.ndarray]:
         yield np.bincount(rows[place], np.repeat(w, long) * weights[place], minlength=v.num_rows)
 
 
-def sparse_top_k(queries: DataFrame, rows: DataFrame, k: int, query_key: str = "query_id", key: str = "chunk_id", scope: str | None = None) -> DataFrame:
+def sparse_top_k(queries: DataFrame, rows: DataFrame, k: int, query_key: str = "query_id", key: str = "chunk_id", scope: str | None = None, counted: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """For each query the k rows of highest inner product, of those that share a bucket with it: query, key, score, rank. queries and rows:
-    key, buckets and weights, as ``sparse_vectors`` gives them, and ``scope``, if a query meets only rows of its own value there."""
+    key, buckets and weights, as ``sparse_vectors`` gives them, and ``scope``, if a query meets only rows of its own value there.
+    ``counted``: tables with the scopes of queries and rows, to be counted instead of them."""
     place = F.lit(0) if scope is None else F.col(scope)
     own = lambda df, name, into: df.where("size(buckets) > 0").select(F.col(name).alias(into), place.alias(scope or "_all"), F.col("buckets").alias("buckets"), F.col("weights").alias("weights"))
-    found = _best_by_blocks(own(queries, query_key, "query_id"), own(rows, key, "vec_id"), k, scope, 1e-9, _sparse_scores)
+    found = _best_by_blocks(own(queries, query_key, "query_id"), own(rows, key, "vec_id"), k, scope, 1e-9, _sparse_scores, counted)
     return found.select(F.col("query_id").alias(query_key), F.col("vec_id").alias(key), "score", "rank")
 
 
@@ -211,7 +213,7 @@ def evidence(prompts: DataFrame, chunks: DataFrame, k: int = 4, most_candidates:
     once = materialize(once, "candidates")
     # Keys take the scope along, so that vectors need no join to learn it.
     scoped_vectors = lambda df, key, text: sparse_vectors(df.select(F.struct(key, "scope").alias("_k"), text), "_k", text).select(f"_k.{key}", "_k.scope", "buckets", "weights")
-    near = sparse_top_k(scoped_vectors(scoped, "prompt_id", "prompt"), scoped_vectors(once, "chunk_id", "text"), 3 * k, "prompt_id", scope="scope").withColumnRenamed("score", "similarity").drop("rank")
+    near = sparse_top_k(scoped_vectors(scoped, "prompt_id", "prompt"), scoped_vectors(once, "chunk_id", "text"), 3 * k, "prompt_id", scope="scope", counted=(scoped, once)).withColumnRenamed("score", "similarity").drop("rank")
     full = near.join(scoped, "prompt_id").join(once, ["chunk_id", "scope"])
     scored = full.withColumn("rank_score", rank_score(F.col("similarity"), F.coalesce(F.col("doc_id") == F.col("_doc"), F.lit(False)), F.col("section_path"), F.col("prompt"), F.col("text"))).where(F.col("rank_score") >= LEAST_SCORE)
     best = Window.partitionBy("prompt_id").orderBy(F.desc(F.round("rank_score", 9)), "chunk_id")
