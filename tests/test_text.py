@@ -93,3 +93,17 @@ def test_shingle_simhash_as_a_column_equals_the_step(spark):
     column = {r["id"]: r["sim"] for r in rows.select("id", sg.shingle_simhash(F.col("t")).alias("sim")).where("sim is not null").collect()}
     step = {r["id"]: r["sim"] for r in sg.with_shingle_simhash(rows, "id", F.col("t")).collect()}
     assert column == step and len(column) == len(texts) and column[5] != column[6]
+
+
+def test_signatures_of_a_table_equal_those_of_columns(spark, monkeypatch):
+    monkeypatch.setattr(sg, "WORDS_AT_ONCE", 7)
+    monkeypatch.setattr(sg, "REMEMBERED", 5)
+    monkeypatch.setattr(sg, "TEXTS_AT_ONCE", 4)
+    texts = [None, "", " ", "one", "one two one", "Two  two three é漢", "a b c d a b c", "x " * 500, "a b c d a b d"] * 4
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string").repartition(2)
+    table = {r["id"]: (r["sim"], r["mins"]) for r in sg.with_signatures(rows, "id", "t", 9).collect()}
+    columns = {r["id"]: (r["sim"], r["mins"]) for r in rows.select("id", sg.simhash(F.col("t")).alias("sim"), sg.minhash(F.col("t"), 9).alias("mins")).collect()}
+    prefix = lambda x: int.from_bytes(bytes.fromhex(x[:16]), "big", signed=True) if len(x) > 1 else 0
+    assert len(table) == len(texts)
+    for i, t in enumerate(texts):
+        assert table[i] == ((columns[i][0], [prefix(x) for x in columns[i][1]]) if t else (0, [0] * 9))
