@@ -123,7 +123,12 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE
         (F.xxhash64(text) if cluster is None else cluster).alias("cluster"),
         row_of().alias("row"),
     )
-    shards = max(1, -(-docs.count() // shard_rows))
+    return pack_sized(sized, capacity, per_source, shard_rows)
+
+
+def pack_sized(sized: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """``pack`` for documents whose words are counted already: doc_id, n (words), source, cluster, row; texts are not needed."""
+    shards = max(1, -(-sized.count() // shard_rows))
     sharded = sized.withColumn("shard", F.pmod("row", F.lit(shards)))
 
     def run(table: pa.Table) -> pa.Table:

@@ -528,6 +528,37 @@ def test_jaccard_join_whatever_the_plan(spark, monkeypatch, changed):
     assert collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.join(df).collect()) == brute_components(rows)
 
 
+@pytest.mark.parametrize(("little", "many"), [(2, 0), (2, 10**9), (3, 2), (8, 0), (10**6, 0)])
+def test_jaccard_join_whatever_is_hot(spark, monkeypatch, little, many):
+    monkeypatch.setattr(jaccard_join, "FREQUENT", 2)
+    monkeypatch.setattr(jaccard_join, "LITTLE", little)
+    monkeypatch.setattr(jaccard_join, "MANY", many)
+    rng = random.Random(19)
+    base = prose(rng, 40).split()
+    rows = []
+    for k in range(40):  # pairs, threes, copies of copies, and a passage that most share
+        w = list(base) if k % 3 else prose(rng, 30).split() + base[:12]
+        w[rng.randrange(len(w))] = f"edit{k}"
+        base = w if k % 9 == 1 else base
+        rows += [(10 * k + n, " ".join([*w[:5], *(["more"] * (n % 2)), *w[5:]])) for n in range(1 + k % 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.join(df).collect()) == brute_components(rows)
+
+
+def test_jaccard_join_reads_whole_sets_once_without_hot_keys(spark, monkeypatch):
+    """A passage that unlinked documents share is no reason for rounds over all texts."""
+    rng = random.Random(20)
+    passage = prose(rng, 12)
+    rows = [(k, f"{passage} {prose(rng, 30)}") for k in range(30)]
+    rows += [(100 + k, t + f" edit{k}") for k, t in rows[:10]]
+    turns = []
+    whole_sets = jaccard_join.whole_sets
+    monkeypatch.setattr(jaccard_join, "whole_sets", lambda *a: turns.append(1) or whole_sets(*a))
+    found = jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found) == brute_components(rows)
+    assert len(turns) == 1
+
+
 def test_jaccard_join_of_nothing(spark, docs):
     assert jaccard_join.join(docs.limit(0)).count() == 0
 
@@ -629,6 +660,24 @@ def test_packing_keeps_linked_documents_apart(spark, tmp_path):
     assert groups[0] == 4  # three documents of the group and the one without an id
 
 
+def test_packing_query_counts_words_and_shuffles_no_text(spark, docs, tmp_path):
+    from corpusmill.llm import queries
+
+    rows = [*((r["doc_id"], r["text"], f"s{k % 5}") for k, r in enumerate(docs.collect())), (None, " a\t b\x0b", None), (None, " a\t b\x0b", None), (7, None, "s1"), (8, " \x1c\u00a0x ", "s1"), (9, "", "s2")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    sized = queries.sized_by_component(spark.read.parquet(str(tmp_path / "documents.parquet")))
+    assert "text" not in sized.columns
+    assert collections.Counter((r["doc_id"], r["n"], r["source"]) for r in sized.collect()) == collections.Counter((d, len((t or "").encode().split()), s) for d, t, s in rows)
+    placed = queries.op8_packing(spark, str(tmp_path)).collect()
+    of_id = collections.Counter()
+    for d, t, _ in rows:
+        of_id[d] += len((t or "").encode().split())
+    got = collections.Counter()
+    for p in placed:
+        got[p["doc_id"]] += p["n_words"]
+    assert got == of_id
+
+
 def test_best_fit_takes_the_tightest_compatible_bin():
     rows = [(1, 60, "a", 1), (2, 50, "b", 2), (3, 40, "a", 3), (4, 40, "c", 2)]
     placed = {rows[r[0]][0]: r[4] for r in packing.pack_shard(rows, 100, per_source=1)}
