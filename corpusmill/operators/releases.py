@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,11 +78,33 @@ def tree_hash(rows: DataFrame) -> DataFrame:
     return level.agg(together("at", "h").alias("hash"))
 
 
-def manifest_hash(m: DataFrame) -> DataFrame:
-    """One hash of a manifest, the ``tree_hash`` of its documents, each hashed where it lies."""
+def flat_hash(rows: DataFrame) -> DataFrame:
+    """One hash (column hash) of rows' hashes (column h), all joined in their order; null where there are none. Hashes are sorted by ranges and
+    joined in runs of up to ``FAN``; one digest takes the runs in order and holds one batch of them at a time."""
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, FAN):
+                h = batch.column(0).slice(start, FAN).to_pylist()
+                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (h[0], h[-1], "".join(h))], names=["first", "last", "joined"])
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, some = hashlib.sha256(), False
+        for batch in batches:
+            for joined in batch.column(2):
+                found.update(joined.as_py().encode())
+                some = True
+        yield pa.RecordBatch.from_arrays([pa.array([found.hexdigest() if some else None], pa.string())], names=["hash"])
+
+    ranges = rows.select("h").where("h is not null").repartitionByRange("h").sortWithinPartitions("h").mapInArrow(runs, "first string, last string, joined string")
+    return ranges.repartition(1).sortWithinPartitions("first", "last").mapInArrow(digest, "hash string").agg(F.max("hash").alias("hash"))
+
+
+def manifest_hash(m: DataFrame, flat: bool = False) -> DataFrame:
+    """One hash of a manifest, the ``tree_hash`` or the ``flat_hash`` of its documents, each hashed where it lies."""
     entries = F.array_join(F.transform(F.array_sort(F.map_entries("chunks")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
     each = m.select(F.sha2(F.concat_ws("|", F.col("doc_id").cast("string"), "doc_hash", entries), 256).alias("h"))
-    return tree_hash(each).withColumnRenamed("hash", "manifest_hash")
+    return (flat_hash(each) if flat else tree_hash(each)).withColumnRenamed("hash", "manifest_hash")
 
 
 def manifest_diff(old: DataFrame, new: DataFrame) -> DataFrame:

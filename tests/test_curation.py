@@ -246,6 +246,15 @@ def test_manifest_hash_by_levels(spark, monkeypatch):
     assert releases.manifest_hash(df.repartition(7)).first()[0] == deep
 
 
+def test_a_flat_manifest_hash_of_many_runs(spark, monkeypatch):
+    monkeypatch.setattr(releases, "FAN", 4)
+    rows = [(k, f"h{k}", {f"c{k}": "t"}) for k in [*range(300), *range(20)]]  # some hashes are there twice
+    df = spark.createDataFrame(rows, "doc_id long, doc_hash string, chunks map<string,string>")
+    want = hashlib.sha256("".join(sorted(hashlib.sha256(f"{k}|h{k}|c{k}=t".encode()).hexdigest() for k, *_ in rows)).encode()).hexdigest()
+    assert [r[0] for n in (1, 7) for r in releases.manifest_hash(df.repartition(n), flat=True).collect()] == [want, want]
+    assert [r[0] for r in releases.manifest_hash(df.limit(0), flat=True).collect()] == [None]
+
+
 def test_evidence_keeps_to_its_scope(spark):
     chunks = [(f"c{k}", k % 6, k, f"common words and number {k} of a chunk", f"h{k % 20}", ["s"], k % 2) for k in range(40)]
     c = spark.createDataFrame(chunks, "chunk_id string, doc_id long, `order` int, text string, text_hash string, section_path array<string>, project_id long")
