@@ -1,5 +1,8 @@
 """Trigram profiles on texts whose language is known."""
 
+import collections
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,3 +52,32 @@ def test_first_language_of_a_page(spark, profiles):
     rows = [(1, 1, 0, "123"), (1, 1, 1, "der die und das ist nicht eine Einheit"), (1, 1, 2, "the of and the other one that is"), (1, 2, 3, "...")]
     got = ngram_language.page_languages(spark.createDataFrame(rows, "doc_id int, page int, block_no int, text string"), profiles).orderBy("block_no").collect()
     assert [r["page_lang"] for r in got] == ["de", "de", "de", None]
+
+
+@pytest.mark.parametrize("dense", [0, 1 << 22])
+def test_counts_and_scores_by_hand(spark, monkeypatch, dense):
+    for name, value in (("DENSE", dense), ("AT_ONCE", 40), ("HELD", 30)):
+        monkeypatch.setattr(ngram_language, name, value)
+    texts = [(k, x, "ab"[k % 2]) for k, x in enumerate(["Abra cadabra, ÉÉ", "x", "漢字 漢 字漢字", "😀 a 𝒳𝒴 b", "", "abra " * 30, "cad bra abr"])]
+    df = spark.createDataFrame(texts, "id int, text string, lang string")
+
+    def grams(t):
+        x = "".join(c if c.isalpha() else " " for c in t.lower())
+        x = f" {' '.join(x.split())} "
+        return [x[k : k + 3] for k in range(len(x) - 2)] if x.strip() else []
+
+    counts = {lang: collections.Counter(g for _, t, of in texts if of == lang for g in grams(t)) for lang in "ab"}
+    known = sorted({g for c in counts.values() for g in c}, key=lambda g: (-sum(c[g] for c in counts.values()), g.encode()))[:12]
+    total = {lang: sum(c[g] for g in known) for lang, c in counts.items()}
+    weight = {g: {lang: math.log((counts[lang][g] + 0.5) / (total[lang] + 0.5 * len(known))) for lang in "ab"} for g in known}
+    profiles = ngram_language.fit(df, most=12)
+    got = {r["gram"]: {x["lang"]: x["weight"] for x in r["langs"]} for r in profiles.collect()}
+    assert got.keys() == weight.keys() and all(got[g][x] == pytest.approx(weight[g][x]) for g in known for x in "ab")
+    score, n = ngram_language._Profiles(profiles).scores([" ".join("".join(c if c.isalpha() else " " for c in t.lower()).split()) for _, t, _ in texts])
+    assert n.tolist() == [sum(g in weight for g in grams(t)) for _, t, _ in texts]
+    assert all(score[k].tolist() == pytest.approx([sum(weight[g][x] for g in grams(t) if g in weight) for x in "ab"]) for k, t, _ in texts)
+
+
+def test_detection_shuffles_no_trigrams(spark, documents, profiles):
+    plan = ngram_language.detect(documents.select("doc_id", "text"), "doc_id", profiles)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Exchange" not in plan
