@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.numbering import numbered
+from .shared import materialize
 
 ENDINGS = (".html", ".htm")
 _LOCAL, _ENCRYPTED = b"PK\x03\x04", 1
@@ -69,13 +70,17 @@ def _content(f, m: dict) -> tuple[bytes | None, str | None]:
 
 
 def read_members(index: DataFrame) -> DataFrame:
-    """archive, name, html and, where a member can't be read, error, of an index's members. Members are dealt by ranges of archive and offset, so tasks
+    """archive, name, html and, where a member can't be read, error, of an index's members, and further columns of the index. Members are dealt by ranges of archive and offset, so tasks
     get neighbours and a large archive is spread over many; each is read alone."""
 
+    own = [c.split()[0] for c in INDEX.split(", ")]
+    more = [f for f in index.schema if f.name not in own]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, f = None, None
         for batch in batches:
-            for m in batch.to_pylist():
+            rest = [batch.column(len(own) + k) for k in range(len(more))]
+            for i, m in enumerate(batch.to_pylist()):
                 if m["name"] is None:
                     html, error = None, "no zip archive"
                 else:
@@ -83,17 +88,19 @@ def read_members(index: DataFrame) -> DataFrame:
                         at, f = m["archive"], opened(m["archive"])
                     data, error = _content(f, m)
                     html = None if data is None else data.decode("utf-8", "replace")
-                yield pa.RecordBatch.from_arrays([pa.array([x], pa.string()) for x in (m["archive"], m["name"], html, error)], names=["archive", "name", "html", "error"])
+                yield pa.RecordBatch.from_arrays([*(pa.array([x], pa.string()) for x in (m["archive"], m["name"], html, error)), *(c.slice(i, 1) for c in rest)], names=["archive", "name", "html", "error", *(x.name for x in more)])
 
-    dealt = index.repartitionByRange("archive", "offset").sortWithinPartitions("archive", "offset")
-    return dealt.mapInArrow(run, "archive string, name string, html string, error string")
+    dealt = index.select(*own, *(x.name for x in more)).repartitionByRange("archive", "offset").sortWithinPartitions("archive", "offset")
+    return dealt.mapInArrow(run, ", ".join(["archive string, name string, html string, error string", *(f"{x.name} {x.dataType.simpleString()}" for x in more)]))
 
 
 def read_html(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(pages, errors). pages: page_id (from 0, in order of archive and name across all archives), archive, url (the member's name), html."""
-    found = read_members(members(spark, path))
-    ids = numbered(members(spark, path).where("name is not null").select("archive", "name").distinct(), ["archive", "name"], "_n")
-    good = found.where("error is null").join(ids, ["archive", "name"])
+    index = materialize(members(spark, path), "members")
+    ids = materialize(numbered(index.where("name is not null").select("archive", "name").distinct(), ["archive", "name"], "_n"), "member-ids")
+    # Numbers meet the index before a member is read, so no page is shuffled; by a merge, as a table of all names is small in a file and large in the driver.
+    found = read_members(index.join(ids.hint("merge"), ["archive", "name"], "left"))
+    good = found.where("error is null")
     return good.select((F.col("_n") - 1).cast("long").alias("page_id"), "archive", F.col("name").alias("url"), "html"), found.where("error is not null").select("archive", "name", "error")
 
 

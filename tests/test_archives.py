@@ -59,6 +59,14 @@ def test_written_archives_come_back(spark, tmp_path):
     assert {(r["url"], r["html"]) for r in pages.collect()} == {(u, h or "") for _, u, h in rows} and errors.count() == 0
 
 
+def test_names_are_not_gathered_and_pages_not_shuffled(spark, tmp_path):
+    (tmp_path / "a.zip").write_bytes(archive([("2.html", "two"), ("1.html", "one"), ("1.html", "one again")]))
+    pages, _ = archives.read_html(spark, str(tmp_path))
+    plan = pages._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.index("MapInArrow") < plan.index("SortMergeJoin")
+    assert sorted((r["page_id"], r["html"]) for r in pages.collect()) == [(0, "one"), (0, "one again"), (1, "two")]
+
+
 def test_no_archives(spark, tmp_path):
     (tmp_path / "x.txt").write_text("x")
     pages, errors = archives.read_html(spark, str(tmp_path))
