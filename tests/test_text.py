@@ -2,6 +2,8 @@ import hashlib
 import random
 import uuid
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.functions import pii
@@ -107,3 +109,20 @@ def test_signatures_of_a_table_equal_those_of_columns(spark, monkeypatch):
     assert len(table) == len(texts)
     for i, t in enumerate(texts):
         assert table[i] == ((columns[i][0], [prefix(x) for x in columns[i][1]]) if t else (0, [0] * 9))
+
+
+@pytest.mark.parametrize("digests,at_once", [(50_000, 10_000), (3, 2)])
+def test_min_hashes_by_remembered_words(spark, monkeypatch, digests, at_once):
+    monkeypatch.setattr(sg, "DIGESTS", digests)
+    monkeypatch.setattr(sg, "DIGESTS_AT_ONCE", at_once)
+    texts = [(1, "a b c a é漢 d"), (2, None), (3, " \u00a0 "), (4, "x"), (5, " ".join(f"w{k % 1500}" for k in range(3000)))]
+    rows = spark.createDataFrame(texts, "id int, t string").coalesce(1)
+    got = {r["id"]: r["mins"] for r in sg.with_minhash(rows, "t", permutations=5).collect()}
+    want = {k: [min((hashlib.sha1(f"{w}-{i}".encode()).hexdigest() for w in (t or "").split()), default="0") for i in range(5)] for k, t in texts}
+    assert got == want
+
+
+def test_min_hashes_that_begin_alike():
+    known = sg._WordDigests(1)
+    known.known, known.whole, known.heads = {"a": 0, "b": 1, "c": 2}, [b"\0" * 8 + b"z" * 12, b"\0" * 8 + b"y" * 12, b"\1" * 20], np.array([[0], [0], [1]], np.uint64)
+    assert known.least(["a", "b", "c"]) == [(b"\0" * 8 + b"y" * 12).hex()]
